@@ -1,0 +1,186 @@
+"""URL filter: rules first, then logistic regression on hashed character n-grams of host and path.
+
+The model is trained on the driver from a small labelled table of URLs (a parameter; the default is
+below), which is bounded by what one writes by hand.
+
+Input cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is judged
+by the model's offset.  Of rules of equal length the first wins.  Repeated rows get equal verdicts.
+"""
+
+from __future__ import annotations
+
+import zlib
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import map_rows
+
+#: The table must fit a driver many times over.
+MAX_LABELLED = 20_000
+BUCKETS, GRAMS = 1 << 15, (3, 4, 5)
+CUT = 0.5
+
+#: (host and path prefix, verdict).
+RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+
+#: Labelled URLs: what a crawl should keep and what it shouldn't.
+ALLOWED = """
+https://en.wikipedia.org/wiki/Ocean
+https://www.gutenberg.org/ebooks/1342
+https://news.example.com/world/2024/05/election-results
+https://www.university.edu/faculty/history/reading-list
+https://docs.python.org/3/tutorial/index.html
+https://blog.gardener.net/en/2021/roses-in-winter
+https://m.recipes.net/en/4711.html
+https://www.museum.net/de/ausstellung/1204
+https://library.net/fr/catalogue/885
+https://www.townhall.net/es/noticias/2023
+https://arxiv.org/abs/1706.03762
+https://forum.hiking.net/en/thread/9921?page=2
+https://www.weather.net/en/5140#top
+https://science.net/en/articles/777
+https://thetheatre.net/en/programme
+https://stories.net/en/3101
+https://www.thering.net/fr/5290?ref=x
+https://m.northern.net/de/8736
+https://blog.station.net/es/214.html
+https://www.nation.net/en/2574
+https://teacher.net/en/1793?utm_source=feed
+https://www.bookshop.com/en/title/314
+https://history.com/en/4189
+https://www.orchestra.com/es/concierto/62
+https://blog.baker.com/en/bread-basics
+https://www.railway.com/en/timetable
+https://m.other.com/en/1203#top
+https://www.kitchen.com/es/recetas/88
+https://blog.painter.com/en/7246
+https://www.hospital.com/en/departments
+https://www.insurance.com/es/ayuda
+https://www.translation.com/en/9315
+https://philosophy.net/en/essay/17
+https://www.chess.net/en/games/1887
+https://maps.net/en/region/9
+https://m.entertainment.net/en/5644/
+https://www.thread.net/en/4771.html
+https://www.hand.net/fr/1751
+https://letters.net/en/286
+https://www.than.net/de/213
+""".split()
+BLOCKED = """
+http://casino-royal.net/en/bonus
+https://www.casino-win.com/en/214.html
+https://m.casinospins.net/es/1203
+http://free-bets.com/en/5290?ref=x
+https://www.bets-online.net/en/3101
+https://blog.sportbets.net/de/8736
+http://cheap-pills.com/en/4771.html
+https://www.pills-pharma.net/en/order
+https://m.viagra-pills.net/es/1751
+http://spam-farm.com/en/286?utm_source=feed
+https://www.spam-links.net/en/9315
+https://blog.spam-blast.net/de/2574
+http://adult-x.net/en/4189
+https://www.adult-cams.com/en/5644/
+https://m.xxx-adult.net/es/7246
+http://ads-track.net/en/1793
+https://www.ads-banner.com/en/1203#top
+https://track.ads-click.net/de/3101
+http://win-prize.net/en/claim
+https://www.free-iphone-win.com/en/777
+https://poker-bonus.net/en/signup
+https://www.slots-jackpot.com/es/5140
+https://loans-cheap.net/en/apply
+https://replica-cheap-watch.net/en/4711
+https://porn-tube.net/en/88
+https://www.escort-adult.net/fr/2021
+https://warez-crack.net/en/download
+https://torrent-free-crack.com/en/62
+https://click-track-redirect.net/en/9
+https://www.pop-ads.net/es/314
+https://seo-spam.net/en/backlinks
+https://m.bets-casino.com/en/17
+https://pills-discount.com/es/885
+https://www.betting-win.net/en/2023
+https://spam.mailers.net/en/213
+https://www.casino.free-spins.net/de/4771
+https://free-adult-x.com/en/286
+https://www.cheap-meds-pills.com/en/8736
+https://ads.doubletrack.net/en/1751
+https://farm-links-spam.com/en/5290
+""".split()
+
+
+def host_of(url: Column) -> Column:
+    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def path_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
+
+
+def rule_of(host: Column, path: Column, rules=RULES) -> Column:
+    """The longest rule that fits, null if none does."""
+
+    def fits(rule: str) -> Column:
+        name, slash, start = rule.partition("/")
+        return ((host == name) | host.endswith("." + name)) & path.startswith(slash + start)
+
+    ranked = sorted((r for r, _ in rules), key=len, reverse=True)
+    return F.coalesce(*(F.when(fits(r), F.lit(r)) for r in ranked), F.lit(None).cast("string"))
+
+
+def features(host: str, path: str) -> np.ndarray:
+    """Buckets of the distinct n-grams of host and path."""
+    found = set()
+    for mark, part in (("h", f"^{host}$"), ("p", f"{path}$")):
+        for n in GRAMS:
+            found.update(mark + part[i : i + n] for i in range(len(part) - n + 1))
+    return np.fromiter({zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in found}, np.int64)
+
+
+def split_url(url: str) -> tuple[str, str]:
+    rest = url.partition("://")[2].split("?")[0].split("#")[0]
+    host, slash, path = rest.partition("/")
+    return host.lower(), slash + path
+
+
+def train(allowed=ALLOWED, blocked=BLOCKED, steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights of the buckets and the offset; above 0 means block."""
+    rows = [features(*split_url(u)) for u in (*allowed, *blocked)]
+    if not rows or len(rows) > MAX_LABELLED:
+        raise ValueError(f"{len(rows)} labelled URLs; 1 to {MAX_LABELLED} are needed")
+    y = np.array([0.0] * len(allowed) + [1.0] * len(blocked))
+    flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    scale = 1 / np.sqrt(np.maximum(1, np.bincount(of, minlength=len(rows))))
+    w, b = np.zeros(BUCKETS), 0.0
+    for _ in range(steps):
+        z = np.bincount(of, w[flat], len(rows)) * scale + b
+        error = 1 / (1 + np.exp(-z)) - y
+        w -= rate * (np.bincount(flat, (error * scale)[of], BUCKETS) + ridge * w)
+        b -= rate * error.mean()
+    return w.astype(np.float32), float(b)
+
+
+def judge(pages: DataFrame, rules=RULES, model: tuple[np.ndarray, float] | None = None, cut: float = CUT) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (the model's likelihood of block) of every page."""
+    weights, offset = model or train()
+    parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # A host may hold any character but these three, so a "?" parts it from the path.
+    both = parts.withColumn("host_path", F.concat("host", F.lit("?"), "path"))
+
+    def make():
+        def one(text):
+            host, _, path = text.partition("?")
+            found = features(host, path)
+            z = float(weights[found].sum() / max(1.0, np.sqrt(len(found)))) + offset
+            return (1 / (1 + np.exp(-z)),)
+
+        return lambda texts: [one(t) for t in texts]
+
+    scored = map_rows(both, make, "score double", ["page_id", "host", "path"], texts="host_path")
+    rule = rule_of(F.col("host"), F.col("path"), rules)
+    verdicts = reduce(lambda c, r: c.when(F.col("rule") == r[0], F.lit(r[1])), rules, F.when(F.lit(False), F.lit(None)))
+    judged = scored.withColumn("rule", rule)
+    return judged.select("page_id", "host", "path", "rule", F.coalesce(verdicts, F.when(F.col("score") >= cut, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "score")
