@@ -1,3 +1,78 @@
-STAGES=[]
-ORACLE_SQL=None
-run=None
+"""The corpus pipeline: quality classifier, near-dedup, decontamination, PII masking, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir), works on every row of ``docs`` and returns a DataFrame; all but
+the last return the columns that they were given.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cuelake.llm import bpe, decontaminate, pii, quality_model, simhash
+from cuelake.llm.common import scratch, table
+from cuelake.llm.queries import tokenizer_path
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """text, and all other columns as one, whatever their names."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def unpacked(rows: DataFrame, columns: list[str], **put) -> DataFrame:
+    return rows.select(*[(put.get(c) if c in put else F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in columns])
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose quality score reaches the cut."""
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_model.predict(packed(docs), model, columns=("row", "text"))
+    return unpacked(scored.where("predicted = 1"), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: the one with the least id."""
+    groups = scratch(simhash.near_duplicates(docs), "groups")
+    kept = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    single = docs.join(kept, "doc_id", "left_semi")
+    repeated = scratch(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    # Ids that stand on several rows are rare; of their rows one is kept.
+    once = single.join(repeated, "doc_id", "left_anti")
+    return once.unionByName(single.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that leak a benchmark item."""
+    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts by its kind; n_chars follows the new text."""
+    masked = pii.mask(packed(docs), ("row",)).withColumnRenamed("masked", "text")
+    put = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return unpacked(masked, docs.columns, **put)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with the digest of the decoded text."""
+    return bpe.encode_checked(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii_masking", pii_masking),
+    ("bpe_encoding", bpe_encoding),
+]
+
+#: No stage but the last can be put in SQL; the tests hold the pipeline against brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

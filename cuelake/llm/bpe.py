@@ -254,3 +254,21 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         return work
 
     return map_rows(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", ["doc_id"])
+
+
+def encode_checked(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``columns``, ``n_tokens``, ``ids array<int>`` and ``decoded_sha256``: what a training job reads, with the digest of the decoded text."""
+
+    def make():
+        bpe = load(path)
+
+        def work(texts):
+            out = []
+            for a, b in bpe.encode_texts(texts):
+                ids = np.fromstring(a, np.int32, sep=" ") if a else np.empty(0, np.int32)
+                out.append((len(ids), ids, hashlib.sha256(b.encode()).hexdigest()))
+            return out
+
+        return work
+
+    return map_rows(docs, make, "n_tokens bigint, ids array<int>, decoded_sha256 string", list(columns))

@@ -61,14 +61,16 @@ def map_rows(df: DataFrame, make, schema: str, columns: list[str], texts: str =
 
     ``make()`` is called once per task and gives a function from a list of texts (None where null) to
     a list of result tuples, one per text.  ``columns`` are carried through unchanged in front of them.
-    Only the named columns travel to Python, so other columns of ``df`` can't clash with anything.
+    Only the named columns travel to Python, so other columns of ``df`` can't clash with anything;
+    ``texts`` may be one of the columns.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_type
 
     added = _parse_datatype_string(schema)
-    src = df.select(*columns, texts)
-    out = StructType([*src.select(*columns).schema.fields, *added.fields])
+    at = columns.index(texts) if texts in columns else len(columns)
+    src = df.select(*columns) if texts in columns else df.select(*columns, texts)
+    out = StructType([*df.select(*columns).schema.fields, *added.fields])
     names = [f.name for f in added.fields]
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
@@ -76,7 +78,7 @@ def map_rows(df: DataFrame, make, schema: str, columns: list[str], texts: str =
         work = make()
         for batch in batches:
             n = batch.num_rows
-            done = work(batch.column(len(columns)).to_pylist())
+            done = work(batch.column(at).to_pylist())
             cols = [batch.column(i) for i in range(len(columns))]
             flat = list(zip(*done)) if n else [[] for _ in names]
             cols += [pa.array(v, type=k) for v, k in zip(flat, kinds)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, pii, quality_model, quality_rules, shards, simhash, url_filter
+from . import bpe, decontaminate, langid, paragraphs, pii, quality_model, quality_rules, shards, simhash, url_filter
 from .common import table
 
 #: Folder of the public tokenizers' files; None takes the installed package's.
@@ -23,6 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_components(table(spark, sf_dir, "documents"))
 
 
+def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
 
@@ -51,5 +59,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_pii, op4_url_filter, op5_quality_rules, op6_simhash, op8_sharding, op9_quality_model, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_pii, op4_url_filter, op5_quality_rules, op6_simhash, op7_paragraphs, op8_sharding, op9_quality_model, op10_bpe)}
 ORACLES: dict[str, str] = {}
