@@ -1,4 +1,4 @@
-"""Registered queries and their SQL oracles."""
+"""All registered queries and their SQL oracles."""
 
-QUERIES = {}
-ORACLES = {}
+from . import other_queries, text_queries, window_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
