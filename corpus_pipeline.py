@@ -30,14 +30,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one with the least id."""
+    """Keep one document of each group of near copies: the one with the least id.  Rows without an id pass."""
     groups = scratch(simhash.near_duplicates(docs), "groups")
     kept = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     single = docs.join(kept, "doc_id", "left_semi")
     repeated = scratch(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     # Ids that stand on several rows are rare; of their rows one is kept.
     once = single.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(single.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    several = single.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(several).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
