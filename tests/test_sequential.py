@@ -1,0 +1,168 @@
+"""Sequential operators: hand cases, plain models and invariants."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from cuelake.functions import text as T
+from cuelake.operators import sequential as S
+from cuelake.operators.chunks import fit, map_model, sample_windows, split_long
+from cuelake.plans.inputs import hypothesis, segments
+
+
+def cut(rows, **k):
+    return list(S.cut_segments([(a, b, i, t) for i, (a, b, t) in enumerate(rows)], **k))
+
+
+def test_segmenter_gap_marker_and_length():
+    assert cut([(0, 1000, "a"), (1500, 2000, "b"), (7000, 8000, "c")]) == [(0, 4000, False, [0, 1]), (7000, 10000, False, [2])]
+    assert cut([(0, 1000, "a"), (1200, 1400, "[Applause]"), (1500, 2000, "b")]) == [(0, 1100, False, [0]), (1200, 1400, True, [1]), (1500, 4000, False, [2])]
+    assert cut([(0, 1000, "[Music]")]) == [(0, 1000, True, [0])]
+    assert cut([]) == []
+    long = [(i * 1000, i * 1000 + 1000, "x") for i in range(20)]
+    assert [len(g[3]) for g in cut(long, max_ms=5000)] == [5, 5, 5, 5]
+    calm = [(0, 4000, "a"), (5000, 5500, "b."), (5600, 5700, "c")]
+    assert [g[3] for g in cut(calm, max_ms=5000)] == [[0], [1, 2]]
+
+
+def test_segmenter_keeps_every_row(spark, data):
+    s = segments(spark, data)
+    got = S.segment(s, 20_000).select("doc_id", F.explode("seg_idxs").alias("seg_idx"))
+    assert got.count() == s.count() and got.exceptAll(s.select("doc_id", "seg_idx")).count() == 0
+
+
+def test_edit_ops_are_least_and_complete():
+    r = random.Random(2)
+    for _ in range(200):
+        a, b = [r.choice("abc") for _ in range(r.randint(0, 12))], [r.choice("abc") for _ in range(r.randint(0, 12))]
+        ops = S.edit_ops(a, b)
+        assert [x for x, _, _ in ops if x is not None] == a and [y for _, y, _ in ops if y is not None] == b
+        t = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(t[j - 1] + (x != y), t[j] + 1, row[-1] + 1))
+            t = row
+        assert sum(o != "=" for *_, o in ops) == t[-1]
+
+
+def test_wer_counts():
+    w = lambda a, b: S.wer_counts(S.edit_ops(a.split(), b.split()))
+    assert w("a b c", "a b c")["wer"] == 0
+    assert w("a b c d", "a x c") == {"ins": 0, "del": 1, "sub": 1, "cor": 2, "ref_len": 4, "wer": 0.5}
+    assert w("a", "a b c")["ref_len"] == 3
+    assert w("it is ok now", "it 's okay now")["sub"] <= 1
+    assert w("", "")["wer"] == 0
+
+
+def test_align_groups_cover_both_tracks():
+    sub = [(i * 3000, i * 3000 + 2000, f"word{i} and word{i}b then") for i in range(6)]
+    groups = S.align_groups(sub, sub)
+    assert [g[0] for g in groups] == [(i, i + 1) for i in range(6)] == [g[1] for g in groups]
+    assert all(S.wer_counts(g[2])["wer"] == 0 for g in groups)
+    assert [g[0] for g in S.align_groups(sub, [])] == [(0, 6)]
+    assert S.align_groups([], []) == []
+
+
+def test_self_alignment_has_no_errors(spark, data):
+    s = segments(spark, data)
+    got = S.align(s, s)
+    assert got.where("wer > 0").count() == 0
+    assert got.agg(F.sum(F.col("sub_hi") - F.col("sub_lo"))).first()[0] == s.count()
+    other = S.align(s, hypothesis(spark, data))
+    assert other.agg(F.sum(F.col("asr_hi") - F.col("asr_lo"))).first()[0] == s.count()
+
+
+def test_transfer_times_moves_forward():
+    ref = [(1000, 3000, "hello world this is a test"), (5000, 8000, "another line of words here"), (9000, 9500, "hello world again")]
+    rows = [(0, ["hello world this is a test", "hello world this"]), (0, ["nothing like it"]), (0, ["hello world"])]
+    assert S.transfer_times(rows, ref) == [(1000, 0, True), (1000, 8000, False), (9000, 500, True)]
+    assert S.transfer_times([(5, ["x"])], []) == [(5, 0, False)]
+
+
+def test_duplicate_blocks():
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(0, 1, text), (2000, 3000, "some words between these two blocks stand alone here now"), (5000, 6000, text), (7000, 8000, "the end of it all with more words")]
+    assert S.duplicate_blocks(rows) == [((0, 0), (2, 2), 12, 5000)]
+    assert S.duplicate_blocks(rows[:2]) == []
+    far = [rows[0], (400_000, 401_000, text), rows[3]]
+    assert S.duplicate_blocks(far) == []
+
+
+def test_chunk_text():
+    text = "\n".join(f"line {i:03d}" for i in range(100))
+    parts = S.chunk_text(text, 100, 30, 50)
+    assert all(len(p) <= 100 for p in parts) and parts[0].startswith("line 000") and parts[-1].endswith("line 099")
+    for a, b in zip(parts, parts[1:]):
+        assert b.split("\n")[:3] == a.split("\n")[-3:]
+    assert len(S.chunk_text(text, 100, 30, 4)) == 4
+    assert S.chunk_text("x" * 500, 100) == ["x" * 500] and S.chunk_text(None) == [""]
+
+
+def group(start, status, rows=(), source=()):
+    return {"start": start, "end": start + 10, "status": status, "rows": list(rows), "source": list(source)}
+
+
+def test_merge_retry_directions_and_fallback():
+    calls = []
+
+    def align(start, end, rows):
+        calls.append((start, end, tuple(rows)))
+        return [f"ok{len(rows)}"] if len(rows) == 3 else None
+
+    out = S.merge_retry([group(0, "fail", source="a"), group(20, "skip", ["s"]), group(40, "ok", ["b"], "b"), group(60, "ok", ["c"], "c")], align)
+    assert calls == [(0, 50, ("a", "b")), (0, 70, ("a", "b", "c"))]
+    assert [(g["status"], g["rows"]) for g in out] == [("ok", ["ok3"]), ("skip", ["s"]), ("ok", []), ("ok", [])]
+    back = S.merge_retry([group(0, "ok", ["x"], "x"), group(20, "ok", ["y"], "y"), group(40, "fail", source="z")], align)
+    assert [g["rows"] for g in back] == [["ok3"], [], []]
+    none = S.merge_retry([group(0, "fail", source="a"), group(20, "ok", ["b"], "b")], lambda *_: None)
+    assert [(g["status"], g["rows"]) for g in none] == [("raw", ["a"]), ("ok", ["b"])]
+
+
+def test_model_map_repeats_and_fills(spark):
+    rows = spark.createDataFrame([(1, i, f"t{i}") for i in range(7)], "doc_id bigint, seg_idx int, text string").coalesce(1)
+    out = map_model(rows, lambda texts: [t.upper() for t in texts][: 2 if len(texts) == 3 else None], "up", size=3).orderBy("seg_idx").collect()
+    assert [r.up for r in out] == ["T0", "T1", "t2", "T3", "T4", "t5", "T6"]
+    assert fit(["a", "b", "c"], ["x", "y"]) == ["a", "b"]
+
+
+def test_windows_reject_full_overlap(spark):
+    with pytest.raises(ValueError):
+        sample_windows(F.lit(10), 5, 5)
+    cut_ = split_long(spark.createDataFrame([(1, 0, 2500), (2, 5, 5)], "doc_id bigint, start_ms bigint, end_ms bigint"), 1000).orderBy("doc_id", "piece").collect()
+    assert [(r.start_ms, r.end_ms) for r in cut_] == [(0, 1000), (1000, 2000), (2000, 2500), (5, 5)]
+
+
+TEXTS = {
+    "Hello世界": ["Hello", "世", "界"],
+    "I'm fine": ["I'm", "fine"],
+    "up $1,234.5M and 25% of 100,000 [APPLAUSE].": ["up", "$1,234.5M", "and", "25%", "of", "100,000", "[APPLAUSE]", "."],
+    "Kühl ß €42": ["Kühl", "ß", "€42"],
+    "a\nb": ["a", "b"],
+}
+
+
+def test_tokens(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string").select("t", T.tokens(F.col("t")).alias("x"), T.attach_punctuation(T.tokens(F.col("t"), True)).alias("y"))
+    got = {r.t: r for r in df.collect()}
+    assert {t: r.x for t, r in got.items()} == TEXTS
+    assert got["up $1,234.5M and 25% of 100,000 [APPLAUSE]."].y[-1] == "[APPLAUSE]."
+
+
+def test_text_rules(spark):
+    def one(expr):
+        return spark.range(1).select(expr.alias("x")).first().x
+
+    lit = F.lit
+    assert one(T.normalize(lit("<i>it&#39;s</i>  a &amp; b’s"))) == "it's a & b's"
+    assert one(T.match_keys(lit("one two three four"))) == ["one two three", "one two thre", "one tw"]
+    assert one(T.asr_tag(lit("language English<asr_text>Hi </asr_text>"))) == ("English", "Hi")
+    assert one(T.asr_tag(lit("<|de|> Hallo"))) == ("de", "Hallo") and one(T.asr_tag(lit(" x "))) == (None, "x")
+    assert one(T.json_payload(lit('<think>{</think>```json\n[{"a":1}{"b":2,}]\n```'))) == '[{"a":1},{"b":2}]'
+    assert one(T.json_payload(lit('[{"a":1},{"b"'))) == '[{"a":1}]'
+    assert one(T.clean_role(lit("head of design, and"))) == "head of design"
+    assert one(T.looks_like_person(lit("Blaise Agüera y Arcas"))) and not one(T.looks_like_person(lit("EWTN News")))
+    assert one(T.ends_sentence(lit("好。"))) and one(T.ends_sentence(lit("مرحبا؟"))) and not one(T.ends_sentence(lit("")))
+    assert one(T.is_punctuation(lit("—"))) and not one(T.is_punctuation(lit("é")))
+    assert one(T.yaml_escape(lit('a"b\\'))) == 'a\\"b\\\\'
