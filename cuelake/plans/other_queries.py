@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from cuelake.functions import text as T
-from cuelake.operators import aggregates, chunks, joins, pages, sequential
+from cuelake.functions import clock, text as T
+from cuelake.operators import aggregates, chunks, joins, pages, sequential, speakers, summaries
 from cuelake.sources import captions, writers
 from cuelake.streaming import windows as streams
 
@@ -257,3 +257,40 @@ def chapter_summary(spark, d):
     c = chapters(spark, d)
     titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ch_idx", "title"))), lambda x: x["title"]), "; ")
     return c.groupBy("doc_id").agg(F.count("*").alias("n_chapters"), F.min("start_ms").alias("first_ms"), titles.alias("titles"))
+
+
+def videos(spark, d):
+    """Metadata of a video for each supplier, with two or three tracks."""
+    k = F.col("s_suppkey")
+    track = lambda ext: F.struct(F.lit(ext).alias("ext"), F.concat(F.lit("u"), k.cast("string")).alias("url"))
+    subs = F.when(k % 2 == 0, F.create_map(F.lit("en"), F.array(track("vtt"), track("json3")))).otherwise(F.create_map(F.lit("de"), F.array(track("vtt"))))
+    info = F.struct(k.cast("string").alias("id"), F.col("s_name").alias("title"), subs.alias("subtitles"), F.create_map(F.lit("en"), F.array(track("ttml"))).alias("automatic_captions"))
+    return table(spark, d, "supplier").select(F.to_json(info).alias("value"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS video_id, CASE WHEN s_suppkey % 2 = 0 THEN 'manual' ELSE 'asr' END AS kind, CASE WHEN s_suppkey % 2 = 0 THEN 'json3' ELSE 'ttml' END AS ext FROM supplier")
+def track_choice(spark, d):
+    return summaries.pick_tracks(summaries.caption_tracks(videos(spark, d)), "en").select("video_id", "kind", "ext")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS video_id, 'en' AS lang, 'asr' AS kind, 'ttml' AS exts FROM supplier UNION ALL SELECT CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 2 = 0 THEN 'en' ELSE 'de' END, 'manual', CASE WHEN s_suppkey % 2 = 0 THEN 'json3,vtt' ELSE 'vtt' END FROM supplier")
+def track_list(spark, d):
+    t = summaries.list_tracks(summaries.caption_tracks(videos(spark, d)))
+    return t.select("video_id", "lang", "kind", F.array_join("exts", ",").alias("exts"))
+
+
+@query("SELECT c_nationkey AS doc_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS entry, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'host' ELSE '' END AS role, c_mktsegment AS affiliation FROM customer")
+def speaker_blocks(spark, d):
+    w = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("doc_id"), w.alias("entry"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, "host").otherwise("").alias("role"), F.col("c_mktsegment").alias("affiliation"), F.array().cast("array<string>").alias("aliases"), F.lit("").alias("bio"))
+    lines = speakers.format_block(c).select("doc_id", F.posexplode(F.split("block", "\n")).alias("line_no", "line"))
+    return speakers.parse_block(lines).select("doc_id", F.col("entry").cast("int").alias("entry"), "name", "role", "affiliation")
+
+
+@query("SELECT doc_id, seg_idx, speaker, start_ms - start_ms % 1000 AS start_ms FROM seg", SEG)
+def flat_turns(spark, d):
+    s = segments(spark, d)
+    line = F.concat("speaker", F.lit(" ["), clock.hms(F.floor(F.col("start_ms") / 1000)), F.lit("]:\n"), F.regexp_replace("text", r"\s+", " "))
+    turns = summaries.flat_turns(writers.joined(s, line).select("doc_id", F.posexplode(F.split("value", "\n")).alias("line_no", "line")))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
+    return turns.select("doc_id", order.alias("seg_idx"), "speaker", "start_ms")
