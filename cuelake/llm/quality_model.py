@@ -21,7 +21,7 @@ from .common import held_out, map_rows
 #: Labelled documents of each class that teach: half for its dictionary, half for calibration.
 SAMPLE_DOCS = 800
 #: Bytes of a dictionary, and the level of compression.
-DICT_BYTES, LEVEL = 128 * 1024, 3
+DICT_BYTES, LEVEL = 256 * 1024, 3
 #: Bytes that are compressed at a time.
 BLOCK = 2048
 CUT = 0.7
@@ -48,16 +48,31 @@ class Sizes:
         return sum([len(bad(b)) - len(good(b)) for b in blocks]) / len(raw)
 
 
+def spread(raw: list[bytes], size: int, piece: int = 256) -> bytes:
+    """``size`` bytes taken evenly from all texts, and evenly from all over each text."""
+    share = -(-size // (piece * len(raw)))
+    out = []
+    for text in raw:
+        starts = range(0, len(text), max(piece, len(text) // share))
+        out += [text[i : i + piece] for i in starts][:share]
+    return b"\n".join(out)[:size]
+
+
 def dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
-    """A dictionary from whole texts, cut into samples of 2 KB as the trainer prefers."""
-    samples = [raw[i : i + 2048] for raw in (t.encode("utf-8", "surrogatepass") for t in texts) for i in range(0, len(raw), 2048)]
-    total = sum(map(len, samples))
-    if len(samples) >= 8 and total >= 16 * 1024:
-        try:
-            return zstandard.train_dictionary(min(size, total // 4), samples, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass  # too uniform or too little to select from: the texts themselves will do
-    return b"\n".join(samples)[-size:]
+    """A dictionary from whole texts, cut into samples of 2 KB as the trainer prefers.
+
+    Where the trainer selects less than half of the size, texts have little in common (or are too few): then pieces of all of
+    them are the dictionary.
+    """
+    raw = [r for r in (t.encode("utf-8", "surrogatepass") for t in texts) if r]
+    samples = [r[i : i + 2048] for r in raw for i in range(0, len(r), 2048)]
+    if not samples:
+        return b"\n"
+    try:
+        trained = zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        trained = b""
+    return trained if 2 * len(trained) >= size else spread(raw, size)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float, float]:
