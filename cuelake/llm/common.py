@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FOLDS, HELD_OUT_FOLD = 4, 2
+#: Rows that go to a Python worker at a time while a scratch table is written: texts can be long.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,12 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and return a reader of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cuelake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
