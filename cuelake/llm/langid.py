@@ -124,7 +124,11 @@ def train(rows: DataFrame, dim: int = DIM, order: int = ORDER, seed: int = SEED,
     At most about ``per_language`` documents of a language are used, chosen by a hash of their id.
     """
     rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    rates = rows.groupBy("lang").count().select(F.col("lang").alias("rate_lang"), (F.lit(float(per_language)) / F.col("count")).alias("rate"))
+    counts = rows.groupBy("lang").count().limit(MAX_PROTOTYPE_VALUES // dim + 1).collect()
+    if len(counts) * dim > MAX_PROTOTYPE_VALUES:
+        raise ValueError(f"more than {MAX_PROTOTYPE_VALUES // dim} languages of {dim} values are too many to send to each task")
+    # One row a language, so few that the texts needn't move to meet them.
+    rates = F.broadcast(rows.sparkSession.createDataFrame([(r["lang"], per_language / r["count"]) for r in counts], "rate_lang string, rate double"))
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.join(rates, F.col("lang") == F.col("rate_lang")).where(unit < F.col("rate")).select("lang", "text")
 
@@ -140,9 +144,7 @@ def train(rows: DataFrame, dim: int = DIM, order: int = ORDER, seed: int = SEED,
 
     parts = chosen.mapInArrow(bundle, "lang string, place int, value bigint")
     sums = parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
-    languages = sorted(r[0] for r in rates.select("rate_lang").limit(MAX_PROTOTYPE_VALUES // dim + 1).collect())
-    if len(languages) * dim > MAX_PROTOTYPE_VALUES:
-        raise ValueError(f"{len(languages)} languages of {dim} values are too many to send to each task")
+    languages = sorted(r["lang"] for r in counts)
     matrix = np.zeros((len(languages), dim))
     place = {lang: i for i, lang in enumerate(languages)}
     for lang, i, value in sums.collect():
