@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_rows, scratch
 from .components import components
+from .paragraphs import Hasher, mix, shingle_hashes, words_of
 
 SEED = 42
 #: Owners of a segment value up to which they are joined with one another.
@@ -75,10 +76,6 @@ def segments(fp: Column, n_words: int) -> list[Column]:
     return out
 
 
-def distance(x: Column, y: Column, n_words: int) -> Column:
-    return sum((F.bit_count(F.element_at(x, k + 1).bitwiseXOR(F.element_at(y, k + 1))) for k in range(n_words)), F.lit(0))
-
-
 def candidates(nodes: DataFrame, n_words: int, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """From ``node bigint, fp``: candidate pairs ``a, b``, and the crowded table entries ``value``.
 
@@ -131,9 +128,39 @@ def link_components(docs: DataFrame, size: int = 3) -> DataFrame:
     return rows.join(every, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For near-duplicate texts: a fingerprint of 256 bits over the distinct words, looked up in eight
-#: segments, then the exact share of common shingles of five words.
-TEXT_WORDS, TEXT_DISTANCE, TEXT_SHINGLE, TEXT_SIMILARITY = 4, 40, 5, 0.8
+#: For near-duplicate texts: MinHashes of the shingles of five words, in bands of three, then the exact share
+#: of common shingles.  A pair at 0.8 shares a band value with probability 1 - (1 - 0.8**3)**14 > 0.9999, wherever its differences lie.
+TEXT_SHINGLE, TEXT_SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 14, 3
+BAND_SEEDS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
+#: Centres of a crowded band value in its first round, and by how much they grow with each round.
+CENTRES, CENTRES_GROW = 4, 4
+
+
+def band_values(shingle: np.ndarray) -> np.ndarray:
+    """A number for each band from the hashes of a text's shingles; texts without shingles share theirs."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    shingle = mix(shingle, 0xD6E8FEB86659FD93)
+    for k in range(0, len(shingle), 4096):
+        least = np.minimum(least, (shingle[k : k + 4096] * BAND_SEEDS).min(axis=1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        out = (out ^ row ^ (row >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return out.view(np.int64)
+
+
+def banded(docs: DataFrame, size: int, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` plus ``bands array<bigint>``."""
+
+    def make():
+        hashed = Hasher()
+
+        def one(text):
+            words = words_of(text)
+            return (band_values(shingle_hashes(hashed(words), max(1, min(size, len(words))))).tolist(),)
+
+        return lambda texts: [one(t) for t in texts]
+
+    return map_rows(docs, make, "bands array<bigint>", list(columns))
 
 
 def shingle_set(text: str | None, size: int) -> list[int]:
@@ -141,22 +168,37 @@ def shingle_set(text: str | None, size: int) -> list[int]:
     return list({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in found})
 
 
-def near_duplicates(docs: DataFrame, similarity: float = TEXT_SIMILARITY, size: int = TEXT_SHINGLE) -> DataFrame:
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets are alike."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    return both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
+
+
+def crowded_links(crowded: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links, and those of the owners ``value, node, n`` of crowded values with a few centres of their value."""
+    at = F.pmod(F.xxhash64("value", "node"), F.lit(1 << 40)) / float(1 << 40)
+    here = crowded.select("value", "node", "n", at.alias("at"))
+    centres = here.where(F.col("at") < CENTRES / F.col("n")).select("value", F.col("node").alias("centre"))
+    pairs = centres.join(here, "value").where("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    return links.unionByName(scratch(alike(pairs, sets, similarity), "links"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = TEXT_SIMILARITY, size: int = TEXT_SHINGLE, crowd: int = CROWD) -> DataFrame:
     """doc_id, root: texts whose sets of ``size``-word shingles are alike by ``similarity`` or more (Jaccard), joined transitively.
 
-    Equal texts share a node, so each distinct text is fingerprinted and compared once.  The
-    fingerprint's segments find a pair of similarity 0.8 in 99 of 100 cases (README); found pairs are verified exactly.
+    Equal texts share a node, so each distinct text is banded and compared once.  Owners of a band
+    value are all compared with one another and verified exactly.  Of a crowded value, owners meet a few centres first.
     """
-    rows = scratch(fingerprints(docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", F.col("_node").alias("node"), "text"), 1, TEXT_WORDS, True, ("doc_id", "node")), "fingerprints")
-    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"))
-    pairs, _ = candidates(nodes, TEXT_WORDS)
-    pairs = pairs.distinct().join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b")), "b")
-    pairs = scratch(pairs.where(distance(F.col("fp_a"), F.col("fp_b"), TEXT_WORDS) <= TEXT_DISTANCE).select("a", "b"), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(wanted, "node", "left_semi")
-    sets = map_rows(texts, lambda: lambda ts: [(shingle_set(t, size),) for t in ts], "shingles array<bigint>", ["node"])
-    sets = scratch(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    links = both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
+    rows = scratch(banded(docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", F.col("_node").alias("node"), "text"), size, ("doc_id", "node")), "bands")
+    entries = rows.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("value"))
+    owners = scratch(entries.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "owners")
+    shared = scratch(entries.join(owners, "value"), "shared")
+    wanted = shared.select("node").distinct()
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = scratch(map_rows(texts, lambda: lambda ts: [(shingle_set(t, size),) for t in ts], "shingles array<bigint>", ["node"]), "shingles")
+    loose = shared.where(F.col("n") <= crowd)
+    pairs = loose.select("value", F.col("node").alias("a")).join(loose.select("value", F.col("node").alias("b")), "value").where("a < b").select("a", "b").distinct()
+    links = scratch(alike(pairs, sets, similarity), "links")
+    links = crowded_links(shared.where(F.col("n") > crowd), links, sets, similarity)
     return rows.select("doc_id", "node").join(components(links), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
