@@ -132,8 +132,8 @@ def link_components(docs: DataFrame, size: int = 3) -> DataFrame:
 #: of common shingles.  A pair at 0.8 shares a band value with probability 1 - (1 - 0.8**3)**14 > 0.9999, wherever its differences lie.
 TEXT_SHINGLE, TEXT_SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 14, 3
 BAND_SEEDS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
-#: Centres of a crowded band value in its first round, and by how much they grow with each round.
-CENTRES, CENTRES_GROW = 4, 4
+#: Centres of a shingle with many owners in its first round, and by how much they grow with each round.
+CENTRES, CENTRES_GROW = 4, 16
 
 
 def band_values(shingle: np.ndarray) -> np.ndarray:
@@ -175,20 +175,56 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
 
 
-def crowded_links(crowded: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links, and those of the owners ``value, node, n`` of crowded values with a few centres of their value."""
+def rare_entries(sets: DataFrame, similarity: float) -> DataFrame:
+    """value, node, place, size, n: the rarest shingles of each set, so many that sets which are alike share one for certain; n owners, two at least."""
+    each = sets.select("node", F.explode("shingles").alias("value"))
+    counts = each.groupBy("value").agg(F.count("*").alias("owners"))
+    ordered = each.join(counts, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("owners", "value"))).alias("v"))
+    size = F.size("v")
+    rare = ordered.select("node", size.alias("size"), F.posexplode(F.slice("v", F.lit(1), size - F.ceil(size * similarity - 1e-6).cast("int") + 1)).alias("place", "v"))
+    rare = scratch(rare.where("v.owners > 1").select(F.col("v.value").alias("value"), "node", "place", "size"), "rare")
+    return rare.join(rare.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value")
+
+
+def crowded_links(crowded: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """The links, and those among the owners ``node`` of crowded band values, which are keyed anew by their rarest shingles.
+
+    Two sets that are alike share one of these, and their first common one stands near the start of both:
+    no pair is lost.  In each round a shingle has some more of its owners for centres (all of
+    them in the last one), and each new centre meets the owners that come after it and aren't in its
+    component yet.  A shingle whose owners are in one component is done.
+    """
+    if crowded.isEmpty():
+        return links
+    none = sets.where(F.size("shingles") == 0).select("node")  # these are alike by definition
+    links = links.unionByName(none.crossJoin(none.agg(F.min("node").alias("b"))).select(F.col("node").alias("a"), "b"))
+    keys = rare_entries(sets.join(crowded.select("node").distinct(), "node", "left_semi"), similarity)
     at = F.pmod(F.xxhash64("value", "node"), F.lit(1 << 40)) / float(1 << 40)
-    here = crowded.select("value", "node", "n", at.alias("at"))
-    centres = here.where(F.col("at") < CENTRES / F.col("n")).select("value", F.col("node").alias("centre"))
-    pairs = centres.join(here, "value").where("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    return links.unionByName(scratch(alike(pairs, sets, similarity), "links"))
+    active, before, width = scratch(keys.withColumn("at", at), "active"), 0, CENTRES
+    while not active.isEmpty():
+        roots = scratch(components(links), "roots")
+        here = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        unjoined = here.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
+        here = scratch(here.join(unjoined, "value", "left_semi"), "here")
+        last = F.when(F.col("n") <= crowd, 1.0).otherwise(width / F.col("n"))
+        new = here.where((F.col("at") >= before / F.col("n")) & (F.col("at") < last))
+        centres = new.select("value", *[F.col(c).alias(f"c_{c}") for c in ("node", "root", "at", "size", "place")])
+        later = (F.col("at") > F.col("c_at")) | (F.col("at") == F.col("c_at")) & (F.col("node") > F.col("c_node"))
+        # What both sets hold from a first common shingle on must suffice; the margin is for rounding.
+        enough = F.least(F.col("size") - F.col("place"), F.col("c_size") - F.col("c_place")) + 1e-6 >= similarity / (1 + similarity) * (F.col("size") + F.col("c_size"))
+        met = centres.join(here, ["value"]).where(later & (F.col("root") != F.col("c_root")) & enough)
+        pairs = scratch(met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), "pairs")
+        links = links.unionByName(scratch(alike(pairs, sets, similarity), "links"))
+        active = scratch(here.where((F.col("n") > crowd) & (F.col("n") > width)).drop("root"), "active")
+        before, width = width, width * CENTRES_GROW
+    return links
 
 
 def near_duplicates(docs: DataFrame, similarity: float = TEXT_SIMILARITY, size: int = TEXT_SHINGLE, crowd: int = CROWD) -> DataFrame:
     """doc_id, root: texts whose sets of ``size``-word shingles are alike by ``similarity`` or more (Jaccard), joined transitively.
 
     Equal texts share a node, so each distinct text is banded and compared once.  Owners of a band
-    value are all compared with one another and verified exactly.  Of a crowded value, owners meet a few centres first.
+    value are all compared with one another and verified exactly; those of crowded values as ``crowded_links`` says.
     """
     rows = scratch(banded(docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", F.col("_node").alias("node"), "text"), size, ("doc_id", "node")), "bands")
     entries = rows.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("value"))
@@ -200,5 +236,5 @@ def near_duplicates(docs: DataFrame, similarity: float = TEXT_SIMILARITY, size:
     loose = shared.where(F.col("n") <= crowd)
     pairs = loose.select("value", F.col("node").alias("a")).join(loose.select("value", F.col("node").alias("b")), "value").where("a < b").select("a", "b").distinct()
     links = scratch(alike(pairs, sets, similarity), "links")
-    links = crowded_links(shared.where(F.col("n") > crowd), links, sets, similarity)
+    links = crowded_links(shared.where(F.col("n") > crowd), links, sets, similarity, crowd)
     return rows.select("doc_id", "node").join(components(links), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))

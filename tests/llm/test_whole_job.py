@@ -26,3 +26,18 @@ def test_near_duplicates_with_block_edits(spark):
     got = roots_of(spark, rows)
     assert len(pairs) > 120
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_near_duplicates_in_a_crowd(spark):
+    """Pairs of near copies among 800 texts that share most of a passage and crowd its band values; 40 texts of blanks."""
+    base, rows = prose(1, 200).split(), []
+    for g in range(400):
+        own, other = prose(20000 + g, 20).split(), prose(30000 + g, 14).split()
+        words = base[:50] + own + base[70:]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:120] + other + words[134:]))]
+    sets = {i: frozenset(simhash.shingle_set(t, 5)) for i, t in rows}
+    want = plain_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = roots_of(spark, [*rows, *[(1000 + k, " " * k) for k in range(40)]])
+    groups = lambda of: {frozenset(i for i in sets if of[i] == r) for r in {of[i] for i in sets}}
+    assert groups(got) == groups(want) and 300 < len(groups(want)) < 500
+    assert len({got[1000 + k] for k in range(40)}) == 1
