@@ -2,7 +2,7 @@
 
 import random
 
-from cuelake.llm import simhash
+from cuelake.llm import decontaminate, simhash
 from test_corpus_operators import plain_components, prose
 
 
@@ -41,3 +41,13 @@ def test_near_duplicates_in_a_crowd(spark):
     groups = lambda of: {frozenset(i for i in sets if of[i] == r) for r in {of[i] for i in sets}}
     assert groups(got) == groups(want) and 300 < len(groups(want)) < 500
     assert len({got[1000 + k] for k in range(40)}) == 1
+
+
+def test_items_that_many_documents_leak(spark):
+    """An item in two documents of five, and one in a corpus of six documents."""
+    item = [" ".join(f"{w}{j}" for j in range(40)) for w in ("some", "other")]
+    items = spark.createDataFrame(list(enumerate(item)), "item_id bigint, text string")
+    for n, every in ((200, 5), (6, 6)):
+        rows = [(i, f"{prose(i + 1000, 60)} {item[0] if i % every in (0, 3) else ''} {prose(i + 5000, 37)}") for i in range(n)]
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
+        assert got == {(i, 0) for i in range(n) if i % every in (0, 3)}
