@@ -51,3 +51,20 @@ def test_items_that_many_documents_leak(spark):
         rows = [(i, f"{prose(i + 1000, 60)} {item[0] if i % every in (0, 3) else ''} {prose(i + 5000, 37)}") for i in range(n)]
         got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
         assert got == {(i, 0) for i in range(n) if i % every in (0, 3)}
+
+
+def test_paraphrases_at_any_place(spark):
+    """Items of which 62 % of the words are kept, put into texts that use the same words."""
+    r, items, rows = random.Random(8), [], []
+    words = [f"{a}{b}{c}" for a in ("bar", "do", "kil", "lu", "men") for b in ("ta", "ro", "si", "ne") for c in range(20)]
+    for k in range(120):
+        item = [r.choice(words) for _ in range(r.randint(20, 55))]
+        drop = set(r.sample(range(len(item)), int(0.38 * len(item))))
+        answer = [w for i, w in enumerate(item) if i not in drop][-2:]
+        items.append((k, " ".join([*item, "answer:", *answer])))
+        about = [r.choice(words) for _ in range(150)]
+        at = r.randrange(150)
+        kept = [r.choice(words) if i in drop else w for i, w in enumerate(item)]
+        rows.append((k, " ".join([*about[:at], *kept, "answer:", *answer, *about[at:]])))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert sum((k, k) in got for k in range(120)) >= 0.98 * 120
