@@ -4,7 +4,7 @@ A detector finds e-mail addresses, IP addresses, card numbers and phone numbers
 (the base spans).  Transducers then rewrite the text: homoglyphs, invisible characters, spelled digits
 and disguises of at and dot.  Each rewritten character remembers the stretch of the source that it
 stands for, so what the same detectors find in the rewritten text maps back to exact source offsets.
-Spans that hold a rewritten character and touch no base span are added to the base ones.
+Spans that differ from every base span are added to the base ones, which stay beside them.
 
 Input cases: a null text counts as empty and has no spans.  Repeated rows give repeated results.
 Offsets are code points, ends are exclusive.  Whole texts are searched; every pattern takes time in
@@ -89,28 +89,22 @@ DIGIT_WORDS = {
 }
 WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 SPOKEN_WORD = re.compile(rf"\b{WORD}\b", re.I)
-#: Seven or more digits' names in a row, plain digits between them allowed, a plus before them.
+#: Digits' names in a row, plain digits between them allowed, a plus before them.
 SPOKEN = re.compile(rf"(?:\bplus[\s,-]{{1,3}}|\+\s?)?\b(?:{WORD}|[0-9]{{1,4}})(?:[\s,.-]{{1,3}}(?:{WORD}|[0-9]{{1,4}}))*\b", re.I)
 SPOKEN_TOKEN = re.compile(rf"plus|\+|{WORD}|[0-9]", re.I)
-SPOKEN_LEAST = 7
 AT = re.compile(r"\s{0,3}[(\[{<]\s{0,2}(?:at|@|arroba|ät|arobase)\s{0,2}[)\]}>]\s{0,3}", re.I)
 DOT = re.compile(r"\s{0,3}[(\[{<]\s{0,2}(?:dot|\.|punto|punkt|point)\s{0,2}[)\]}>]\s{0,3}", re.I)
 #: An address whose at is a bare word: its dots must be words or bracketed too.
 BARE = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})(\s{1,3}at\s{1,3})(?=[A-Za-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}|\s{0,3}[(\[{]\s?dot\s?[)\]}]\s{0,3})[A-Za-z0-9-])", re.I)
 BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I)
 BRACKETED = re.compile(r"[(\[{<]\s{0,2}(?:at|@|dot|\.|arroba|ät|arobase|punto|punkt|point)\s{0,2}[)\]}>]", re.I)
-ODD = re.compile("[\xadͰ-ԯ٠-٩۰-۹०-९\u200b-\u200d\u2060\ufeff！-～\U0001d7ce-\U0001d7ff]")
-
-
-def spoken_hint(low: str) -> bool:
-    """Whether a lower-cased text names two different digits or more, and seven in all: a cheap test before the patterns."""
-    words = low.replace(",", " ").replace("-", " ").replace(".", " ").split()
-    named = DIGIT_WORDS.keys() & set(words)
-    return len(named) > 1 and sum(map(words.count, named)) >= SPOKEN_LEAST
+#: A dot beside a digit's name in a run: it may part the numbers of an address.
+DOTTED = re.compile(rf"\b{WORD}\.(?:{WORD}|[0-9])|[0-9]\.{WORD}\b", re.I)
 
 
 def disguised(text: str, low: str) -> bool:
-    return " dot " in low or any(c in text for c in "([{<") and BRACKETED.search(text) is not None or not text.isascii() and ODD.search(text) is not None
+    """Whether any character or disguise of the text would be rewritten, digits' names apart."""
+    return "dot" in low and BARE_DOT.search(text) is not None or any(c in text for c in "([{<") and BRACKETED.search(text) is not None or not text.isascii() and any(c >= "\x80" and glyph(c) != c for c in set(text))
 
 
 def glyph(c: str) -> str:
@@ -144,41 +138,44 @@ class Tape:
         self.text, self.start, self.end, self.new = "".join(text), start, end, new
 
 
-def spoken(text: str):
-    """Edits that turn runs of digits' names into digits."""
+def spoken(text: str, dot: str):
+    """Edits that turn runs of digits' names into digits; a dot alone between two of them becomes ``dot``."""
     for m in SPOKEN.finditer(text):
         run = m.group()
-        if len(SPOKEN_WORD.findall(run)) >= SPOKEN_LEAST:
+        if SPOKEN_WORD.search(run):
             last = m.start()
             for t in SPOKEN_TOKEN.finditer(run):
                 a, b = m.start() + t.start(), m.start() + t.end()
                 if a > last:
-                    yield last, a, ""
+                    yield last, a, dot if text[last:a] == "." else ""
                 word = t.group().lower()
                 yield a, b, "+" if word in ("plus", "+") else DIGIT_WORDS.get(word, word)
                 last = b
 
 
-def added(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans that only show after rewriting, in source offsets."""
-    low = text.lower()
-    words = spoken_hint(low)
-    if not words and not disguised(text, low):
-        return []
+def rewritten(text: str, dot: str | None) -> list[tuple[int, int, str]]:
+    """What the detectors find after rewriting, in source offsets; digits' names stay as they are if ``dot`` is None."""
     tape = Tape(text)
     tape.rewrite([(i, i + 1, g) for i, c in enumerate(text) if c >= "\x80" and (g := glyph(c)) != c])
-    if words:
-        tape.rewrite(list(spoken(tape.text)))
+    if dot is not None:
+        tape.rewrite(list(spoken(tape.text, dot)))
     tape.rewrite([(*m.span(2), "@") for m in BARE.finditer(tape.text)])
     for pattern, put in ((AT, "@"), (DOT, "."), (BARE_DOT, ".")):
         tape.rewrite([(*m.span(), put) for m in pattern.finditer(tape.text)])
-    out = []
-    for a, b, kind in detect(tape.text):
-        if any(tape.new[a:b]):
-            s, e = tape.start[a], tape.end[b - 1]
-            if not any(x < e and s < y for x, y, _ in base):
-                out.append((s, e, kind))
-    return out
+    return [(tape.start[a], tape.end[b - 1], kind) for a, b, kind in detect(tape.text)]
+
+
+def added(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans that only show after rewriting, in source offsets."""
+    plain = text if text.isascii() else "".join(map(glyph, text))
+    words = SPOKEN_WORD.search(plain) is not None
+    out = rewritten(text, None) if disguised(text, text.lower()) else []
+    if words:
+        seen = base + out
+        for dot in ("", ".") if DOTTED.search(plain) else ("",):
+            # A number's name before an address is no part of it: addresses that are known already don't grow.
+            out += [s for s in rewritten(text, dot) if s[2] != "email" or not any(k == "email" and x < s[1] and s[0] < y for x, y, k in seen)]
+    return [s for s in dict.fromkeys(out) if s not in base]
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -2,7 +2,8 @@
 
 import random
 
-from cuelake.llm import decontaminate, simhash
+import pytest
+from cuelake.llm import decontaminate, pii, simhash
 from test_corpus_operators import plain_components, prose
 
 
@@ -68,3 +69,24 @@ def test_paraphrases_at_any_place(spark):
         rows.append((k, " ".join([*about[:at], *kept, "answer:", *answer, *about[at:]])))
     got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert sum((k, k) in got for k in range(120)) >= 0.98 * 120
+
+
+@pytest.mark.parametrize(
+    "text, masked",
+    [
+        ("jane@mail.exаmple.com", "<EMAIL>"),
+        ("jаne@example.com", "<EMAIL>"),
+        ("jane@mail.ex\u200bample.com", "<EMAIL>"),
+        ("+1 555 one two three four five six", "<PHONE>"),
+        ("call +1 five five five five five five five five five five", "call <PHONE>"),
+        ("one nine two dot one six eight dot one dot one", "<IP>"),
+        ("192.168.one.one", "<IP>"),
+        ("at (four)-one-one-one 1111 1111 1111 one", "at (four)-one-one-one 1111 1111 1111 one"),
+        ("card four 111 1111 1111 111 one", "card <CARD>"),
+        ("mail one two@x.org or 555 five", "mail one <EMAIL> or 555 five"),
+        ("one\tdot\ttwo dot three dot four", "<IP>"),
+    ],
+)
+def test_disguises_beside_base_spans(text, masked):
+    base, every = pii.spans(text)
+    assert set(base) <= set(every) and pii.redact(text, every) == masked
