@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -122,7 +123,7 @@ def test_decontamination_finds_leaks_and_spares_others(spark):
         want.add((500 + k, k))
     rows += [(600, None, None), (601, "", None), rows[-1], (None, items[3][1], None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, hits string")
-    out = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_items=13).collect()
+    out = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"), pass_items=13).collect()
     got = {(r.doc_id, r.item_id) for r in out}
     want |= {(500, 22), (None, 3)}
     assert got == want
@@ -131,13 +132,31 @@ def test_decontamination_finds_leaks_and_spares_others(spark):
 
 def test_decontamination_paraphrase_needs_the_answer():
     item = decontaminate.Item(1, "who found the bone near the old river bed in spring answer: a local smith")
-    assert item.answer_words({}) == {"a", "local", "smith"}
-    words = item.words
+    vocabulary = {w: k for k, w in enumerate(sorted(set(item.words)))}
+    item.index(vocabulary, np.ones(len(vocabulary), np.int64))
+    assert item.answer == {"a", "local", "smith"} and len(item.answer_places) == 3
+    words = item.numbers.tolist()
     assert decontaminate.lcs(item.bits, len(words), words).bit_count() == len(words)
     assert decontaminate.lcs(item.bits, len(words), words[::2]).bit_count() == len(words[::2])
     assert decontaminate.lcs(item.bits, len(words), []) == 0
 
 
+def test_places_met_bounds_the_subsequence():
+    r = random.Random(4)
+    for n in (5, 64, 65, 150):
+        item = decontaminate.Item(1, " ".join(f"w{r.randrange(60)}" for _ in range(n)))
+        vocabulary = {w: k for k, w in enumerate(sorted(set(item.words)))}
+        item.index(vocabulary, np.ones(len(vocabulary), np.int64))
+        flat = np.array([r.randrange(len(vocabulary) + 1) for _ in range(400)], np.int32)
+        start = np.array([r.randrange(300) for _ in range(20)])
+        end = np.minimum(start + 40, 333)
+        got = decontaminate.places_met(item, flat, start, end, len(vocabulary))
+        for a, b, m in zip(start, end, got):
+            seen = set(flat[a:b].tolist())
+            assert m == sum(x in seen for x in item.numbers.tolist())
+            assert decontaminate.lcs(item.bits, n, flat[a:b].tolist()).bit_count() <= m
+
+
 def test_lcs_against_the_table_method():
     r = random.Random(3)
     for _ in range(100):
