@@ -128,12 +128,16 @@ def link_components(docs: DataFrame, size: int = 3) -> DataFrame:
     return rows.join(every, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For near-duplicate texts: MinHashes of the shingles of five words, in bands of three, then the exact share
-#: of common shingles.  A pair at 0.8 shares a band value with probability 1 - (1 - 0.8**3)**14 > 0.9999, wherever its differences lie.
-TEXT_SHINGLE, TEXT_SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 14, 3
+#: For near-duplicate texts: shingles of five words; fingerprints of up to ``CLOSE`` bits apart are candidates by multi-index hashing.
+TEXT_SHINGLE, TEXT_SIMILARITY, CLOSE = 5, 0.8, 3
+#: At a similarity of 0.8 fingerprints differ in about ten bits, beyond any ball that can be enumerated.  Those pairs are found
+#: by MinHashes in bands of three: they share a value with probability 1 - (1 - 0.8**3)**14 > 0.9999, wherever their differences lie.
+BANDS, BAND_ROWS = 14, 3
 BAND_SEEDS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
 #: Centres of a shingle with many owners in its first round, and by how much they grow with each round.
 CENTRES, CENTRES_GROW = 4, 16
+#: Columns that tell a text: a node, and a second hash that differs where two texts share a node by chance.
+TEXT_KEY = ("node", "check")
 
 
 def band_values(shingle: np.ndarray) -> np.ndarray:
@@ -148,19 +152,27 @@ def band_values(shingle: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def banded(docs: DataFrame, size: int, columns: tuple[str, ...]) -> DataFrame:
-    """``columns`` plus ``bands array<bigint>``."""
+def text_key(text: str = "text") -> list[Column]:
+    """``node, check`` of a text; null counts as empty."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    check = F.call_function("shiftleft", F.crc32(whole), F.lit(31)).bitwiseOR(F.octet_length(whole).cast("bigint"))
+    return [F.xxhash64(whole).alias("node"), check.alias("check")]
+
+
+def sketched(docs: DataFrame, size: int, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` plus ``fp bigint``, the fingerprint, and ``bands array<bigint>``, both of the text's shingles."""
 
     def make():
         hashed = Hasher()
 
         def one(text):
             words = words_of(text)
-            return (band_values(shingle_hashes(hashed(words), max(1, min(size, len(words))))).tolist(),)
+            found = shingle_hashes(hashed(words), max(1, min(size, len(words))))
+            return majority(mix(found, 0x9FB21C651E98DF25)), band_values(found).tolist()
 
         return lambda texts: [one(t) for t in texts]
 
-    return map_rows(docs, make, "bands array<bigint>", list(columns))
+    return map_rows(docs, make, "fp bigint, bands array<bigint>", list(columns))
 
 
 def shingle_set(text: str | None, size: int) -> list[int]:
@@ -220,21 +232,43 @@ def crowded_links(crowded: DataFrame, links: DataFrame, sets: DataFrame, similar
     return links
 
 
+def close_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs ``a, b`` of ``node, fp``: equal fingerprints as a star, and fingerprints ``CLOSE`` or fewer bits apart through one node of each."""
+    first = scratch(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "first")
+    pairs, _ = candidates(first.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), 1)
+    near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= CLOSE).distinct()
+    of = first.select("fp", F.col("node").alias("x"))
+    met = near.join(of.withColumnRenamed("fp", "a"), "a").select("b", F.col("x").alias("u")).join(of.withColumnRenamed("fp", "b"), "b").select("u", "x")
+    same = nodes.join(first.where("n > 1").select("fp", F.col("node").alias("u")), "fp").where("node <> u").select("u", F.col("node").alias("x"))
+    return met.unionByName(same).select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = TEXT_SIMILARITY, size: int = TEXT_SHINGLE, crowd: int = CROWD) -> DataFrame:
-    """doc_id, root: texts whose sets of ``size``-word shingles are alike by ``similarity`` or more (Jaccard), joined transitively.
+    """doc_id, node, check, root of every row: texts whose sets of ``size``-word shingles are alike by ``similarity`` or more (Jaccard), joined transitively.
 
-    Equal texts share a node, so each distinct text is banded and compared once.  Owners of a band
-    value are all compared with one another and verified exactly; those of crowded values as ``crowded_links`` says.
+    Equal texts share a node, so each distinct text is compared once.  Close fingerprints, found by
+    multi-index hashing, are verified and joined first.  Then owners of a band value that aren't joined yet are
+    all compared with one another; those of crowded values as ``crowded_links`` says.  Every link is verified by the exact similarity.
+    Where two different texts share a node, the one with the greater ``check`` is a group of its own.
     """
-    rows = scratch(banded(docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", F.col("_node").alias("node"), "text"), size, ("doc_id", "node")), "bands")
-    entries = rows.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("value"))
+    rows = scratch(sketched(docs.select("doc_id", "text", *text_key()), size, ("doc_id", *TEXT_KEY)), "sketches")
+    nodes = scratch(rows.groupBy("node").agg(F.min("check").alias("check"), F.max("check").alias("other"), F.min_by(F.struct("fp", "bands"), "check").alias("s")).select("node", "check", "other", "s.*"), "nodes")
+    near = scratch(close_pairs(nodes.select("node", "fp")), "close")
+    entries = nodes.select("node", F.explode("bands").alias("value"))
     owners = scratch(entries.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "owners")
-    shared = scratch(entries.join(owners, "value"), "shared")
-    wanted = shared.select("node").distinct()
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    shared = entries.join(owners, "value")
+    wanted = shared.select("node").unionByName(near.select(F.col("a").alias("node"))).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    texts = docs.select("text", *text_key()).join(nodes.join(wanted, "node", "left_semi").select(*TEXT_KEY), list(TEXT_KEY), "left_semi").dropDuplicates(["node"])
     sets = scratch(map_rows(texts, lambda: lambda ts: [(shingle_set(t, size),) for t in ts], "shingles array<bigint>", ["node"]), "shingles")
+    links = scratch(alike(near, sets, similarity), "links")
+    joined = scratch(components(links), "joined")
+    shared = scratch(shared.join(joined, "node", "left").select("value", "n", "node", F.coalesce("root", "node").alias("root")), "shared")
     loose = shared.where(F.col("n") <= crowd)
-    pairs = loose.select("value", F.col("node").alias("a")).join(loose.select("value", F.col("node").alias("b")), "value").where("a < b").select("a", "b").distinct()
-    links = scratch(alike(pairs, sets, similarity), "links")
-    links = crowded_links(shared.where(F.col("n") > crowd), links, sets, similarity, crowd)
-    return rows.select("doc_id", "node").join(components(links), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    met = loose.select("value", F.col("node").alias("a"), F.col("root").alias("root_a")).join(loose.select("value", F.col("node").alias("b"), F.col("root").alias("root_b")), "value")
+    pairs = scratch(met.where("a < b and root_a <> root_b").select("a", "b").distinct(), "pairs")
+    links = links.unionByName(scratch(alike(pairs, sets, similarity), "links"))
+    links = crowded_links(shared.where(F.col("n") > crowd).select("node"), links, sets, similarity, crowd)
+    named = nodes.join(components(links), "node", "left").select("node", "check", F.coalesce("root", "node").alias("root"))
+    strange = rows.join(nodes.where("check <> other").select("node", F.col("check").alias("least")), "node").where("check <> least")
+    alone = strange.select("doc_id", *TEXT_KEY, F.xxhash64(F.lit(SEED), *TEXT_KEY).alias("root"))
+    return rows.select("doc_id", *TEXT_KEY).join(named, list(TEXT_KEY)).select("doc_id", *TEXT_KEY, "root").unionByName(alone)

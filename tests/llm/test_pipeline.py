@@ -5,14 +5,14 @@ from cuelake.llm import pii, simhash
 from cuelake.llm.queries import ORACLES, QUERIES
 
 
-def test_pipeline_stages(spark, data):
+def test_pipeline_stages(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns, seen = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, data)
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == columns and dict(out.dtypes) == dict(docs.dtypes)
-        path = f"/tmp/cuelake-test-{name}"
+        path = f"{tmp_path}/{name}"
         out.write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
         seen.append(docs)
@@ -39,6 +39,20 @@ def test_stages_take_awkward_tables(spark, data):
     assert sorted(str(r.doc_id) for r in single) == ["1", "None"]
 
 
+def test_stages_judge_rows_and_not_ids(spark, data):
+    """Ids that repeat over different texts, copies without ids, repeated rows, and leaks among them."""
+    item = spark.read.parquet(f"{data}/benchmark.parquet").where("length(text) > 150").first().text
+    long = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(6)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, check string"
+    row = lambda i, t, extra="e": (i, t, "en", "s", 1, extra, "c")
+    rows = [row(1, long[0]), row(1, long[1]), row(2, long[2]), row(None, long[3]), row(None, long[3]), row(None, long[3]), row(7, long[2]), row(5, long[4]), row(5, long[4]), row(5, long[4], "f"), row(None, long[4])]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, schema), data).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", long[0]), ("1", long[1]), ("2", long[2]), ("None", long[3]), ("5", long[4])])
+    rows = [row(1, long[0]), row(1, f"{long[1]} {item}"), row(None, f"{item} {long[2]}"), row(None, long[3]), row(3, None)]
+    clean = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, schema), data).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in clean) == sorted(str(x) for x in [(1, long[0]), (None, long[3]), (3, None)])
+
+
 def test_queries_are_registered():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
