@@ -30,21 +30,33 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one with the least id.  Rows without an id pass."""
+    """Keep one row of each group of near copies: the one with the least id, then with the least hash of its text.
+
+    Groups are made of rows, whatever their ids: rows that share an id but not a text are judged apart, and
+    rows without an id take part (one stays if the whole group has none).  Of rows equal in id and text the one
+    with the least hash of all columns stays.
+    """
+    key = ["doc_id", *simhash.TEXT_KEY]
     groups = scratch(simhash.near_duplicates(docs), "groups")
-    kept = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    single = docs.join(kept, "doc_id", "left_semi")
-    repeated = scratch(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    # Ids that stand on several rows are rare; of their rows one is kept.
-    once = single.join(repeated, "doc_id", "left_anti")
-    several = single.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(several).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("k"))
+    chosen = least.select(*[F.col("k")[c].alias(f"k_{c}") for c in key])
+    repeated = groups.groupBy(*key).count().where("count > 1").select(*[F.col(c).alias(f"k_{c}") for c in key])
+    repeated = scratch(repeated, "repeated")
+
+    def same():
+        return F.expr(" and ".join(f"{c} <=> k_{c}" for c in key))
+
+    rows = packed(docs).select("row", "text", F.col("row.doc_id").alias("doc_id"), *simhash.text_key())
+    kept = rows.join(chosen, same(), "left_semi")
+    once = kept.join(repeated, same(), "left_anti").select("row", "text")
+    # Copies that share their id too are thinned in a grouping, which combines before its shuffle.
+    several = kept.join(repeated, same(), "left_semi").groupBy(*key).agg(F.min_by(F.struct("row", "text"), F.xxhash64("row")).alias("one")).select("one.*")
+    return unpacked(once.unionByName(several), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that leak a benchmark item."""
-    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Drop the rows that leak a benchmark item.  Each row is judged by its own text, so null and repeated ids do no harm."""
+    return unpacked(decontaminate.without_leaks(packed(docs), table(spark, sf_dir, "benchmark"), ("row",)), docs.columns)
 
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
