@@ -198,6 +198,10 @@ def rare_entries(sets: DataFrame, similarity: float) -> DataFrame:
     return rare.join(rare.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value")
 
 
+def stars(roots: DataFrame) -> DataFrame:
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def crowded_links(crowded: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, crowd: int) -> DataFrame:
     """The links, and those among the owners ``node`` of crowded band values, which are keyed anew by their rarest shingles.
 
@@ -215,6 +219,7 @@ def crowded_links(crowded: DataFrame, links: DataFrame, sets: DataFrame, similar
     active, before, width = scratch(keys.withColumn("at", at), "active"), 0, CENTRES
     while not active.isEmpty():
         roots = scratch(components(links), "roots")
+        links = stars(roots)
         here = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         unjoined = here.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
         here = scratch(here.join(unjoined, "value", "left_semi"), "here")
@@ -260,13 +265,13 @@ def near_duplicates(docs: DataFrame, similarity: float = TEXT_SIMILARITY, size:
     wanted = shared.select("node").unionByName(near.select(F.col("a").alias("node"))).unionByName(near.select(F.col("b").alias("node"))).distinct()
     texts = docs.select("text", *text_key()).join(nodes.join(wanted, "node", "left_semi").select(*TEXT_KEY), list(TEXT_KEY), "left_semi").dropDuplicates(["node"])
     sets = scratch(map_rows(texts, lambda: lambda ts: [(shingle_set(t, size),) for t in ts], "shingles array<bigint>", ["node"]), "shingles")
-    links = scratch(alike(near, sets, similarity), "links")
-    joined = scratch(components(links), "joined")
+    joined = scratch(components(scratch(alike(near, sets, similarity), "links")), "joined")
     shared = scratch(shared.join(joined, "node", "left").select("value", "n", "node", F.coalesce("root", "node").alias("root")), "shared")
     loose = shared.where(F.col("n") <= crowd)
     met = loose.select("value", F.col("node").alias("a"), F.col("root").alias("root_a")).join(loose.select("value", F.col("node").alias("b"), F.col("root").alias("root_b")), "value")
     pairs = scratch(met.where("a < b and root_a <> root_b").select("a", "b").distinct(), "pairs")
-    links = links.unionByName(scratch(alike(pairs, sets, similarity), "links"))
+    # From here on a component's links are its stars: fewer, and the same components.
+    links = stars(joined).unionByName(scratch(alike(pairs, sets, similarity), "links"))
     links = crowded_links(shared.where(F.col("n") > crowd).select("node"), links, sets, similarity, crowd)
     named = nodes.join(components(links), "node", "left").select("node", "check", F.coalesce("root", "node").alias("root"))
     strange = rows.join(nodes.where("check <> other").select("node", F.col("check").alias("least")), "node").where("check <> least")
