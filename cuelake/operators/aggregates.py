@@ -93,7 +93,14 @@ def match_ratio(ops: Column) -> Column:
 
 
 def wer_bucket(wer: Column) -> Column:
-    return F.when(wer == 0, "exact").when(wer < 0.1, "good").when(wer < 0.32, "fair").otherwise("poor")
+    """exact, good, fair or poor; null for null."""
+    return F.when(wer == 0, "exact").when(wer < 0.1, "good").when(wer < 0.32, "fair").when(wer.isNotNull(), "poor")
+
+
+def share_bucket(share: Column, closed: bool) -> Column:
+    """high, medium or low share of equal steps; at its beginning (``closed``) 0.7 and 0.5 themselves count, at its end they don't."""
+    high, medium = (share >= 0.7, share >= 0.5) if closed else (share > 0.7, share > 0.5)
+    return F.when(high, "high").when(medium, "medium").when(share.isNotNull(), "low")
 
 
 def best_track(tracks: DataFrame, priority=("json3", "srv3", "vtt", "ttml", "srv2", "srv1"), *keys: str) -> DataFrame:

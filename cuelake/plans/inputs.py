@@ -89,6 +89,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = "lines AS (SELECT doc_id, unnest(range(0, len(p))) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"
 
 
+def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the documents as segments, one behind the other, of 60 ms a character."""
+    rows = lines(spark, sf_dir)
+    end = F.sum(60 * (F.length("line").cast("long") + 1)).over(W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    start = end - 60 * (F.length("line").cast("long") + 1)
+    return rows.select("doc_id", F.col("line_no").cast("int").alias("seg_idx"), F.col("line").alias("text"), start.alias("start_ms"), end.alias("end_ms"))
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds of labels for each document that has one."""
     d = table(spark, sf_dir, "labels").select("doc_id")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from cuelake.functions import clock, text as T
-from cuelake.operators import aggregates, chunks, joins, pages, sequential, speakers, summaries
+from cuelake.operators import aggregates, alignment, chunks, duplicates, gates, joins, pages, sequential, speakers, summaries
 from cuelake.sources import captions, writers
 from cuelake.streaming import windows as streams
 
-from .inputs import CHAPTERS, SEG, chapters, hypothesis, segments, table
+from .inputs import CHAPTERS, SEG, chapters, document_segments, hypothesis, segments, table
 from .registry import query
 
 
@@ -20,14 +20,21 @@ def segmenter_full(spark, d):
 
 @query()
 def align_groups(spark, d):
-    return sequential.align(segments(spark, d), hypothesis(spark, d))
+    return alignment.align(segments(spark, d), hypothesis(spark, d))
 
 
 @query()
 def wer_stats(spark, d):
-    g = sequential.align(segments(spark, d), hypothesis(spark, d)).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_ins", "n_del", "n_sub", "n_cor", "ref_len")])
-    wer = (F.col("n_ins") + F.col("n_del") + F.col("n_sub")) / F.greatest("ref_len", F.lit(1))
-    return g.withColumn("wer", F.round(wer, 4)).withColumn("bucket", aggregates.wer_bucket(wer))
+    t = alignment.totals(alignment.align(segments(spark, d), hypothesis(spark, d)))
+    return t.withColumn("bucket", aggregates.wer_bucket(F.col("wer")))
+
+
+@query("SELECT doc_id, count(*) AS n_segments, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS n_words FROM seg GROUP BY doc_id", SEG)
+def aligned_with_itself(spark, d):
+    """Each group of a track with itself is equal, and no row or word is lost."""
+    s = segments(spark, d).withColumn("text", F.array_join(F.transform(F.split("text", " "), lambda w, i: F.concat(F.lit("w"), i)), " "))
+    g = alignment.align(s, s).where("wer = 0 and diff_ms >= 0 and n_cor = ref_len")
+    return g.groupBy("doc_id").agg(F.sum(F.col("sub_hi") - F.col("sub_lo")).alias("n_segments"), F.sum("ref_len").alias("n_words"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 'exact' WHEN l_discount < 0.1 THEN 'good' WHEN l_discount < 0.32 THEN 'fair' ELSE 'poor' END AS bucket FROM lineitem")
@@ -43,28 +50,15 @@ def timestamp_transfer(spark, d):
     return sequential.transfer(s, ref)
 
 
-def repeated_segments(spark, d):
-    """Conversations in which every fourth turn repeats the one before it."""
-    s = segments(spark, d)
-    again = s.where("seg_idx % 4 = 1").withColumn("start_ms", F.col("end_ms") + 1).withColumn("seg_idx", F.col("seg_idx") + 1000)
-    return s.unionByName(again)
-
-
 @query()
 def dup_blocks(spark, d):
-    return sequential.dup_blocks(repeated_segments(spark, d))
+    return duplicates.dup_blocks(document_segments(spark, d))
 
 
 @query()
 def dedup_segments(spark, d):
-    """Segments without those that the second of two duplicate blocks covers."""
-    s = repeated_segments(spark, d)
-    blocks = sequential.dup_blocks(s)
-    order = s.select("doc_id", "seg_idx", "start_ms")
-    lo = blocks.join(order, (blocks.doc_id == order.doc_id) & (blocks.second_lo == order.seg_idx)).select(blocks.doc_id, "second_hi", F.col("start_ms").alias("lo_ms"))
-    span = lo.join(order, (lo.doc_id == order.doc_id) & (lo.second_hi == order.seg_idx)).select(lo.doc_id, "lo_ms", F.col("start_ms").alias("hi_ms")).distinct()
-    covered = joins.overlaps(order.select("doc_id", "seg_idx", "start_ms", (F.col("start_ms") + 1).alias("end_ms")), span.select("doc_id", F.col("lo_ms").alias("start_ms"), (F.col("hi_ms") + 1).alias("end_ms")))
-    return s.join(covered.select("doc_id", "seg_idx").distinct(), ["doc_id", "seg_idx"], "left_anti").select("doc_id", "seg_idx", "start_ms", "end_ms")
+    """Lines of the documents without the shorter copy of each block that comes twice nearby."""
+    return duplicates.deduplicated(document_segments(spark, d)).select("doc_id", "seg_idx", "start_ms", "end_ms")
 
 
 @query()
@@ -173,12 +167,74 @@ def best_audio_pick(spark, d):
     return aggregates.best_audio(e, "m4a", 128, "user_id").select("user_id", "ord")
 
 
-@query("SELECT item_id, text AS overview, CAST(0 AS INTEGER) AS n_tags, concat('Item ', item_id) AS title FROM benchmark")
+@query("SELECT item_id, text AS overview, CAST(0 AS INTEGER) AS n_tags, CASE WHEN item_id % 2 = 0 THEN 'Untitled' ELSE concat('Item ', item_id) END AS title FROM benchmark")
 def summary_defaults(spark, d):
-    raw = F.to_json(F.struct(F.col("text").alias("overview")))
-    b = table(spark, d, "benchmark").select("item_id", F.from_json(T.json_payload(F.concat(F.lit("```json\n"), raw, F.lit("\n```"))), "title string, overview string, tags array<string>").alias("s"))
-    tags = F.coalesce("s.tags", F.array().cast("array<string>"))
-    return b.select("item_id", "s.overview", F.size(tags).alias("n_tags"), F.coalesce("s.title", F.concat(F.lit("Item "), "item_id")).alias("title"))
+    title = F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("Item "), "item_id"))
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("text").alias("overview"), title.alias("title"))), F.lit("\n```"))
+    b = table(spark, d, "benchmark").select("item_id", summaries.summary_of(answer).alias("s"))
+    return b.select("item_id", "s.overview", F.size("s.tags").alias("n_tags"), "s.title")
+
+
+WORD_STARTS = "wt AS (SELECT doc_id, seg_idx, CASE WHEN seg_idx % 3 = 0 THEN 0 ELSE len(string_split(text, ' ')) END AS n FROM seg)"
+
+
+def timed_words(spark, d):
+    """Segments with word timings; every third segment has none."""
+    word = F.struct(F.lit("w").alias("symbol"), F.col("start_ms"))
+    words = F.when(F.col("seg_idx") % 3 != 0, F.transform(F.split("text", " "), lambda w: word))
+    return segments(spark, d).withColumn("words", words)
+
+
+@query("SELECT doc_id, bool_and(n > 0) AS ready, sum(n) / count(*) AS ratio, sum(n) < 0.5 * count(*) AS low FROM wt GROUP BY doc_id", SEG, WORD_STARTS)
+def word_gates(spark, d):
+    s = timed_words(spark, d)
+    return gates.all_have_words(s).join(gates.word_ratio(s), "doc_id")
+
+
+@query("SELECT doc_id, seg_idx + 1 AS seg_idx, CASE WHEN doc_id % 2 = 0 THEN seg_idx END AS source_id FROM seg WHERE doc_id % 2 = 0 OR seg_idx > 0", SEG)
+def id_preserve(spark, d):
+    s = segments(spark, d)
+    aligned = s.where("doc_id % 2 = 0 or seg_idx > 0").withColumn("seg_idx", F.col("seg_idx") + 1)
+    return gates.keep_ids(s, aligned).select("doc_id", "seg_idx", "source_id")
+
+
+@query("SELECT doc_id, count(DISTINCT speaker) >= 2 AS ready FROM seg GROUP BY doc_id", SEG)
+def naming_gate(spark, d):
+    return gates.can_be_named(segments(spark, d))
+
+
+@query("SELECT doc_id, concat('l', min(seg_idx)) AS lang FROM seg WHERE seg_idx % 4 = 2 GROUP BY doc_id", SEG)
+def first_language(spark, d):
+    found = F.when(F.col("seg_idx") % 4 == 2, F.concat(F.lit("l"), "seg_idx")).when(F.col("seg_idx") % 4 == 1, "")
+    return gates.first_language(segments(spark, d).select("doc_id", F.col("seg_idx").alias("chunk_idx"), found.alias("lang")))
+
+
+@query("SELECT doc_id, count(DISTINCT seg_idx // 3) AS n_batches, count(*) AS n_segments FROM seg WHERE (seg_idx // 3) % 2 = 0 GROUP BY doc_id", SEG)
+def resume_counts(spark, d):
+    b = chunks.batches(segments(spark, d), 3)
+    return gates.resumed(b, b.where("batch % 2 = 0"))
+
+
+@query("SELECT doc_id, seg_idx, start_ms, CAST(least(start_ms + least(greatest(end_ms - start_ms, 700, ceil(length(text) * 1000 / 17.0)), 7000), coalesce(lead(start_ms) OVER (PARTITION BY doc_id ORDER BY start_ms, seg_idx), 9000000000000)) AS BIGINT) AS end_ms FROM seg", SEG)
+def standard_layout(spark, d):
+    return gates.standard(segments(spark, d)).select("doc_id", "seg_idx", "start_ms", "end_ms")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.07 THEN 'high' WHEN l_discount >= 0.05 THEN 'medium' ELSE 'low' END AS prefix, CASE WHEN l_discount > 0.07 THEN 'high' WHEN l_discount > 0.05 THEN 'medium' ELSE 'low' END AS suffix FROM lineitem")
+def share_buckets(spark, d):
+    tenfold = F.round(F.col("l_discount").cast("double") * 10, 2)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", aggregates.share_bucket(tenfold, True).alias("prefix"), aggregates.share_bucket(tenfold, False).alias("suffix"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL")
+def tpch_pricing(spark, d):
+    part = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("date"))
+    return part.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def tpch_topk(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
 
 
 @query("SELECT doc_id, md5(string_agg(concat(number, chr(10), t(start_ms, ','), ' --> ', t(end_ms, ','), chr(10), coalesce(speaker || ': ', ''), text, chr(10)), chr(10) ORDER BY number)) AS srt_md5 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_ms, seg_idx) AS number FROM seg) GROUP BY doc_id".replace("t(start_ms, ',')", "format('{:02d}:{:02d}:{:02d},{:03d}', start_ms // 3600000, (start_ms // 60000) % 60, (start_ms // 1000) % 60, start_ms % 1000)").replace("t(end_ms, ',')", "format('{:02d}:{:02d}:{:02d},{:03d}', end_ms // 3600000, (end_ms // 60000) % 60, (end_ms // 1000) % 60, end_ms % 1000)"), SEG)

@@ -128,9 +128,9 @@ def scored(spark, d):
 SCORED = "scored AS (SELECT doc_id, seg_idx, 1000 - loss_sum // n_frames AS score FROM loss)"
 
 
-@query("SELECT doc_id, seg_idx, score FROM scored JOIN seg USING (doc_id, seg_idx) WHERE score < 971 AND NOT (starts_with(trim(text), '[') AND ends_with(trim(text), ']'))", SEG, FRAMES, SPANS, LOSS, SCORED)
+@query("SELECT doc_id, seg_idx, score FROM scored JOIN seg USING (doc_id, seg_idx) WHERE score < 975 AND NOT (starts_with(trim(text), '[') AND ends_with(trim(text), ']'))", SEG, FRAMES, SPANS, LOSS, SCORED)
 def low_score_segments(spark, d):
-    low = scored(spark, d).where("score < 971")
+    low = scored(spark, d).where("score < 975")
     plain = segments(spark, d).where(~T.is_event_marker(F.col("text"))).select("doc_id", "seg_idx")
     return low.join(plain, ["doc_id", "seg_idx"], "left_semi")
 
@@ -165,10 +165,10 @@ def speaker_relabel(spark, d):
     return joins.relabel(s, names).select("doc_id", "seg_idx", "speaker")
 
 
-@query("SELECT m.doc_id, m.event_id AS seg_idx, min(i.start_ms) AS event_ms FROM intervals m JOIN intervals i ON m.doc_id = i.doc_id AND m.label = i.label AND i.start_ms < m.end_ms + 20000 AND i.end_ms > m.start_ms - 20000 WHERE m.event_id % 4 = 0 GROUP BY ALL", INTERVALS)
+@query("SELECT m.doc_id, m.event_id AS seg_idx, min(i.start_ms) AS event_ms FROM intervals m JOIN intervals i ON m.doc_id = i.doc_id AND m.label = i.label AND i.start_ms < m.end_ms + 20000 AND i.end_ms > m.start_ms - 20000 GROUP BY ALL", INTERVALS)
 def event_match_merge_first(spark, d):
     i = intervals(spark, d)
-    marks = i.where("event_id % 4 = 0").select("doc_id", F.col("event_id").alias("seg_idx"), "start_ms", "end_ms", F.concat(F.lit("["), "label", F.lit("]")).alias("text"))
+    marks = i.select("doc_id", F.col("event_id").alias("seg_idx"), "start_ms", "end_ms", F.concat(F.lit("["), "label", F.lit("]")).alias("text"))
     return joins.match_events(marks, i.drop("event_id"), {}).select("doc_id", "seg_idx", F.col("b_start_ms").alias("event_ms"))
 
 

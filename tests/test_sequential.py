@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
-from cuelake.operators import sequential as S
+from cuelake.operators import alignment as A, duplicates as D, sequential as S
 from cuelake.operators.chunks import fit, map_model, sample_windows, split_long
 from cuelake.plans.inputs import hypothesis, segments
 
@@ -32,46 +33,107 @@ def test_segmenter_keeps_every_row(spark, data):
     assert got.count() == s.count() and got.exceptAll(s.select("doc_id", "seg_idx")).count() == 0
 
 
-def test_edit_ops_are_least_and_complete():
+def ops_of(a: list[str], b: list[str]):
+    return A.Aligned([a], [b]).ops(0, len(a) + len(b) + 2)
+
+
+def plain_distance(a, b):
+    t = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(t[j - 1] + (x != y), t[j] + 1, row[-1] + 1))
+        t = row
+    return t[-1]
+
+
+def test_edit_steps_are_least_and_complete():
     r = random.Random(2)
     for _ in range(200):
         a, b = [r.choice("abc") for _ in range(r.randint(0, 12))], [r.choice("abc") for _ in range(r.randint(0, 12))]
-        ops = S.edit_ops(a, b)
-        assert [x for x, _, _ in ops if x is not None] == a and [y for _, y, _ in ops if y is not None] == b
-        t = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row = [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(t[j - 1] + (x != y), t[j] + 1, row[-1] + 1))
-            t = row
-        assert sum(o != "=" for *_, o in ops) == t[-1]
-
-
-def test_wer_counts():
-    w = lambda a, b: S.wer_counts(S.edit_ops(a.split(), b.split()))
-    assert w("a b c", "a b c")["wer"] == 0
-    assert w("a b c d", "a x c") == {"ins": 0, "del": 1, "sub": 1, "cor": 2, "ref_len": 4, "wer": 0.5}
-    assert w("a", "a b c")["ref_len"] == 3
-    assert w("it is ok now", "it 's okay now")["sub"] <= 1
-    assert w("", "")["wer"] == 0
-
-
-def test_align_groups_cover_both_tracks():
+        ops = ops_of(a, b)
+        assert [x for x, *_ in ops if x not in (None, A.MARK)] == a and [y for _, y, _ in ops if y not in (None, A.MARK)] == b
+        assert sum(o != "=" for *_, o in ops) == plain_distance(a, b)
+        x, y = (np.array([ord(c) for c in t], np.int64) for t in (a, b))
+        halved = A.edit_steps(x, y, cells=6)
+        i, j, cost = 0, 0, 0
+        for s in halved.tolist():
+            cost += s != A.PAIR or x[i] != y[j]
+            i, j = i + (s != A.INSERTED), j + (s != A.DELETED)
+        assert (i, j, cost) == (len(x), len(y), plain_distance(a, b))
+
+
+def plain_counts(pairs):
+    """The counts of an alignment, pair by pair."""
+    out, hidden = dict.fromkeys(("n_ins", "n_del", "n_sub", "n_cor", "ref_len"), 0), 0
+    for k, (a, b, op) in enumerate(pairs):
+        if hidden:
+            hidden -= 1
+        elif (a, b) in A.SAME_WORD:
+            hidden, out["ref_len"] = 1, out["ref_len"] + 1
+        elif tuple(p[:2] for p in pairs[k : k + 2]) in A.SAME_TWO:
+            hidden, out["ref_len"] = 2, out["ref_len"] + 2
+        elif not (a == b == A.MARK):
+            out["ref_len"] += 1
+            out[{"i": "n_ins", "d": "n_del", "s": "n_sub", "=": "n_cor"}[op]] += 1
+    return out
+
+
+def test_error_counts(spark):
+    r, rows = random.Random(5), []
+    words = [w for pair in A.SAME_WORD for w in pair] + ["let", "us", "'s", "do", "not", "n't", A.MARK, "a", "b"]
+    two = [p for pair in A.SAME_TWO for p in pair]
+    for k in range(200):
+        pairs = [r.choice([(x, x), (x, y), (x, None), (None, y), r.choice(A.SAME_WORD), *two]) for x, y in zip(r.choices(words, k=12), r.choices(words, k=12))]
+        if k % 3 == 0:
+            pairs[3:5] = list(r.choice(A.SAME_TWO))
+        rows.append((k, [(a, b, "i" if a is None else "d" if b is None else "=" if a == b else "s") for a, b in pairs]))
+    df = spark.createDataFrame([*rows, (200, [])], "k int, ops array<struct<ref: string, hyp: string, op: string>>")
+    got = {x.k: x.c.asDict() for x in df.select("k", A.error_counts(F.col("ops")).alias("c")).collect()}
+    assert got == {k: plain_counts([tuple(p) for p in ops]) for k, ops in [*rows, (200, [])]}
+
+
+def groups_of(sub, asr, **k):
+    tracks = A.Aligned([t.split() for *_, t in sub], [t.split() for *_, t in asr])
+    return A.group_spans(tracks, len(sub), [(s, e) for s, e, _ in asr], **k)
+
+
+def test_groups_cover_both_tracks():
     sub = [(i * 3000, i * 3000 + 2000, f"word{i} and word{i}b then") for i in range(6)]
-    groups = S.align_groups(sub, sub)
-    assert [g[0] for g in groups] == [(i, i + 1) for i in range(6)] == [g[1] for g in groups]
-    assert all(S.wer_counts(g[2])["wer"] == 0 for g in groups)
-    assert [g[0] for g in S.align_groups(sub, [])] == [(0, 6)]
-    assert S.align_groups([], []) == []
+    assert [g[:4] for g in groups_of(sub, sub)] == [(i, i + 1, i, i + 1) for i in range(6)]
+    assert [g[:4] for g in groups_of(sub, [])] == [(0, 6, 0, 0)] and [g[:4] for g in groups_of([], sub)] == [(0, 0, 0, 6)]
+    assert groups_of([], []) == []
+    # Nothing is equal, but a long silence parts the rows.
+    other = [(0, 1000, "x y"), (30_000, 31_000, "u v")]
+    assert [g[:4] for g in groups_of([(0, 1, "a b"), (2, 3, "c d")], other)] == [(0, 1, 0, 1), (1, 2, 1, 2)]
+    # Ten equal steps at the beginning of a group's own steps, not of those before it.
+    sub = [(0, 1, "a b c d e f g h i j k l m n"), (2, 3, "p q r s")]
+    asr = [(0, 1, "a b c d e f g h i j k l m n"), (2, 3, "t u v w")]
+    assert [g[:4] for g in groups_of(sub, asr)] == [(0, 1, 0, 1), (1, 2, 1, 2)]
+
+
+def test_group_times():
+    sub, asr = [(0, 1000), (5000, 6000)], [(500, 1500), (2500, 3000), (9000, 9500)]
+    spans = [(0, 1, 0, 1, 0, 0), (1, 2, 1, 1, 0, 0), (2, 2, 1, 3, 0, 0)]
+    assert A.group_times(spans, sub, asr) == [(0, 1000, 500, 2000), (5000, 6000, 2000, 2500), (6000, 8000, 2500, 9500)]
 
 
 def test_self_alignment_has_no_errors(spark, data):
     s = segments(spark, data)
-    got = S.align(s, s)
+    got = A.align(s, s)
     assert got.where("wer > 0").count() == 0
     assert got.agg(F.sum(F.col("sub_hi") - F.col("sub_lo"))).first()[0] == s.count()
-    other = S.align(s, hypothesis(spark, data))
+    other = A.align(s, hypothesis(spark, data))
     assert other.agg(F.sum(F.col("asr_hi") - F.col("asr_lo"))).first()[0] == s.count()
+    turns = A.best_first(other).groupBy("doc_id").agg(F.max("turn").alias("m"), F.count("*").alias("n")).where("m + 1 <> n")
+    assert turns.count() == 0
+
+
+def test_long_tracks_fit_a_bounded_table(spark):
+    r = random.Random(6)
+    a = [r.choice(("one", "two", "three", "four")) + str(r.randrange(400)) for _ in range(9000)]
+    b = [w for w in a if r.random() > 0.1]
+    assert sum(o != "=" for *_, o in ops_of(a, b)) == len(a) - len(b)
 
 
 def test_transfer_times_moves_forward():
@@ -81,13 +143,73 @@ def test_transfer_times_moves_forward():
     assert S.transfer_times([(5, ["x"])], []) == [(5, 0, False)]
 
 
-def test_duplicate_blocks():
+def plain_blocks(rows, least=10, chars=20, reach=300, ms=300_000):
+    """All maximal runs of equal words by comparing every two places, then the longest ones that share no word."""
+    words = [(w, k) for k, (_, _, t) in enumerate(rows) for w in t.lower().split()]
+    n, runs = len(words), []
+    for gap in range(1, min(reach, n - 1) + 1):
+        a = 0
+        while a + gap < n:
+            k = 0
+            while a + gap + k < n and words[a + k][0] == words[a + gap + k][0]:
+                k += 1
+            if k >= least and sum(len(w) for w, _ in words[a : a + k]) >= chars and abs(rows[words[a + gap][1]][0] - rows[words[a][1]][0]) <= ms:
+                runs.append((k, a, a + gap))
+            a += max(k, 1)
+    taken, out = set(), []
+    for k, a, b in sorted(runs, key=lambda x: (-x[0], x[1], x[2])):
+        span = {*range(a, a + k), *range(b, b + k)}
+        if span & taken:
+            continue
+        taken |= span
+        first, second = (words[a][1], words[a + k - 1][1]), (words[b][1], words[b + k - 1][1])
+        if first != second:
+            out.append((*first, *second, k))
+    return sorted(out)
+
+
+def frame(spark, docs):
+    rows = [(d, i, s, e, t) for d, track in docs.items() for i, (s, e, t) in enumerate(track)]
+    return spark.createDataFrame(rows, "doc_id bigint, seg_idx int, start_ms bigint, end_ms bigint, text string")
+
+
+def test_duplicate_blocks(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
-    rows = [(0, 1, text), (2000, 3000, "some words between these two blocks stand alone here now"), (5000, 6000, text), (7000, 8000, "the end of it all with more words")]
-    assert S.duplicate_blocks(rows) == [((0, 0), (2, 2), 12, 5000)]
-    assert S.duplicate_blocks(rows[:2]) == []
-    far = [rows[0], (400_000, 401_000, text), rows[3]]
-    assert S.duplicate_blocks(far) == []
+    rows = [(0, 1000, text), (2000, 3000, "some words between these two blocks stand alone here now"), (5000, 5500, text), (7000, 8000, "the end of it all with more words")]
+    chinese = "我刚刚把它做成了主动式的所以我添加了一个提示词最初只是一个提示词每半小时给我一个惊喜"
+    parallel = "这使得GPT-4o能够接受文本、音频和图像的任意组合作为输入，并生成文本、音频和图像的任意组合的输出。"
+    docs = {
+        1: rows,
+        2: rows[:2],
+        3: [rows[0], (400_000, 401_000, text), rows[3]],
+        4: [(0, 5, chinese), (5, 8, "这是一段过渡文字"), (8, 12, chinese), (12, 17, "结束语在这里")],
+        5: [(0, 5, "这是开头的一段话用来填充"), (5, 15, parallel), (15, 20, "是兼具了听觉视觉的多模态模型")],
+        6: [(0, 5, "Some context before it"), (5, 10, "Claude spelled with a W-C-L-A-U-D-E."), (10, 13, "A bridge between"), (13, 20, "Versus C-L-A-U-D-E from there.")],
+        7: [(0, 1, None), (1, 2, "")],
+    }
+    got = {}
+    for r in D.dup_blocks(frame(spark, docs)).collect():
+        got.setdefault(r.doc_id, []).append((r.first_lo, r.first_hi, r.second_lo, r.second_hi, r.matched_words, r.time_gap_ms))
+    assert got.pop(1) == [(0, 0, 2, 2, 12, 5000)]
+    assert [x[:4] for x in got.pop(4)] == [(0, 0, 2, 2)] and not got
+    kept = {(r.doc_id, r.seg_idx) for r in D.deduplicated(frame(spark, docs)).collect()}
+    assert (1, 0) in kept and (1, 2) not in kept  # the second copy is shorter in time
+    assert (4, 2) not in kept and sum(d == 3 for d, _ in kept) == 3
+
+
+def test_duplicate_blocks_against_every_two_places(spark):
+    r, docs = random.Random(9), {}
+    for d in range(25):
+        vocabulary = [f"w{i}x" for i in range(6 if d % 5 == 0 else 300)]
+        lines = [" ".join(r.choices(vocabulary, k=r.randint(1, 15))) for _ in range(30)]
+        for _ in range(4):
+            a = r.randrange(20)
+            lines.insert(r.randrange(len(lines)), " ".join(lines[a : a + r.randint(1, 4)]))
+        docs[d] = [(i * 1000, i * 1000 + 900, t) for i, t in enumerate(lines)]
+    got = {}
+    for x in D.dup_blocks(frame(spark, docs)).collect():
+        got.setdefault(x.doc_id, []).append((x.first_lo, x.first_hi, x.second_lo, x.second_hi, x.matched_words))
+    assert {d: sorted(v) for d, v in got.items()} == {d: p for d, t in docs.items() if (p := plain_blocks(t))}
 
 
 def test_chunk_text():
