@@ -4,15 +4,20 @@ A paragraph is any stretch of 50 words, wherever it begins, so a passage is foun
 too.  The MinHash of a paragraph under one permutation is the least hash of its five-word shingles;
 neighbouring paragraphs mostly share it, so a text of n words has only about 2n/47 different ones.  The
 number of bands (of one row each) follows from the recall that is asked for at similarity 0.8.
-Documents whose paragraphs collide are joined, the common stretch is grown from the collision to both
-sides, and it counts if it has 50 words and an exact Jaccard similarity of 0.8 or more.  Stretches
-that overlap in a document are one passage; passages are clustered by components.
-
-Every band value with owners in two documents or more pairs all its owners with the first two of
-them (by id and by a hash of it), so a passage of very many documents costs a multiple of its
-owners, not their square, and the owners meet in one component.  Of exact copies the one with the
+Documents whose paragraphs collide are joined, and the common stretch is grown from the collision to both
+sides, over gaps of up to 12 words.  It counts if it has 50 words and an exact Jaccard similarity of 0.8 or
+more; a stretch that falls short of that loses its outer blocks, and one that is a little too short is
+widened to a paragraph.  Stretches that overlap in a document are one passage; passages are clustered by components.
+
+Every band value with owners in two documents or more pairs all its owners with three of them (the first by
+id, two by a hash of value and owner), so a passage of very many documents costs a multiple of its
+owners, not their square, and the owners meet in one component.  A passage that stands twice in a
+text is reported at both places if another document has it too.  Of exact copies the one with the
 least id is searched; the whole text is their common passage.
 
+What this can lose: where a value has more than three owners, two of them that are alike by 0.8 but not like
+any of the three, in either band.
+
 Input cases: null and empty texts, and texts under 50 words, have no passages.  Repeats
 inside one document alone don't count.  Null ids take no part.  Repeated rows count as copies.
 """
@@ -74,7 +79,7 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 
 def band_values(words: np.ndarray, bands: int, paragraph: int = PARAGRAPH, size: int = SHINGLE):
-    """(value, place) of the different MinHashes of all paragraphs, band after band."""
+    """(value, place) of the MinHashes of all paragraphs, at every place where they stand, band after band."""
     if len(words) < paragraph:
         return []
     shingles = shingle_hashes(words, size)
@@ -89,8 +94,6 @@ def band_values(words: np.ndarray, bands: int, paragraph: int = PARAGRAPH, size:
         left = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         least = np.minimum(left[: len(h) - width + 1], right[width - 1 : len(h)])
         chosen = np.flatnonzero(np.isin(h, least[np.r_[True, least[1:] != least[:-1]]]))
-        _, first = np.unique(h[chosen], return_index=True)  # a repeated shingle is noted once
-        chosen = chosen[first]
         out.append((h[chosen].view(np.int64) ^ np.int64(k), chosen.astype(np.int32)))
     return out
 
@@ -115,18 +118,39 @@ def entries(texts: DataFrame, bands: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, value bigint, place int")
 
 
-def grow(a: list[bytes], b: list[bytes], i: int, j: int, step: int) -> tuple[int, int]:
-    """Walk from equal words to one side; a gap of up to two words is crossed if three equal words follow."""
+#: Owners of a band value that all its owners are compared with.
+CENTRES = 3
+#: Words that growth may cross between equal words of two texts, and equal words that must follow.
+GAP, AGAIN = 12, 3
+
+
+def blocks_beside(a: list[bytes], b: list[bytes], i: int, j: int) -> list[tuple[int, int, int]]:
+    """Stretches of equal words (place in a, in b, words) from (i, j) on to the right; between them ``GAP`` words at most on either side."""
+    out = []
     while True:
-        while 0 <= i < len(a) and 0 <= j < len(b) and a[i] == b[j]:
-            i, j = i + step, j + step
-        for x, y in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)):
-            p, q = i + x * step, j + y * step
-            if all(0 <= p + k * step < len(a) and 0 <= q + k * step < len(b) and a[p + k * step] == b[q + k * step] for k in range(3)):
-                i, j = p, q
-                break
-        else:
-            return i, j
+        k = 0
+        while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+            k += 1
+        if k:
+            out.append((i, j, k))
+        i, j = i + k, j + k
+        near = {}
+        for y in range(min(GAP + 1, len(b) - j - AGAIN + 1)):
+            near.setdefault(tuple(b[j + y : j + y + AGAIN]), y)
+        steps = [(x + y, x, y) for x in range(min(GAP + 1, len(a) - i - AGAIN + 1)) if (y := near.get(tuple(a[i + x : i + x + AGAIN]))) is not None]
+        if not steps:
+            return out
+        _, x, y = min(steps)
+        i, j = i + x, j + y
+
+
+def aligned_blocks(a: list[bytes], b: list[bytes], i: int, j: int) -> tuple[list[tuple[int, int, int]], int]:
+    """The stretches around equal words at (i, j), from left to right, and the index of the one that holds them."""
+    left = [(i + 1 - k - x, j + 1 - k - y, k) for x, y, k in blocks_beside(a[i::-1], b[j::-1], 0, 0)]
+    right = blocks_beside(a, b, i, j)
+    x, y, k = left[0]
+    own = (x, y, k - 1 + right[0][2])
+    return [*left[:0:-1], own, *right[1:]], len(left) - 1
 
 
 def jaccard(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> float:
@@ -134,26 +158,48 @@ def jaccard(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> float:
     return len(s & t) / len(s | t) if s or t else 0.0
 
 
+def best_stretch(a: list[bytes], b: list[bytes], blocks: list[tuple[int, int, int]], own: int, paragraph: int, similarity: float):
+    """(start and end in a, in b) of the longest run of blocks around ``own`` that is alike, widened to a paragraph if it is a little short; None if there is none."""
+    first, last = 0, len(blocks) - 1
+    while True:
+        (p, q, _), (x, y, k) = blocks[first], blocks[last]
+        e, f = x + k, y + k
+        short = max(0, paragraph - min(e - p, f - q))
+        if jaccard(a[p:e], b[q:f]) >= similarity:
+            if not short:
+                return p, e, q, f
+            for l in range(short + 1) if short <= GAP else ():
+                r = short - l
+                if min(p, q) >= l and e + r <= len(a) and f + r <= len(b) and jaccard(a[p - l : e + r], b[q - l : f + r]) >= similarity:
+                    return p - l, e + r, q - l, f + r
+            return None
+        if first == last:
+            return None
+        # The end whose gap costs more words for those that it brings goes first.
+        cost = []
+        for x, y, inner in ((first, first + 1, own > first), (last - 1, last, own < last)):
+            (i, j, k), (u, v, w) = blocks[x], blocks[y]
+            cost.append((max(u - i - k, v - j - k) / (k if x == first and inner and y == first + 1 else w)) if inner else -1.0)
+        if cost[0] > cost[1]:
+            first += 1
+        else:
+            last -= 1
+
+
 def common_stretches(a: list[bytes], b: list[bytes], spots: list[tuple[int, int]], paragraph: int = PARAGRAPH, similarity: float = SIMILARITY):
-    """(start and end in a, start and end in b) of verified stretches around colliding shingles."""
-    out, covered = [], -1
+    """(start and end in a, start and end in b) of verified stretches around colliding shingles, each pair of places once."""
+    out: list[tuple[int, int, int, int]] = []
+    tried: set[tuple[int, int]] = set()
     for i, j in sorted(spots):
-        if i < covered or a[i : i + SHINGLE] != b[j : j + SHINGLE]:
+        if a[i : i + SHINGLE] != b[j : j + SHINGLE] or any(p <= i < e and q <= j < f for p, e, q, f in out):
+            continue
+        blocks, own = aligned_blocks(a, b, i, j)
+        if blocks[own][:2] in tried:
             continue
-        p, q = grow(a, b, i, j, -1)
-        e, f = grow(a, b, i, j, 1)
-        p, q = p + 1, q + 1
-        if min(e - p, f - q) < paragraph or jaccard(a[p:e], b[q:f]) < similarity:
-            p, e = i, i  # the stretch without gaps
-            while p > 0 and j - (i - p) > 0 and a[p - 1] == b[j - (i - p) - 1]:
-                p -= 1
-            while e < len(a) and j + e - i < len(b) and a[e] == b[j + e - i]:
-                e += 1
-            q, f = j - (i - p), j + e - i
-            if e - p < paragraph:
-                continue
-        out.append((p, e, q, f))
-        covered = e
+        tried.add(blocks[own][:2])
+        found = best_stretch(a, b, blocks, own, paragraph, similarity)
+        if found:
+            out.append(found)
     return out
 
 
@@ -179,16 +225,18 @@ def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy_key"))
     firsts = scratch(rows.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "firsts")
-    # A text's own id is its node; of copies the one with the least id stands for all.
+    # A text's own id is its node; of copies the one with the least id stands for all, and the others are not searched.
     texts = docs.withColumnRenamed("doc_id", "node")
-    found = scratch(entries(texts, bands), "bands")
-    owners = found.where("value is not null").groupBy("value").agg(F.min(F.struct("node", "place")).alias("x"), F.min_by(F.struct("node", "place"), F.struct(F.xxhash64("node"), "place")).alias("y"), F.max("node").alias("last")).where("x.node <> last")
-    centres = owners.select("value", F.explode(F.array_distinct(F.array("x", "y"))).alias("c"))
-    met = found.join(centres, "value").where("node <> c.node")
-    pairs = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.when(F.col("node") < F.col("c.node"), F.struct(F.col("place").alias("i"), F.col("c.place").alias("j"))).otherwise(F.struct(F.col("c.place").alias("i"), F.col("place").alias("j"))).alias("spot"))
-    alone = firsts.select(F.col("node").alias("only"))
-    pairs = pairs.join(alone.select(F.col("only").alias("a")), "a", "left_semi").join(alone.select(F.col("only").alias("b")), "b", "left_semi")
-    pairs = scratch(pairs.groupBy("a", "b").agg(F.collect_set("spot").alias("spots")), "pairs")  # at most the band values of one text
+    found = scratch(entries(texts, bands).join(firsts.select("node"), "node", "left_semi"), "bands")
+    spot = F.struct("node", "place")
+    # Centres are chosen in another order for each value, so that a text that is no match for one value's owners doesn't stand for all its neighbours.
+    salted = [F.min_by(spot, F.xxhash64(F.lit(r), "value", "node", "place")).alias(f"c{r}") for r in range(CENTRES - 1)]
+    owners = found.where("value is not null").groupBy("value").agg(F.min(spot).alias("c"), *salted, F.max("node").alias("last")).where("c.node <> last")
+    centres = owners.select("value", F.explode(F.array_distinct(F.array("c", *[f"c{r}" for r in range(CENTRES - 1)]))).alias("c"))
+    met = found.join(centres, "value").where("node <> c.node or place <> c.place")
+    swap = (F.col("node") > F.col("c.node")) | (F.col("node") == F.col("c.node")) & (F.col("place") > F.col("c.place"))
+    pairs = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.struct(F.when(swap, F.col("c.place")).otherwise(F.col("place")).alias("i"), F.when(swap, F.col("place")).otherwise(F.col("c.place")).alias("j")).alias("spot"))
+    pairs = scratch(pairs.groupBy("a", "b").agg(F.collect_set("spot").alias("spots")), "pairs")  # linear in the places of the two texts
     # Of the first text only the words around the spots travel to the second one.
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "spots", "text_a")
     around = with_a.mapInArrow(cut_around, "a bigint, b bigint, spots array<struct<i: int, j: int>>, cut binary, first int")
@@ -200,7 +248,8 @@ def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
             for a, b, spots, cut, first, text in zip(*batch.columns):  # one row at a time: the texts of a batch are long
                 a, b, first = a.as_py(), b.as_py(), first.as_py()
                 for p, e, q, f in common_stretches(cut.as_py().split(), words_of(text.as_py()), [(s["i"] - first, s["j"]) for s in spots.as_py()]):
-                    got.append((a, b, p + first, e + first, q, f))
+                    if a != b or e + first <= q:  # two places of one text are apart
+                        got.append((a, b, p + first, e + first, q, f))
             cols = list(zip(*got)) if got else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["a", "b", "p", "e", "q", "f"])
 
