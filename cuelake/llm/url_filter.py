@@ -25,90 +25,103 @@ CUT = 0.5
 #: (host and path prefix, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: Labelled URLs: what a crawl should keep and what it shouldn't.
+#: Labelled URLs: what a crawl should keep and what it shouldn't.  Both lists have hosts and paths of the same shapes, so that
+#: neither ``www`` nor a language folder or a number speaks for a class.
 ALLOWED = """
 https://en.wikipedia.org/wiki/Ocean
 https://www.gutenberg.org/ebooks/1342
-https://news.example.com/world/2024/05/election-results
 https://www.university.edu/faculty/history/reading-list
 https://docs.python.org/3/tutorial/index.html
-https://blog.gardener.net/en/2021/roses-in-winter
-https://m.recipes.net/en/4711.html
-https://www.museum.net/de/ausstellung/1204
-https://library.net/fr/catalogue/885
-https://www.townhall.net/es/noticias/2023
 https://arxiv.org/abs/1706.03762
-https://forum.hiking.net/en/thread/9921?page=2
-https://www.weather.net/en/5140#top
-https://science.net/en/articles/777
-https://thetheatre.net/en/programme
-https://stories.net/en/3101
-https://www.thering.net/fr/5290?ref=x
-https://m.northern.net/de/8736
-https://blog.station.net/es/214.html
-https://www.nation.net/en/2574
-https://teacher.net/en/1793?utm_source=feed
-https://www.bookshop.com/en/title/314
-https://history.com/en/4189
-https://www.orchestra.com/es/concierto/62
-https://blog.baker.com/en/bread-basics
-https://www.railway.com/en/timetable
-https://m.other.com/en/1203#top
-https://www.kitchen.com/es/recetas/88
-https://blog.painter.com/en/7246
-https://www.hospital.com/en/departments
-https://www.insurance.com/es/ayuda
-https://www.translation.com/en/9315
-https://philosophy.net/en/essay/17
-https://www.chess.net/en/games/1887
-https://maps.net/en/region/9
-https://m.entertainment.net/en/5644/
-https://www.thread.net/en/4771.html
-https://www.hand.net/fr/1751
-https://letters.net/en/286
-https://www.than.net/de/213
+https://www.city-library.net/catalogue/885
+https://botanic-garden.net/en/roses-in-winter
+https://www.mountain-rescue.com/en/news/2021/avalanche
+https://village-school.net/en/timetable.html
+https://www.river-trust.com/es/proyectos/12
+https://old-maps.net/de/sammlung/1204
+https://www.folk-music.net/fr/concerts?page=2
+https://bread-baking.com/en/sourdough
+https://www.chess-club.net/en/games/1887
+https://weather-station.com/en/5140#top
+https://m.hiking-trails.net/en/thread/9921
+https://www.bird-watching.com/en/3101
+https://history-museum.net/es/exposicion/62
+https://www.kitchen-recipes.com/en/soup/4711
+https://m.science-news.net/en/articles/777
+https://poetry-review.com/fr/numero/19
+https://www.town-hall.net/de/rathaus/8736
+https://choir-practice.net/en/programme
+https://www.railway-history.com/en/engines/213
+https://garden-tools.com/en/reviews/286?utm_source=feed
+https://www.philosophy-today.net/en/essay/17
+https://local-history.com/en/parish/4189
+https://www.carpenter-shop.net/en/joinery
+https://m.harbour-pilot.com/en/1203
+https://www.painter-guild.net/es/7246
+https://theatre-stage.com/en/season/2023
+https://www.orchard-farm.net/en/apples/88
+https://sailing-school.net/fr/cours/5290
+https://www.hospital-guide.com/en/departments
+https://m.teacher-notes.net/de/1793
+https://www.astronomy-club.com/en/planets/9
+https://translation-studies.net/en/9315
+https://www.city-council.com/en/minutes/314
+https://blog.station-master.net/en/2574
+https://www.letters-archive.com/en/1751.html
+https://forum.woodwork.net/en/5644/
+https://blog.quiet-evening.com/en/2021
+https://m.northern-lights.net/en/4771.html
+https://www.insurance-advice.com/es/ayuda
+https://geology-field.net/en/62
+https://www.craft-fair.com/de/10
 """.split()
 BLOCKED = """
-http://casino-royal.net/en/bonus
-https://www.casino-win.com/en/214.html
-https://m.casinospins.net/es/1203
-http://free-bets.com/en/5290?ref=x
-https://www.bets-online.net/en/3101
-https://blog.sportbets.net/de/8736
-http://cheap-pills.com/en/4771.html
-https://www.pills-pharma.net/en/order
-https://m.viagra-pills.net/es/1751
-http://spam-farm.com/en/286?utm_source=feed
-https://www.spam-links.net/en/9315
-https://blog.spam-blast.net/de/2574
-http://adult-x.net/en/4189
-https://www.adult-cams.com/en/5644/
-https://m.xxx-adult.net/es/7246
-http://ads-track.net/en/1793
-https://www.ads-banner.com/en/1203#top
-https://track.ads-click.net/de/3101
-http://win-prize.net/en/claim
-https://www.free-iphone-win.com/en/777
+http://lucky-casino.net/en/bonus
+https://www.royal-casino-slots.com/en/214.html
+https://m.online-casino-jackpot.net/es/1203
 https://poker-bonus.net/en/signup
 https://www.slots-jackpot.com/es/5140
-https://loans-cheap.net/en/apply
-https://replica-cheap-watch.net/en/4711
-https://porn-tube.net/en/88
+http://sports-betting.com/en/5290?ref=x
+https://www.bets-today.net/en/3101
+https://blog.best-bets.com/de/8736
+https://free-spins.net/en/win
+https://www.win-big-prize.com/en/claim
+http://discount-pills.net/en/4771.html
+https://www.pharma-pills-online.com/en/order
+https://m.viagra-cheap.net/es/1751
+https://cheap-meds.com/en/885
+https://www.weight-loss-pills.net/en/17
+https://replica-watches-cheap.com/en/4711
+http://adult-cams.net/en/4189
+https://www.xxx-adult.com/en/5644/
+https://m.hot-adult-video.net/es/7246
+https://porn-tube.com/en/88
 https://www.escort-adult.net/fr/2021
-https://warez-crack.net/en/download
-https://torrent-free-crack.com/en/62
+http://ads-server.net/en/1793
+https://www.banner-ads.com/en/1203#top
 https://click-track-redirect.net/en/9
-https://www.pop-ads.net/es/314
-https://seo-spam.net/en/backlinks
-https://m.bets-casino.com/en/17
-https://pills-discount.com/es/885
-https://www.betting-win.net/en/2023
-https://spam.mailers.net/en/213
-https://www.casino.free-spins.net/de/4771
-https://free-adult-x.com/en/286
-https://www.cheap-meds-pills.com/en/8736
-https://ads.doubletrack.net/en/1751
-https://farm-links-spam.com/en/5290
+https://track.popup-ads.com/de/3101
+https://www.ad-tracking.net/es/314
+https://affiliate-track.com/en/286?utm_source=feed
+http://spam-links.com/en/9315
+https://www.link-farm-seo.net/en/backlinks
+https://blog.seo-spam.com/de/2574
+https://m.spam-mailer.net/en/213
+https://bulk-spam.net/en/2023
+https://free-iphone-prize.com/en/777
+https://www.free-gift-cards.net/en/62
+https://payday-loans-cheap.com/en/apply
+https://www.get-rich-quick.net/en/12
+https://crypto-double-money.com/en/1887
+https://warez-crack.net/en/download
+https://www.torrent-crack-free.com/en/10
+https://keygen-serial.net/de/1204
+https://download-codec-now.com/en/7
+https://www.fake-antivirus-alert.net/en/scan
+https://phishing-login-verify.com/en/account
+https://www.casino-bets-free.com/fr/19
+https://m.adult-dating-hot.com/en/4771
+https://spam-pills-casino.net/en/5
 """.split()
 
 
