@@ -1,8 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
-A rule looks at lazily computed features of a text and rejects it or not.  On a sample, every rule is
-timed and its rejections are counted; rules then run in the order of rejections per second, and a
-rejected document meets no further rule.  The verdict doesn't depend on the order, only the work does.
+A rule looks at lazily computed features of a text and rejects it or not.  On a sample it is counted
+which rules reject which texts and how many characters those have; a rule's cost is the characters that its
+features have to read, weighted by what a feature costs a character.  The next rule in the order is always the one with
+the most rejections for its cost, among the texts that no earlier rule rejects and without the features that earlier rules
+have computed.  A rejected document meets no further rule.  Counts and weights are fixed numbers, so the
+order, and the rule that is named for a rejection, are the same in every run; the verdict doesn't depend on the order at all.
+
+The query's contract asks for the five measures of every text, so there those features are computed for rejected texts
+too; ``cascade`` without measures leaves them out.
 
 Input cases: a null or empty text has no words, so the word-count rule rejects it.  Repeated rows get
 the same verdict each.  Whole texts are measured, whatever their length.
@@ -12,12 +18,10 @@ from __future__ import annotations
 
 import operator
 import re
-import time
 from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_rows
@@ -103,34 +107,51 @@ RULES: dict[str, Callable[[Text], bool]] = {
 }
 #: The rules whose rejection the base verdict consists of.
 BASE = ("few_words", "repeated_windows")
+#: What a feature costs for each character of a text, in units of one pass of ``str.count``, measured once; and each rule and text besides.
+WEIGHTS = {"raw": 1, "words": 12, "n_words": 0, "word_chars": 6, "n_symbols": 8, "lines": 1, "n_dup_lines": 3, "n_repeat_words": 60, "n_upper": 15, "n_bangs": 2, "n_stutter": 6, "top_word": 12}
+PER_TEXT = 100
+
+
+def features_of(rule: str) -> frozenset[str]:
+    """The features that a rule reads, traced on a text."""
+    text = Text("one two\nthree")
+    RULES[rule](text)
+    return frozenset(vars(text)) & FEATURES.keys()
 
 
 def estimate(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES), sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """rule, tried, rejected, seconds: each rule alone on about ``sample_docs`` documents, chosen by a hash of the id."""
+    """rejects (bits, one for each rule), n, chars: about ``sample_docs`` documents, chosen by a hash of the content; a row at most for each set of rules."""
     total = docs.count()
     share = min(1.0, sample_docs / total) if total else 1.0
-    unit = F.pmod(F.xxhash64(F.lit("rules"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-
-    def trial(batches):
-        tried, rejected, seconds = Counter(), Counter(), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for rule in rules:
-                    fresh = Text(text)
-                    began = time.perf_counter()
-                    rejected[rule] += bool(RULES[rule](fresh))
-                    seconds[rule] += time.perf_counter() - began
-                    tried[rule] += 1
-        yield pa.RecordBatch.from_pydict({"rule": list(rules), "tried": [tried[r] for r in rules], "rejected": [rejected[r] for r in rules], "seconds": [float(seconds[r]) for r in rules]})
-
-    parts = docs.where(unit < share).select("text").mapInArrow(trial, "rule string, tried bigint, rejected bigint, seconds double")
-    return parts.groupBy("rule").agg(F.sum("tried").alias("tried"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
-
-
-def order_rules(estimates: list[tuple[str, int, int, float]], rules: tuple[str, ...] = tuple(RULES)) -> list[str]:
-    """Rules by rejections per second, best first; unknown ones and ties keep their declared order."""
-    worth = {r: rejected / max(seconds, 1e-9) for r, _, rejected, seconds in estimates}
-    return sorted(rules, key=lambda r: (-worth.get(r, 0.0), rules.index(r)))
+    unit = F.pmod(F.xxhash64(F.lit("rules"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+
+    def make():
+        def one(text):
+            t = Text(text)
+            return sum(1 << k for k, r in enumerate(rules) if RULES[r](t)), len(t.text)
+
+        return lambda texts: [one(t) for t in texts]
+
+    tried = map_rows(docs.where(unit < share), make, "rejects bigint, chars bigint", [])
+    return tried.groupBy("rejects").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+
+
+def order_rules(estimates: list[tuple[int, int, int]], rules: tuple[str, ...] = tuple(RULES)) -> list[str]:
+    """Rules by rejections for their cost, given those before them; ties, and what no text tells apart, keep their declared order."""
+    order, known, left = [], frozenset(), list(estimates)
+    while len(order) < len(rules):
+        n, chars = sum(e[1] for e in left), sum(e[2] for e in left)
+
+        def worth(rule: str) -> float:
+            rejected = sum(e[1] for e in left if e[0] >> rules.index(rule) & 1)
+            cost = PER_TEXT * n + chars * sum(WEIGHTS[f] for f in features_of(rule) - known)
+            return rejected / cost if cost else 0.0
+
+        best = max((r for r in rules if r not in order), key=lambda r: (worth(r), -rules.index(r)))
+        order.append(best)
+        known |= features_of(best)
+        left = [e for e in left if not e[0] >> rules.index(best) & 1]
+    return order
 
 
 def cascade(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES), measures: tuple[str, ...] = (), columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
