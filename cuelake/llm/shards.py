@@ -1,12 +1,15 @@
 """Sharding by histogram sort, in DataFrame functions only.
 
-Rows are ordered by a hash of the text and then by id, so equal texts lie together.  The bytes of all
+Rows are ordered by a hash of the text and then by a hash of id and row number, so equal texts lie together.  The bytes of all
 rows are counted below candidate boundaries, which are prefixes of the key.  The prefix that holds a
 splitter's target is refined by the next bits until it holds less than the tolerance or a single
-key; a key with many bytes (a group of copies) is refined by id.  Then the rows are exchanged once.
+key; a key with many bytes (a group of copies) is refined by the second key.  Then the rows are exchanged once.
 
-Input cases: a null text has size 1 like an empty one.  A null id sorts first.  Rows equal in text and
-id are never parted.  A table with fewer rows than shards leaves shards empty.
+The row number is given when the keys are written, before anything is counted, so lost executors don't change it.  It
+spreads rows that share text and id, or have no id, over the second key: no group of rows is too large to part.
+
+Input cases: a null text has size 1 like an empty one.  Null and repeated ids are rows like any other.
+A table with fewer rows than shards leaves shards empty.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ STRETCH_BITS, STRETCH_ROWS = 12, 1_000_000
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the two sort keys; the texts stay behind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("hash_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id_key"))
+    return docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("hash_key"), F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()).alias("id_key"))
 
 
 def nearest_edges(rows: DataFrame, key: str, targets: dict[int, int], slack: float) -> dict[int, tuple]:
@@ -117,12 +120,12 @@ def assign(docs: DataFrame, n: int = SHARDS) -> DataFrame:
     counts = placed.groupBy("shard", F.shiftright("hash_key", 64 - STRETCH_BITS).alias("stretch")).agg(F.count("*").alias("n"))
     stats = counts.agg(F.sum("n").alias("all"), F.count("*").alias("parts")).first()
     most = min(STRETCH_ROWS, max(64, 4 * (stats["all"] or 0) // max(1, stats["parts"])))
-    crowded = [r[0] for r in counts.where(F.col("n") > most).select("stretch").distinct().collect()]  # 4096 stretches exist
+    crowded = {r["stretch"]: r["n"] for r in counts.groupBy("stretch").agg(F.max("n").alias("n")).where(F.col("n") > most).collect()}  # 4096 stretches exist
     fine = F.lit(0).cast("long")
     if crowded:
-        span = placed.where(F.shiftright("hash_key", 64 - STRETCH_BITS).isin(crowded)).agg(F.min("id_key"), F.max("id_key")).first()
-        bits = max(0, (span[1] - span[0]).bit_length() - 8)
-        fine = F.when(F.shiftright("hash_key", 64 - STRETCH_BITS).isin(crowded), F.shiftright("id_key", bits)).otherwise(fine)
+        # Cells of about a quarter of the rows that a task may number.
+        bits = max(0, 64 - max(1, (4 * max(crowded.values()) // most).bit_length()))
+        fine = F.when(F.shiftright("hash_key", 64 - STRETCH_BITS).isin(list(crowded)), F.shiftright("id_key", bits)).otherwise(fine)
     placed = placed.withColumn("stretch", F.shiftright("hash_key", 64 - STRETCH_BITS)).withColumn("fine", fine)
     cell = ["shard", "stretch", "fine"]
     offsets = placed.groupBy(*cell).agg(F.count("*").alias("n")).withColumn("offset", F.sum("n").over(W.partitionBy("shard").orderBy("stretch", "fine").rowsBetween(W.unboundedPreceding, -1)))
