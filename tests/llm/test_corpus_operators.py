@@ -248,7 +248,7 @@ def test_pii_takes_time_in_proportion():
 
 
 def test_url_rules_and_verdicts(spark):
-    urls = [None, "", "no scheme", "http://A.Example.ORG/en/1x", "https://example.org/es/5?q", "https://w.example.org/es", "http://x.com/fr/", "http://x.com/de/a#b", "ftp://x.net", "http://notexample.org/es/1", "http://casino-win.x.net/en", "http://garden.x.net/en/4", "a://b://c/d", "http://h.org", "http://?x", "http://comm/fr/a"]
+    urls = [None, "", "no scheme", "http://A.Example.ORG/en/1x", "https://example.org/es/5?q", "https://w.example.org/es", "http://x.com/fr/", "http://x.com/de/a#b", "ftp://x.net", "http://notexample.org/es/1", "http://grand-casino-bets.x.net/en", "http://garden.x.net/en/4", "a://b://c/d", "http://h.org", "http://?x", "http://comm/fr/a"]
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate([*urls, urls[3]])], "page_id bigint, url string, host string, score int")
     out = {r.page_id: r for r in url_filter.judge(pages).collect()}
     assert len(out) == len(urls) + 1
@@ -266,6 +266,25 @@ def test_url_rules_and_verdicts(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_model_on_hosts_that_it_has_not_seen():
+    """Each host of the table against a model that is trained without it and its neighbours, and hosts that aren't in the table."""
+    weights, offset = url_filter.train()
+
+    def blocks(url, w=weights, b=offset):
+        found = url_filter.features(*url_filter.split_url(url))
+        return w[found].sum() / max(1, len(found) ** 0.5) + b >= 0
+
+    good = ["https://www.village-choir.org/en/5140", "https://evening-school.net/es/88", "https://m.lighthouse-keeper.com/en/17", "https://www.beekeeping-notes.net/de/313", "https://ceramics-studio.com/fr/2", "https://www.harvest-songs.net/en/4189", "https://the-reading-room.com/en/99"]
+    bad = ["https://www.mega-casino.org/en/5140", "https://betting-slots.net/es/88", "https://m.pills-express.com/en/17", "https://www.adult-video-hot.net/de/313", "https://spam-backlinks.com/fr/2", "https://www.popup-ads-click.net/en/4189", "https://jackpot-spins-free.com/en/99"]
+    assert sum(not blocks(u) for u in good) >= 6 and sum(map(blocks, bad)) >= 6
+    right, folds = 0, 6
+    rows = [(u, False) for u in url_filter.ALLOWED] + [(u, True) for u in url_filter.BLOCKED]
+    for k in range(folds):
+        model = url_filter.train([u for i, (u, b) in enumerate(rows) if not b and i % folds != k], [u for i, (u, b) in enumerate(rows) if b and i % folds != k])
+        right += sum(bool(blocks(u, *model)) == b for i, (u, b) in enumerate(rows) if i % folds == k)
+    assert right >= 0.6 * len(rows)  # most words of a host stand in one row alone
+
+
 # Quality ---------------------------------------------------------------------------------------------
 
 
@@ -299,8 +318,18 @@ def test_repeated_words_random():
 
 
 def test_rule_order():
-    est = [("few_words", 10, 1, 1.0), ("symbols", 10, 5, 1.0), ("capitals", 10, 5, 0.1)]
-    assert quality_rules.order_rules(est, ("few_words", "symbols", "capitals")) == ["capitals", "symbols", "few_words"]
+    rules = ("few_words", "symbols", "capitals", "exclamations")
+    # Capitals reject most, but cost far more than exclamations, which read the least for each rejection.
+    est = [(0b0001, 1, 100), (0b0010, 5, 500), (0b1100, 5, 500), (0b0100, 9, 900), (0, 80, 8000)]
+    order = quality_rules.order_rules(est, rules)
+    assert order == ["capitals", "symbols", "few_words", "exclamations"] == quality_rules.order_rules(est[::-1], rules)
+    assert quality_rules.order_rules([], rules) == list(rules)
+    assert all(quality_rules.features_of(r) <= quality_rules.WEIGHTS.keys() for r in quality_rules.RULES)
+
+
+def test_rules_name_the_same_rule_in_every_run(docs):
+    one, two = (sorted((str(r.doc_id), str(r.rejected_by)) for r in quality_rules.judge(d).collect()) for d in (docs, docs.repartition(7)))
+    assert one == two
 
 
 def test_quality_model_separates_held_out_rows(spark):
@@ -432,6 +461,41 @@ def test_passages_against_windows(spark, docs, empty):
     assert paragraphs.passages(empty).count() == 0
 
 
+def near_passages(kind: str, n: int):
+    """Rows that hold one passage each, and the pairs of ids whose passages are alike by 0.8 or more."""
+    r, rows, pairs = random.Random(kind), [], []
+    while len(pairs) < n:
+        size = 50 if kind == "short" else r.choice((80, 100, 200))
+        base = prose(r.randrange(10**6), size).lower().split()
+        edited = list(base)
+        if kind == "run":
+            at, k = r.randrange(20, size - 25), r.choice((3, 5, 8))
+            edited[at : at + k] = [f"yy{x}" for x in range(k)]
+        else:
+            for _ in range(r.choice((1, 2))):
+                edited[r.randrange(size)] = f"zz{r.randrange(99)}"
+        if paragraphs.jaccard([w.encode() for w in base], [w.encode() for w in edited]) < 0.8:
+            continue
+        i = 2 * len(pairs)
+        rows += [(i + k, " ".join([prose(r.randrange(10**6), r.randrange(5, 90)), *words, prose(r.randrange(10**6), r.randrange(5, 90))])) for k, words in ((0, base), (1, edited))]
+        pairs.append((i, i + 1))
+    return rows, pairs
+
+
+@pytest.mark.parametrize("kind", ["short", "long", "run"])
+def test_near_passages_are_found(spark, kind):
+    rows, pairs = near_passages(kind, 150)
+    out = {x.doc_id: x.cluster_id for x in paragraphs.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(a in out and out[a] == out.get(b) for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_passage_that_stands_twice_in_a_text(spark):
+    passage = prose(77, 60)
+    rows = [(1, f"{prose(1, 30)} {passage} {prose(2, 40)}"), (2, f"{passage} {prose(3, 70)} {passage} {prose(4, 20)}"), (3, f"{prose(8, 60)} {prose(8, 60)}")]
+    out = paragraphs.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, x.start_word, x.end_word, x.cluster_id) for x in out) == [(1, 30, 90, 1), (2, 0, 60, 1), (2, 130, 190, 1)]
+
+
 def test_band_tuning():
     assert paragraphs.tune_bands(0.8, 0.95) == 2 and paragraphs.tune_bands(0.8, 0.99) == 3
 
@@ -471,5 +535,8 @@ def test_shards_near_equal_bytes(spark):
 def test_shards_awkward_rows(spark, docs, empty):
     check_shards(shards.assign(docs).collect(), texts_of(docs))
     assert shards.assign(empty).count() == 0
+    hot = [(None, "the hot text")] * 1500 + [(3, "another hot text")] * 1500 + [(i, prose(i, 12)) for i in range(500)]
+    by = check_shards(shards.assign(spark.createDataFrame(hot, "doc_id bigint, text string").repartition(3)).collect(), hot, slack=0.06)
+    assert len(by) == 16  # rows without an id and rows of one id are parted too
     same = [(1, "x")] * 50
     check_shards(shards.assign(spark.createDataFrame(same, "doc_id bigint, text string")).collect(), same)
