@@ -124,33 +124,34 @@ CENTRES = 3
 GAP, AGAIN = 12, 3
 
 
-def blocks_beside(a: list[bytes], b: list[bytes], i: int, j: int) -> list[tuple[int, int, int]]:
-    """Stretches of equal words (place in a, in b, words) from (i, j) on to the right; between them ``GAP`` words at most on either side."""
+def equal_words(x: list[bytes], y: list[bytes], i: int, j: int) -> int:
+    """How many words from (i, j) on are equal; most are compared in slices."""
+    n, k = min(len(x) - i, len(y) - j), 0
+    while k + 32 <= n and x[i + k : i + k + 32] == y[j + k : j + k + 32]:
+        k += 32
+    while k < n and x[i + k] == y[j + k]:
+        k += 1
+    return k
+
+
+def beside(x: list[bytes], y: list[bytes], i: int, j: int) -> list[tuple[int, int, int]]:
+    """Stretches of equal words (place in x, in y, words) from (i, j) on; between them ``GAP`` words at most on either side."""
     out = []
     while True:
-        k = 0
-        while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
-            k += 1
+        k = equal_words(x, y, i, j)
         if k:
             out.append((i, j, k))
         i, j = i + k, j + k
-        near = {}
-        for y in range(min(GAP + 1, len(b) - j - AGAIN + 1)):
-            near.setdefault(tuple(b[j + y : j + y + AGAIN]), y)
-        steps = [(x + y, x, y) for x in range(min(GAP + 1, len(a) - i - AGAIN + 1)) if (y := near.get(tuple(a[i + x : i + x + AGAIN]))) is not None]
+        v = y[j : j + GAP + AGAIN]
+        near: dict[tuple, int] = {}
+        for d, w in enumerate(zip(v, v[1:], v[2:])):
+            near.setdefault(w, d)
+        u = x[i : i + GAP + AGAIN]
+        steps = [(c + d, c, d) for c, w in enumerate(zip(u, u[1:], u[2:])) if (d := near.get(w)) is not None]
         if not steps:
             return out
-        _, x, y = min(steps)
-        i, j = i + x, j + y
-
-
-def aligned_blocks(a: list[bytes], b: list[bytes], i: int, j: int) -> tuple[list[tuple[int, int, int]], int]:
-    """The stretches around equal words at (i, j), from left to right, and the index of the one that holds them."""
-    left = [(i + 1 - k - x, j + 1 - k - y, k) for x, y, k in blocks_beside(a[i::-1], b[j::-1], 0, 0)]
-    right = blocks_beside(a, b, i, j)
-    x, y, k = left[0]
-    own = (x, y, k - 1 + right[0][2])
-    return [*left[:0:-1], own, *right[1:]], len(left) - 1
+        _, c, d = min(steps)
+        i, j = i + c, j + d
 
 
 def jaccard(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> float:
@@ -158,49 +159,50 @@ def jaccard(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> float:
     return len(s & t) / len(s | t) if s or t else 0.0
 
 
-def best_stretch(a: list[bytes], b: list[bytes], blocks: list[tuple[int, int, int]], own: int, paragraph: int, similarity: float):
-    """(start and end in a, in b) of the longest run of blocks around ``own`` that is alike, widened to a paragraph if it is a little short; None if there is none."""
-    first, last = 0, len(blocks) - 1
-    while True:
-        (p, q, _), (x, y, k) = blocks[first], blocks[last]
+def good_runs(a: list[bytes], b: list[bytes], chain: list[tuple[int, int, int]], paragraph: int, similarity: float):
+    """(start and end in a, in b) of the runs of a chain that are alike; a run that isn't is cut at its longest gap.
+
+    A run that is up to ``GAP`` words too short is widened to a paragraph if that is alike too.
+    """
+    todo = [(0, len(chain) - 1)]
+    while todo:
+        first, last = todo.pop()
+        (p, q, _), (x, y, k) = chain[first], chain[last]
         e, f = x + k, y + k
         short = max(0, paragraph - min(e - p, f - q))
-        if jaccard(a[p:e], b[q:f]) >= similarity:
-            if not short:
-                return p, e, q, f
-            for l in range(short + 1) if short <= GAP else ():
+        if short > GAP:
+            continue
+        if first == last or jaccard(a[p:e], b[q:f]) >= similarity:
+            for l in range(short + 1):
                 r = short - l
-                if min(p, q) >= l and e + r <= len(a) and f + r <= len(b) and jaccard(a[p - l : e + r], b[q - l : f + r]) >= similarity:
-                    return p - l, e + r, q - l, f + r
-            return None
-        if first == last:
-            return None
-        # The end whose gap costs more words for those that it brings goes first.
-        cost = []
-        for x, y, inner in ((first, first + 1, own > first), (last - 1, last, own < last)):
-            (i, j, k), (u, v, w) = blocks[x], blocks[y]
-            cost.append((max(u - i - k, v - j - k) / (k if x == first and inner and y == first + 1 else w)) if inner else -1.0)
-        if cost[0] > cost[1]:
-            first += 1
-        else:
-            last -= 1
+                if min(p, q) >= l and e + r <= len(a) and f + r <= len(b) and (not short or jaccard(a[p - l : e + r], b[q - l : f + r]) >= similarity):
+                    yield p - l, e + r, q - l, f + r
+                    break
+            continue
+        gaps = [max(v[0] - u[0], v[1] - u[1]) - u[2] for u, v in zip(chain[first:last], chain[first + 1 : last + 1])]
+        cut = first + gaps.index(max(gaps))
+        todo += [(first, cut), (cut + 1, last)]
 
 
 def common_stretches(a: list[bytes], b: list[bytes], spots: list[tuple[int, int]], paragraph: int = PARAGRAPH, similarity: float = SIMILARITY):
-    """(start and end in a, start and end in b) of verified stretches around colliding shingles, each pair of places once."""
-    out: list[tuple[int, int, int, int]] = []
-    tried: set[tuple[int, int]] = set()
+    """(start and end in a, start and end in b) of verified stretches around colliding shingles.
+
+    Places that an earlier stretch holds both are linked already, and what an earlier chain has grown isn't grown again.
+    """
+    out: dict[tuple[int, int, int, int], None] = {}
+    held: dict[int, int] = {}  # distance of the two places -> end in a of what was grown at it
+    back = a[::-1], b[::-1]
     for i, j in sorted(spots):
-        if a[i : i + SHINGLE] != b[j : j + SHINGLE] or any(p <= i < e and q <= j < f for p, e, q, f in out):
+        if i < held.get(j - i, -1) or a[i : i + SHINGLE] != b[j : j + SHINGLE] or any(p <= i < e and q <= j < f for p, e, q, f in out):
             continue
-        blocks, own = aligned_blocks(a, b, i, j)
-        if blocks[own][:2] in tried:
-            continue
-        tried.add(blocks[own][:2])
-        found = best_stretch(a, b, blocks, own, paragraph, similarity)
-        if found:
-            out.append(found)
-    return out
+        left = [(len(a) - x - k, len(b) - y - k, k) for x, y, k in beside(*back, len(a) - 1 - i, len(b) - 1 - j)]
+        right = beside(a, b, i, j)
+        x, y, k = left[0]
+        chain = [*left[:0:-1], (x, y, k - 1 + right[0][2]), *right[1:]]
+        for x, y, k in chain:
+            held[y - x] = max(held.get(y - x, -1), x + k)
+        out.update(dict.fromkeys(good_runs(a, b, chain, paragraph, similarity)))
+    return list(out)
 
 
 def cut_around(batches, reach: int = 2 * PARAGRAPH):
@@ -243,13 +245,19 @@ def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
     both = around.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "spots", "cut", "first", "text_b")
 
     def verify(batches):
+        last, words = None, []
         for batch in batches:
             got = []
             for a, b, spots, cut, first, text in zip(*batch.columns):  # one row at a time: the texts of a batch are long
                 a, b, first = a.as_py(), b.as_py(), first.as_py()
-                for p, e, q, f in common_stretches(cut.as_py().split(), words_of(text.as_py()), [(s["i"] - first, s["j"]) for s in spots.as_py()]):
-                    if a != b or e + first <= q:  # two places of one text are apart
-                        got.append((a, b, p + first, e + first, q, f))
+                if b != last:  # rows come sorted by text
+                    last, words = b, words_of(text.as_py())
+                places = [(s["i"] - first, s["j"]) for s in spots.as_py()]
+                low = max(0, min(j for _, j in places) - 2 * PARAGRAPH)
+                near = words[low : max(j for _, j in places) + 2 * PARAGRAPH]
+                for p, e, q, f in common_stretches(cut.as_py().split(), near, [(i, j - low) for i, j in places]):
+                    if a != b or e + first <= q + low:  # two places of one text are apart
+                        got.append((a, b, p + first, e + first, q + low, f + low))
             cols = list(zip(*got)) if got else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["a", "b", "p", "e", "q", "f"])
 
@@ -262,7 +270,8 @@ def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
     of = islands.join(spans, ["node", "island"]).select("node", "start", "end", "span")
     edges = links.join(of.select(F.col("node").alias("a"), F.col("start").alias("p"), F.col("end").alias("e"), F.col("span").alias("s")), ["a", "p", "e"]).join(of.select(F.col("node").alias("b"), F.col("start").alias("q"), F.col("end").alias("f"), F.col("span").alias("t")), ["b", "q", "f"]).select(F.col("s").alias("a"), F.col("t").alias("b"))
     grouped = spans.join(components(edges).withColumnRenamed("node", "span"), "span")
-    first = grouped.groupBy("root").agg(F.min(F.struct("node", "start_word")).alias("first"))
+    # Clusters within one document are its own repeats.
+    first = grouped.groupBy("root").agg(F.min(F.struct("node", "start_word")).alias("first"), F.max("node").alias("last")).where("first.node <> last").drop("last")
     clustered = grouped.join(first, "root").select(F.col("node").alias("doc_id"), "start_word", "end_word", F.col("first.node").alias("cluster_id"), F.lit(None).cast("long").alias("copy_of"), (F.struct("node", "start_word") == F.col("first")).alias("kept"))
     lengths = found.where("value is null").where(F.col("place") >= PARAGRAPH).select("node", F.col("place").cast("long").alias("end_word")).distinct()
     copied = rows.join(firsts.where("copies > 1"), "copy_key").join(lengths, "node")

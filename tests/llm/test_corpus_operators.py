@@ -491,7 +491,7 @@ def test_near_passages_are_found(spark, kind):
 
 def test_passage_that_stands_twice_in_a_text(spark):
     passage = prose(77, 60)
-    rows = [(1, f"{prose(1, 30)} {passage} {prose(2, 40)}"), (2, f"{passage} {prose(3, 70)} {passage} {prose(4, 20)}"), (3, f"{prose(8, 60)} {prose(8, 60)}")]
+    rows = [(1, f"{prose(1, 30)} {passage} {prose(2, 40)}"), (2, f"{passage} {prose(3, 70)} {passage} {prose(4, 20)}"), (3, f"{prose(8, 60)} {prose(8, 60)}"), (4, " ".join(prose(8, 60).split()[20:30]))]
     out = paragraphs.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((x.doc_id, x.start_word, x.end_word, x.cluster_id) for x in out) == [(1, 30, 90, 1), (2, 0, 60, 1), (2, 130, 190, 1)]
 
