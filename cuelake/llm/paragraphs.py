@@ -9,14 +9,14 @@ sides, over gaps of up to 12 words.  It counts if it has 50 words and an exact J
 more; a stretch that falls short of that loses its outer blocks, and one that is a little too short is
 widened to a paragraph.  Stretches that overlap in a document are one passage; passages are clustered by components.
 
-Every band value with owners in two documents or more pairs all its owners with three of them (the first by
-id, two by a hash of value and owner), so a passage of very many documents costs a multiple of its
+Every band value with owners in two documents or more pairs all its owners with two of them (the first by
+id, one by a hash of value and owner), so a passage of very many documents costs a multiple of its
 owners, not their square, and the owners meet in one component.  A passage that stands twice in a
 text is reported at both places if another document has it too.  Of exact copies the one with the
 least id is searched; the whole text is their common passage.
 
-What this can lose: where a value has more than three owners, two of them that are alike by 0.8 but not like
-any of the three, in either band.
+What this can lose: where a value has more than two owners, two of them that are alike by 0.8 but not like
+either of the two, in both bands.
 
 Input cases: null and empty texts, and texts under 50 words, have no passages.  Repeats
 inside one document alone don't count.  Null ids take no part.  Repeated rows count as copies.
@@ -78,8 +78,16 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def run_ends(values: np.ndarray, places: np.ndarray, apart: int) -> np.ndarray:
+    """The places, without those between others of the same value that are less than ``apart`` before and behind: a line that is repeated over and over has two."""
+    order = np.lexsort((places, values))
+    v, p = values[order], places[order]
+    close = (v[1:] == v[:-1]) & (p[1:] - p[:-1] < apart)
+    return np.sort(p[~(np.r_[False, close] & np.r_[close, False])])
+
+
 def band_values(words: np.ndarray, bands: int, paragraph: int = PARAGRAPH, size: int = SHINGLE):
-    """(value, place) of the MinHashes of all paragraphs, at every place where they stand, band after band."""
+    """(value, place) of the MinHashes of all paragraphs, at the places where they stand (see ``run_ends``), band after band."""
     if len(words) < paragraph:
         return []
     shingles = shingle_hashes(words, size)
@@ -94,6 +102,7 @@ def band_values(words: np.ndarray, bands: int, paragraph: int = PARAGRAPH, size:
         left = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         least = np.minimum(left[: len(h) - width + 1], right[width - 1 : len(h)])
         chosen = np.flatnonzero(np.isin(h, least[np.r_[True, least[1:] != least[:-1]]]))
+        chosen = run_ends(h[chosen], chosen, paragraph)
         out.append((h[chosen].view(np.int64) ^ np.int64(k), chosen.astype(np.int32)))
     return out
 
@@ -119,9 +128,11 @@ def entries(texts: DataFrame, bands: int) -> DataFrame:
 
 
 #: Owners of a band value that all its owners are compared with.
-CENTRES = 3
+CENTRES = 2
 #: Words that growth may cross between equal words of two texts, and equal words that must follow.
 GAP, AGAIN = 12, 3
+#: Share of aligned shingles below which a run isn't compared as a whole.
+CUT_AT_ONCE = 0.6
 
 
 def equal_words(x: list[bytes], y: list[bytes], i: int, j: int) -> int:
@@ -159,7 +170,21 @@ def jaccard(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> float:
     return len(s & t) / len(s | t) if s or t else 0.0
 
 
-def good_runs(a: list[bytes], b: list[bytes], chain: list[tuple[int, int, int]], paragraph: int, similarity: float):
+class Likeness:
+    """Jaccard similarity of the shingles of two stretches; hashes of the shingles are computed when first asked for."""
+
+    def __init__(self, a: list[bytes], b: list[bytes]):
+        self.texts, self.hashes = (a, b), None
+
+    def __call__(self, p: int, e: int, q: int, f: int) -> float:
+        if self.hashes is None:
+            self.hashes = [list(map(hash, zip(*(x[k:] for k in range(SHINGLE))))) for x in self.texts]
+        s, t = (set(x[i : max(i, k - SHINGLE + 1)]) for x, i, k in ((self.hashes[0], p, e), (self.hashes[1], q, f)))
+        common = len(s & t)
+        return common / max(1, len(s) + len(t) - common)
+
+
+def good_runs(a: list[bytes], b: list[bytes], chain: list[tuple[int, int, int]], paragraph: int, similarity: float, alike: Likeness):
     """(start and end in a, in b) of the runs of a chain that are alike; a run that isn't is cut at its longest gap.
 
     A run that is up to ``GAP`` words too short is widened to a paragraph if that is alike too.
@@ -172,10 +197,15 @@ def good_runs(a: list[bytes], b: list[bytes], chain: list[tuple[int, int, int]],
         short = max(0, paragraph - min(e - p, f - q))
         if short > GAP:
             continue
-        if first == last or jaccard(a[p:e], b[q:f]) >= similarity:
+        aligned = sum(max(0, x[2] - SHINGLE + 1) for x in chain[first : last + 1])
+        # A run with few aligned shingles is cut at once, and one that would need more of them in a paragraph isn't widened.
+        if short and aligned < CUT_AT_ONCE * 1.3 * (paragraph - SHINGLE + 1):
+            continue
+        likely = aligned >= CUT_AT_ONCE * max(e - p, f - q)
+        if first == last or likely and alike(p, e, q, f) >= similarity:
             for l in range(short + 1):
                 r = short - l
-                if min(p, q) >= l and e + r <= len(a) and f + r <= len(b) and (not short or jaccard(a[p - l : e + r], b[q - l : f + r]) >= similarity):
+                if min(p, q) >= l and e + r <= len(a) and f + r <= len(b) and (not short or alike(p - l, e + r, q - l, f + r) >= similarity):
                     yield p - l, e + r, q - l, f + r
                     break
             continue
@@ -191,7 +221,7 @@ def common_stretches(a: list[bytes], b: list[bytes], spots: list[tuple[int, int]
     """
     out: dict[tuple[int, int, int, int], None] = {}
     held: dict[int, int] = {}  # distance of the two places -> end in a of what was grown at it
-    back = a[::-1], b[::-1]
+    back, alike = (a[::-1], b[::-1]), Likeness(a, b)
     for i, j in sorted(spots):
         if i < held.get(j - i, -1) or a[i : i + SHINGLE] != b[j : j + SHINGLE] or any(p <= i < e and q <= j < f for p, e, q, f in out):
             continue
@@ -201,7 +231,7 @@ def common_stretches(a: list[bytes], b: list[bytes], spots: list[tuple[int, int]
         chain = [*left[:0:-1], (x, y, k - 1 + right[0][2]), *right[1:]]
         for x, y, k in chain:
             held[y - x] = max(held.get(y - x, -1), x + k)
-        out.update(dict.fromkeys(good_runs(a, b, chain, paragraph, similarity)))
+        out.update(dict.fromkeys(good_runs(a, b, chain, paragraph, similarity, alike)))
     return list(out)
 
 
