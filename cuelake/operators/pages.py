@@ -116,8 +116,83 @@ def recurring_turns(lines: DataFrame) -> DataFrame:
     return out.where("text <> ''").select("doc_id", "line_no", "speaker", F.lit(None).cast("long").alias("start_ms"), "text")
 
 
+def text_blocks(lines: DataFrame) -> DataFrame:
+    """doc_id, block_no, line_no, block: lines between blank ones, joined by spaces."""
+    w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    blank = F.trim("line") == ""
+    rows = lines.withColumn("run", F.sum(blank.cast("int")).over(w)).where(~blank)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))), lambda x: x["line"]), " ")
+    whole = rows.groupBy("doc_id", "run").agg(F.min("line_no").alias("line_no"), joined.alias("block"))
+    return whole.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")) - 1).alias("block_no"), "line_no", "block")
+
+
+SPEAKER_BLOCK = r"^(?![#\[!\d])(?!http)(?!---).{1,79}$"
+BLOCK_TIME, LONG_TIME = r"^\d{1,2}:\d{2}(?::\d{2})?$", r"^\d{1,2}:\d{2}:\d{2}$"
+
+
+def block_turns(lines: DataFrame) -> DataFrame:
+    """Blocks of speaker, time and text, or of time, ``SPEAKER n`` (may be missing: the one before) and text.
+
+    A block that follows a speaker's time, or a time's speaker, is text, whatever it looks like.
+    """
+    w = W.partitionBy("doc_id").orderBy("block_no")
+    b = text_blocks(lines).withColumn("next", F.lead("block").over(w)).withColumn("third", F.lead("block", 2).over(w))
+    named = F.col("block").rlike(SPEAKER_BLOCK) & F.col("next").rlike(LONG_TIME) & F.col("third").isNotNull()
+    timed = F.col("block").rlike(BLOCK_TIME)
+    labelled = timed & F.col("next").rlike(r"^SPEAKER\s*\d+$") & F.col("third").isNotNull()
+    plain = timed & ~labelled & (F.length("next") > 20) & ~F.col("next").rlike(r"^\d{1,2}:\d{2}") & F.col("third").isNotNull()
+    kind = F.when(named, "named").when(labelled, "labelled").when(plain, "plain")
+    k = b.withColumn("kind", kind)
+    # The time of a speaker's block, and the text behind, are no turns of their own.
+    inside = F.coalesce(F.lag("kind").over(w) == "named", F.lit(False)) | F.coalesce(F.lag("kind", 2).over(w) == "named", F.lit(False))
+    k = k.withColumn("inside", inside)
+    speaker = F.when(F.col("kind") == "named", F.col("block")).when(F.col("kind") == "labelled", F.col("next"))
+    said = F.when(F.col("kind") == "plain", F.col("next")).otherwise(F.col("third"))
+    time = F.when(F.col("kind") == "named", F.col("next")).otherwise(F.col("block"))
+    before = F.last(speaker, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    turns = k.where(F.col("kind").isNotNull() & ~F.col("inside"))
+    return turns.select("doc_id", "line_no", F.coalesce(before, F.lit("Unknown")).alias("speaker"), (clock.seconds_of(time) * 1000).alias("start_ms"), said.alias("text"))
+
+
+CHAPTER_LINK = r"^\[\((\d{1,2}:\d{2}:\d{2})\)\s*[-–—]\s*(.+?)\]\(https?://[^)]+\)\s*$"
+SPEAKER_LINE = r"^\*\*([^*:：]+)\*\*\s*$"
+
+
+def newsletter_markdown(lines: DataFrame) -> DataFrame:
+    """doc_id, markdown of pages whose speakers stand alone in bold: a table of the linked chapters, then a paragraph for each turn.
+
+    What comes before the first speaker is left out, links become their texts, and pages without such speakers give no row.
+    """
+    head, chapter = F.col("line").rlike(SPEAKER_LINE), F.col("line").rlike(CHAPTER_LINK)
+    marks = lines.where(chapter).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.regexp_extract("line", CHAPTER_LINK, 1).alias("at"), F.trim(F.regexp_extract("line", CHAPTER_LINK, 2)).alias("title")))).alias("marks"))
+    table = F.concat(F.lit("## Table of Contents\n"), F.array_join(F.transform("marks", lambda m: F.concat(F.lit("- "), m["at"], F.lit(" – "), m["title"])), "\n"))
+    rows = lines.where(~chapter).withColumn("speaker", F.when(head, F.trim(F.regexp_extract("line", SPEAKER_LINE, 1)))).withColumn("said", F.when(head, "").otherwise(F.trim("line")))
+    turns = _runs(rows, head, F.min_by("speaker", "line_no").alias("speaker"))
+    said = F.regexp_replace("text", r"\[([^\]]+)\]\([^)]+\)", "$1")
+    body = turns.where("text <> ''").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.concat(F.lit("**"), "speaker", F.lit(":** "), said).alias("turn")))), lambda x: x["turn"]), "\n\n").alias("body"))
+    return body.join(marks.select("doc_id", table.alias("table")), "doc_id", "left").select("doc_id", F.concat_ws("\n\n", "table", "body").alias("markdown"))
+
+
+# Where the part of a description that isn't about the talk begins, in order of precedence.
+DESCRIPTION_ENDS = ("*SPONSORS:", "*CONTACT ", "*EPISODE LINKS:", "*PODCAST LINKS:", "*SOCIAL LINKS:")
+
+
+def described(description: Column) -> Column:
+    """A description up to the first listed marker that it has (not at its very beginning), without blank lines."""
+    cut = F.coalesce(*[F.when(F.locate(m, description) > 1, F.rtrim(F.substring_index(description, m, 1))) for m in DESCRIPTION_ENDS], description)
+    return F.replace(cut, F.lit("\n\n"), F.lit("\n"))
+
+
+def front_matter(title: Column, duration: Column, date: Column, channel: Column, url: Column, source: Column, description: Column) -> Column:
+    """A transcript's front matter: a line for each field that is there, and the description indented."""
+    line = lambda name, c, quote="": F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{name}: {quote}"), c.cast("string"), F.lit(quote)))
+    about = F.when(F.coalesce(description, F.lit("")) != "", F.concat(F.lit("description: |\n"), F.regexp_replace(described(description), r"(?m)^", "  ")))
+    fields = F.concat_ws("\n", line("title", title), line("duration", duration), line("upload_date", date), line("channel", channel), line("url", url, '"'), line("transcript_source", source), about)
+    return F.concat(F.lit("---\n"), fields, F.lit("\n---\n\n"))
+
+
 #: Strategies in order: name, parser, turns needed, speakers needed.
-STRATEGIES = (("timed", timed_turns, 1, 0), ("headed", headed_turns, 5, 0), ("named", named_turns, 10, 2), ("recurring", recurring_turns, 10, 0), ("started", started_turns, 3, 0))
+STRATEGIES = (("timed", timed_turns, 1, 0), ("blocks", block_turns, 3, 0), ("headed", headed_turns, 5, 0), ("named", named_turns, 10, 2), ("recurring", recurring_turns, 10, 0), ("started", started_turns, 3, 0))
 
 
 def transcripts(lines: DataFrame, least_chars: int = 200) -> DataFrame:

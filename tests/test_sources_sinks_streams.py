@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cuelake import commands
 from cuelake.operators import aggregates, joins, pages, windows
 from cuelake.sources import captions, writers
 from cuelake.streaming import windows as streams
@@ -150,3 +151,46 @@ def test_stateful_decoding_flushes(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.doc_id, r.flush_idx, r.n_chunks, r.score_sum, r.complete) for r in spark.table("decoded").collect())
     assert got == [(d, *x) for d in (1, 2) for x in ((0, 3, 33, False), (1, 3, 42, False), (2, 1, 16, True))]
+
+
+def test_page_lines_of_awkward_markup():
+    page = "<html><body>a &amp; b<p>one<br/>two</p><script>if (a<b) {</script><nav>menu<nav>x</nav></nav>c<!-- <p>no</p> --><div/>d < e<style>p{}</body>"
+    assert pages.lines_of(page) == ["a & b", "one", "two", "", "c", "", "d < e"]
+    assert pages.lines_of("x <p>y") == ["x <p>y"] and pages.lines_of(None) == [""] and pages.lines_of("<html>no body") == [""]
+
+
+def rows_of(spark, *docs):
+    rows = [(d, i, line) for d, text in enumerate(docs) for i, line in enumerate(text.split("\n"))]
+    return spark.createDataFrame(rows, "doc_id bigint, line_no int, line string")
+
+
+def test_blocks_newsletters_and_front_matter(spark):
+    a = "Ann Lee\n\n0:00:05\n\nHello all\nof you\n\nBo Ray\n\n0:01:00\n\nHi\n\nAnn Lee\n\n1:00:00\n\nBye"
+    b = "0:05\n\nSPEAKER 1\n\nHello\n\n1:00\n\na text that is long enough\n\n2:00\n\nSPEAKER 2\n\nBye"
+    got = pages.block_turns(rows_of(spark, a, b)).orderBy("doc_id", "line_no").collect()
+    assert [(r.speaker, r.start_ms, r.text) for r in got] == [("Ann Lee", 5000, "Hello all of you"), ("Bo Ray", 60_000, "Hi"), ("Ann Lee", 3_600_000, "Bye"), ("SPEAKER 1", 5000, "Hello"), ("SPEAKER 1", 60_000, "a text that is long enough"), ("SPEAKER 2", 120_000, "Bye")]
+    page = "An [advert](http://x)\n[(00:01:00) - Start](https://y/z)\n**Ann**\n\nsee [this](u) now\nagain\n**Bo**\nyes"
+    got = pages.newsletter_markdown(rows_of(spark, page, "no speaker")).collect()
+    assert [(r.doc_id, r.markdown) for r in got] == [(0, "## Table of Contents\n- 00:01:00 – Start\n\n**Ann:** see this now again\n\n**Bo:** yes")]
+    info = spark.createDataFrame([("T", 5, None, "C", "u", "s", "about\n\nit *CONTACT x *SPONSORS: y")], "t string, d int, up string, c string, u string, s string, x string")
+    text = info.select(pages.front_matter(*[F.col(c) for c in info.columns]).alias("f")).first().f
+    assert text == '---\ntitle: T\nduration: 5\nchannel: C\nurl: "u"\ntranscript_source: s\ndescription: |\n  about\n  it *CONTACT x\n---\n\n'
+
+
+def test_commands(spark, segs, tmp_path):
+    (tmp_path / "a.srt").write_text(writers.RENDERERS["srt"](segs).first().value, encoding="utf-8")
+    track = commands.load(spark, str(tmp_path / "a.srt"))
+    moved = commands.convert(track, normalize=True, shift_ms=-1000, split=True).orderBy("seg_idx").collect()
+    assert [(r.start_ms, r.text) for r in moved] == [(0, "Hello there."), (3500, "Good, and you?"), (3_722_040, "Fine")]
+    groups = commands.diff(track, track.withColumn("text", F.replace("text", F.lit("you"), F.lit("he")))).collect()
+    assert sum(g.n_sub for g in groups) == 1 and sum(g.n_ins + g.n_del for g in groups) == 0
+    commands.convert_files(spark, str(tmp_path / "a.srt"), str(tmp_path / "out"), "vtt")
+    assert "WEBVTT" in "".join(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+
+
+def test_standard_layout_breaks_lines(spark):
+    from cuelake.operators import gates
+
+    rows = spark.createDataFrame([(1, 0, 0, 100, "a text of several words that is to be broken somewhere"), (1, 1, 1500, 1600, "x")], "doc_id bigint, seg_idx int, start_ms bigint, end_ms bigint, text string")
+    got = gates.standard(rows, line_chars=20).orderBy("seg_idx").collect()
+    assert [(r.end_ms, r.text) for r in got] == [(1500, "a text of several\nwords that is to be\nbroken somewhere"), (2200, "x")]
