@@ -193,7 +193,7 @@ class WordBPE:
                 out.append(marks[i])
         return out
 
-    def encode_texts(self, texts: list[str | None], group_chars: int = 8_000_000):
+    def encode_texts(self, texts: list[str | None], group_chars: int = 1_000_000):
         """(ids joined by a space, decoded text) of each text; groups of texts share one index sweep."""
         group: list[list[list[str] | int]] = []
         size = 0

@@ -82,14 +82,17 @@ def map_rows(df: DataFrame, make, schema: str, columns: list[str], texts: str =
     names = [f.name for f in added.fields]
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
+    def mapped(work, batch: pa.RecordBatch) -> pa.RecordBatch:
+        done = work(batch.column(at).to_pylist())
+        flat = zip(*done) if done else ([] for _ in names)
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), *(pa.array(v, type=k) for v, k in zip(flat, kinds))], names=[*columns, *names])
+
     def run(batches):
         work = make()
         for batch in batches:
-            n = batch.num_rows
-            done = work(batch.column(at).to_pylist())
-            cols = [batch.column(i) for i in range(len(columns))]
-            flat = list(zip(*done)) if n else [[] for _ in names]
-            cols += [pa.array(v, type=k) for v, k in zip(flat, kinds)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*columns, *names])
+            yield mapped(work, batch)
+            # Workers are kept between tasks and stages: what the last batch took goes back to the machine.
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, out)
