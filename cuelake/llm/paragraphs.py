@@ -9,14 +9,14 @@ sides, over gaps of up to 12 words.  It counts if it has 50 words and an exact J
 more; a stretch that falls short of that loses its outer blocks, and one that is a little too short is
 widened to a paragraph.  Stretches that overlap in a document are one passage; passages are clustered by components.
 
-Every band value with owners in two documents or more pairs all its owners with two of them (the first by
+Every band value with owners in two documents pairs all its owners with two of them (the first by
 id, one by a hash of value and owner), so a passage of very many documents costs a multiple of its
-owners, not their square, and the owners meet in one component.  A passage that stands twice in a
-text is reported at both places if another document has it too.  Of exact copies the one with the
-least id is searched; the whole text is their common passage.
-
-What this can lose: where a value has more than two owners, two of them that are alike by 0.8 but not like
-either of the two, in both bands.
+owners, not their square, and the owners meet in one component.  Owners of a value that aren't in one component
+then are compared with one another too, see ``links_of_the_rest``: directly where they are few, else by the rarest shingles of the
+paragraphs around them, in rounds of more and more centres.  No pair that shares a band value is left out;
+the worst case, very many owners that share rare shingles too but aren't alike, is quadratic.
+A passage that stands twice in a text is reported at both places if another document has it too.  Of exact
+copies the one with the least id is searched; the whole text is their common passage.
 
 Input cases: null and empty texts, and texts under 50 words, have no passages.  Repeats
 inside one document alone don't count.  Null ids take no part.  Repeated rows count as copies.
@@ -127,7 +127,7 @@ def entries(texts: DataFrame, bands: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, value bigint, place int")
 
 
-#: Owners of a band value that all its owners are compared with.
+#: Owners of a band value that all its owners are compared with at first.
 CENTRES = 2
 #: Words that growth may cross between equal words of two texts, and equal words that must follow.
 GAP, AGAIN = 12, 3
@@ -248,27 +248,100 @@ def cut_around(batches, reach: int = 2 * PARAGRAPH):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cuts, pa.binary()), pa.array(firsts, pa.int32())], names=["a", "b", "spots", "cut", "first"])
 
 
-def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
-    """doc_id, start_word, end_word, n_words, cluster_id, copy_of, kept for each passage that repeats across documents.
+#: Shingles of a paragraph, and how many stand before and behind one that it may hold.
+WIDTH, AROUND = PARAGRAPH - SHINGLE + 1, PARAGRAPH - SHINGLE
+#: Owners of a key that are all compared with one another; with more of them, the centres of the first round, and by how much they grow.
+CROWD, FIRST_CENTRES, CENTRES_GROW = 32, 4, 16
 
-    Of each cluster the passage of the least doc_id is kept.
+
+def neighbourhoods(batches):
+    """value, n, met, root, node, place, ahead, around: 32 bits of each shingle hash around a place, of which ``ahead`` stand before it."""
+    hashed = Hasher()
+    for batch in batches:
+        got = []
+        for node, at, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            shingles = mix(shingle_hashes(hashed(words_of(text.as_py()))), SEEDS[-1]).astype(np.uint32).view(np.int32)
+            for e in at.as_py():
+                low = max(0, e["place"] - AROUND)
+                got.append((e["value"], e["n"], e["met"], e["root"], node, e["place"], e["place"] - low, shingles[low : e["place"] + AROUND + 1]))
+        cols = list(zip(*got)) if got else [[]] * 8
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(cols, kinds)], names=["value", "n", "met", "root", "node", "place", "ahead", "around"])
+
+
+def windows_around(around: np.ndarray, ahead: int) -> np.ndarray:
+    """The paragraphs, as rows of shingles, that hold the shingle at ``ahead``."""
+    first, last = max(0, ahead - WIDTH + 1), min(ahead, len(around) - WIDTH)
+    return np.lib.stride_tricks.sliding_window_view(around, WIDTH)[first : last + 1] if last >= first else np.zeros((0, WIDTH), around.dtype)
+
+
+def fewest_shingles(around: np.ndarray, ahead: int) -> int:
+    """The least number of different shingles in a paragraph that holds the place."""
+    rows = np.sort(windows_around(around, ahead), axis=1)
+    return int((1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)).min(initial=WIDTH))
+
+
+def pairs_within(batches):
+    """Of the owners of each value, those two whose neighbourhoods have as many common shingles as paragraphs alike by ``SIMILARITY`` must have.
+
+    Owners that are joined, and pairs with a centre, which are compared already, are left out.
     """
-    bands = bands or tune_bands()
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy_key"))
-    firsts = scratch(rows.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "firsts")
-    # A text's own id is its node; of copies the one with the least id stands for all, and the others are not searched.
-    texts = docs.withColumnRenamed("doc_id", "node")
-    found = scratch(entries(texts, bands).join(firsts.select("node"), "node", "left_semi"), "bands")
-    spot = F.struct("node", "place")
-    # Centres are chosen in another order for each value, so that a text that is no match for one value's owners doesn't stand for all its neighbours.
-    salted = [F.min_by(spot, F.xxhash64(F.lit(r), "value", "node", "place")).alias(f"c{r}") for r in range(CENTRES - 1)]
-    owners = found.where("value is not null").groupBy("value").agg(F.min(spot).alias("c"), *salted, F.max("node").alias("last")).where("c.node <> last")
-    centres = owners.select("value", F.explode(F.array_distinct(F.array("c", *[f"c{r}" for r in range(CENTRES - 1)]))).alias("c"))
-    met = found.join(centres, "value").where("node <> c.node or place <> c.place")
-    swap = (F.col("node") > F.col("c.node")) | (F.col("node") == F.col("c.node")) & (F.col("place") > F.col("c.place"))
-    pairs = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.struct(F.when(swap, F.col("c.place")).otherwise(F.col("place")).alias("i"), F.when(swap, F.col("place")).otherwise(F.col("c.place")).alias("j")).alias("spot"))
-    pairs = scratch(pairs.groupBy("a", "b").agg(F.collect_set("spot").alias("spots")), "pairs")  # linear in the places of the two texts
+    for batch in batches:
+        got = []
+        for owners in batch.column(0):
+            here = [(o["node"], o["place"], o["root"], o["met"], set(o["around"]), fewest_shingles(np.array(o["around"], np.int32), o["ahead"])) for o in owners.as_py()]
+            here = sorted((o for o in here if not o[3]), key=lambda o: o[:2])
+            for k, x in enumerate(here):
+                got += [(*x[:2], *y[:2]) for y in here[k + 1 :] if x[2] != y[2] and len(x[4] & y[4]) >= SIMILARITY * min(x[5], y[5])]
+        cols = list(zip(*got)) if got else [[]] * 4
+        kinds = [pa.int64(), pa.int32()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(cols, kinds)], names=["a", "i", "b", "j"])
+
+
+def rarest(batches):
+    """value, node, place, root, shingle: of each paragraph around a place the rarest shingles, so many that paragraphs which are alike share one."""
+    for batch in batches:
+        got = []
+        for value, node, place, root, ahead, size, shared in zip(*(column.to_pylist() for column in batch.columns)):
+            counts, hashes = np.ones(size, np.int64), np.arange(size, dtype=np.int64) + (1 << 40)  # shingles of this place alone come first
+            at = [s["k"] for s in shared]
+            counts[at], hashes[at] = [s["owners"] for s in shared], [s["shingle"] for s in shared]
+            order = np.empty(size, np.int64)
+            order[np.lexsort((hashes, counts))] = np.arange(size)
+            chosen: set[int] = set()
+            for row in windows_around(order, ahead):
+                places = at_order(row, order)
+                different = list(dict.fromkeys(hashes[places].tolist()))
+                chosen.update(different[: len(different) - int(np.ceil(SIMILARITY * len(different) - 1e-9)) + 1])
+            got += [(value, node, place, root, h) for h in chosen if h < 1 << 40]
+        cols = list(zip(*got)) if got else [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(cols, kinds)], names=["value", "node", "place", "root", "shingle"])
+
+
+def at_order(row: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The places of the ranks of a paragraph, least rank first."""
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[np.sort(row)]
+
+
+def clusters(links: DataFrame) -> DataFrame:
+    """node, start_word, end_word, span, root: passages, which are the stretches of links put together where they overlap, and their components."""
+    ends = links.select(F.col("a").alias("node"), F.col("p").alias("start"), F.col("e").alias("end")).unionByName(links.select(F.col("b").alias("node"), F.col("q").alias("start"), F.col("f").alias("end"))).distinct()
+    before = W.partitionBy("node").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    islands = ends.withColumn("new", F.coalesce(F.max("end").over(before) <= F.col("start"), F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(W.partitionBy("node").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))
+    spans = islands.groupBy("node", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"))
+    spans = scratch(spans.withColumn("span", F.xxhash64("node", "start_word")), "spans")
+    of = islands.join(spans, ["node", "island"]).select("node", "start", "end", "span")
+    edges = links.join(of.select(F.col("node").alias("a"), F.col("start").alias("p"), F.col("end").alias("e"), F.col("span").alias("s")), ["a", "p", "e"]).join(of.select(F.col("node").alias("b"), F.col("start").alias("q"), F.col("end").alias("f"), F.col("span").alias("t")), ["b", "q", "f"]).select(F.col("s").alias("a"), F.col("t").alias("b"))
+    return scratch(spans.join(components(edges).withColumnRenamed("node", "span"), "span"), "clusters")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links a, b, p, e, q, f of the pairs ``a, i, b, j`` of nodes and places, ordered: the stretches [p, e) and [q, f) around them that are alike."""
+    pairs = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("spots"))
+    pairs = scratch(pairs, "pairs")  # linear in the places of the two texts
     # Of the first text only the words around the spots travel to the second one.
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "spots", "text_a")
     around = with_a.mapInArrow(cut_around, "a bigint, b bigint, spots array<struct<i: int, j: int>>, cut binary, first int")
@@ -291,15 +364,101 @@ def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
             cols = list(zip(*got)) if got else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["a", "b", "p", "e", "q", "f"])
 
-    links = scratch(both.mapInArrow(verify, "a bigint, b bigint, p bigint, e bigint, q bigint, f bigint"), "links")
-    ends = links.select(F.col("a").alias("node"), F.col("p").alias("start"), F.col("e").alias("end")).unionByName(links.select(F.col("b").alias("node"), F.col("q").alias("start"), F.col("f").alias("end"))).distinct()
-    before = W.partitionBy("node").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
-    islands = ends.withColumn("new", F.coalesce(F.max("end").over(before) <= F.col("start"), F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(W.partitionBy("node").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))
-    spans = islands.groupBy("node", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"))
-    spans = scratch(spans.withColumn("span", F.xxhash64("node", "start_word")), "spans")
-    of = islands.join(spans, ["node", "island"]).select("node", "start", "end", "span")
-    edges = links.join(of.select(F.col("node").alias("a"), F.col("start").alias("p"), F.col("end").alias("e"), F.col("span").alias("s")), ["a", "p", "e"]).join(of.select(F.col("node").alias("b"), F.col("start").alias("q"), F.col("end").alias("f"), F.col("span").alias("t")), ["b", "q", "f"]).select(F.col("s").alias("a"), F.col("t").alias("b"))
-    grouped = spans.join(components(edges).withColumnRenamed("node", "span"), "span")
+    return scratch(both.mapInArrow(verify, "a bigint, b bigint, p bigint, e bigint, q bigint, f bigint"), "links")
+
+
+def located(entries: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The entries ``node, place`` with ``root``: the component of the passage that holds the place, or a number of their own."""
+    nothing = [F.lit(None).cast("int").alias("end"), F.lit(None).cast("bigint").alias("held")]
+    others = [c for c in entries.columns if c not in ("node", "place", "root")]
+    at = entries.select("node", F.col("place").alias("pos"), *nothing, F.struct("place", *others).alias("entry"))
+    kind = at.schema["entry"].dataType
+    starts = grouped.select("node", F.col("start_word").cast("int").alias("pos"), F.col("end_word").cast("int").alias("end"), F.col("root").alias("held"), F.lit(None).cast(kind).alias("entry"))
+    before = W.partitionBy("node").orderBy("pos", F.col("entry").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    last = at.unionByName(starts).withColumn("last", F.last(F.when(F.col("entry").isNull(), F.struct("end", "held")), True).over(before)).where("entry is not null")
+    inside = F.when(F.col("pos") < F.col("last.end"), F.col("last.held"))
+    return last.select("node", "entry.*", F.coalesce(inside, F.xxhash64("node", "pos")).alias("root"))
+
+
+def undecided(entries: DataFrame, key: str) -> DataFrame:
+    """Entries of those keys whose owners aren't all joined yet."""
+    keys = entries.groupBy(key).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(key)
+    return entries.join(keys, key, "left_semi")
+
+
+def rare_keys(near: DataFrame) -> DataFrame:
+    """key, node, place, root, n: the owners of crowded values, keyed anew by the rarest shingles around them; n owners, two at least."""
+    each = near.select("value", "node", "place", "root", "ahead", F.size("around").alias("size"), F.posexplode("around").alias("k", "shingle"))
+    counts = each.groupBy("value", "shingle").agg(F.count("*").alias("owners")).where("owners > 1")
+    shared = each.join(counts, ["value", "shingle"]).groupBy("value", "node", "place", "root", "ahead", "size").agg(F.collect_list(F.struct("k", "shingle", "owners")).alias("shared"))
+    chosen = shared.mapInArrow(rarest, "value bigint, node bigint, place int, root bigint, shingle bigint")
+    keys = scratch(chosen.select(F.xxhash64("value", "shingle").alias("key"), "node", "place", "root"), "keys")
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def links_of_the_rest(found: DataFrame, owners: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links, and those between owners of a value of which neither is a centre.
+
+    Values whose owners are all in one component are done.  Of the others, up to ``CROWD`` owners are compared
+    directly.  More of them are keyed anew by the rarest shingles of the paragraphs around them: two
+    paragraphs that are alike share one of these.  Of a key with many owners each round makes some more
+    of them centres (all in the last one), and each centre meets those that come after it and aren't in its component.
+    """
+    met = (F.struct("node", "place") == F.col("c")) | (F.struct("node", "place") == F.col("c0"))
+    entries = found.join(owners.where("n > 2"), "value").select("value", "n", met.alias("met"), "node", "place")
+    rest = undecided(scratch(located(entries, clusters(links)), "located"), "value")
+    at = rest.groupBy("node").agg(F.collect_list(F.struct("value", "n", "met", "root", "place")).alias("at")).join(texts, "node")
+    near = at.select("node", "at", "text").mapInArrow(neighbourhoods, "value bigint, n bigint, met boolean, root bigint, node bigint, place int, ahead int, around array<int>")
+    near = scratch(near, "near")
+    few = near.where(F.col("n") <= CROWD).groupBy("value").agg(F.collect_list(F.struct("node", "place", "root", "met", "ahead", "around")).alias("owners"))
+    pairs = few.select("owners").mapInArrow(pairs_within, "a bigint, i int, b bigint, j int")
+    links = links.unionByName(verified(pairs, texts))
+    order = F.pmod(F.xxhash64("key", "node", "place"), F.lit(1 << 40)) / float(1 << 40)
+    active = scratch(rare_keys(near.where(F.col("n") > CROWD)).withColumn("at", order), "active")
+    before, width = 0, FIRST_CENTRES
+    while not active.isEmpty():
+        here = scratch(undecided(located(active, clusters(links)), "key"), "here")
+        last = F.when(F.col("n") <= CROWD, 1.0).otherwise(width / F.col("n"))
+        new = here.where((F.col("at") >= before / F.col("n")) & (F.col("at") < last))
+        centres = new.select("key", *[F.col(c).alias(f"c_{c}") for c in ("node", "place", "root", "at")])
+        x, y = F.struct("node", "place"), F.struct(F.col("c_node").alias("node"), F.col("c_place").alias("place"))
+        later = (F.col("at") > F.col("c_at")) | (F.col("at") == F.col("c_at")) & (x > y)
+        two = centres.join(here, "key").where(later & (F.col("root") != F.col("c_root"))).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+        pairs = two.select(F.col("x.node").alias("a"), F.col("x.place").alias("i"), F.col("y.node").alias("b"), F.col("y.place").alias("j"))
+        links = links.unionByName(verified(pairs, texts))
+        active = scratch(here.where((F.col("n") > CROWD) & (F.col("n") > width)).drop("root"), "active")
+        before, width = width, width * CENTRES_GROW
+    return links
+
+
+def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
+    """doc_id, start_word, end_word, n_words, cluster_id, copy_of, kept for each passage that repeats across documents.
+
+    Of each cluster the passage of the least doc_id is kept.
+    """
+    bands = bands or tune_bands()
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy_key"))
+    firsts = scratch(rows.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "firsts")
+    # A text's own id is its node; of copies the one with the least id stands for all, and the others are not searched.
+    texts = docs.withColumnRenamed("doc_id", "node")
+    found = scratch(entries(texts, bands).join(firsts.select("node"), "node", "left_semi"), "bands")
+    spot = F.struct("node", "place")
+    # Centres are chosen in another order for each value, so that a text that is no match for one value's owners doesn't stand for all its neighbours.
+    salted = [F.min_by(spot, F.xxhash64(F.lit(r), "value", "node", "place")).alias(f"c{r}") for r in range(CENTRES - 1)]
+    last = F.max("node").alias("last")
+    owners = found.where("value is not null").groupBy("value").agg(F.count("*").alias("n"), F.min(spot).alias("c"), *salted, last).where("c.node <> last")
+    centres = owners.select("value", F.explode(F.array_distinct(F.array("c", *[f"c{r}" for r in range(CENTRES - 1)]))).alias("c"))
+    met = found.join(centres, "value").where("node <> c.node or place <> c.place")
+    swap = (F.col("node") > F.col("c.node")) | (F.col("node") == F.col("c.node")) & (F.col("place") > F.col("c.place"))
+    pairs = met.select(
+        F.least("node", "c.node").alias("a"),
+        F.when(swap, F.col("c.place")).otherwise(F.col("place")).alias("i"),
+        F.greatest("node", "c.node").alias("b"),
+        F.when(swap, F.col("place")).otherwise(F.col("c.place")).alias("j"),
+    )
+    links = links_of_the_rest(found, owners, verified(pairs, texts), texts)
+    grouped = clusters(links)
     # Clusters within one document are its own repeats.
     first = grouped.groupBy("root").agg(F.min(F.struct("node", "start_word")).alias("first"), F.max("node").alias("last")).where("first.node <> last").drop("last")
     clustered = grouped.join(first, "root").select(F.col("node").alias("doc_id"), "start_word", "end_word", F.col("first.node").alias("cluster_id"), F.lit(None).cast("long").alias("copy_of"), (F.struct("node", "start_word") == F.col("first")).alias("kept"))
