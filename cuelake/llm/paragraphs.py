@@ -11,12 +11,13 @@ widened to a paragraph.  Stretches that overlap in a document are one passage; p
 
 Every band value with owners in two documents or more pairs all its owners with two of them (the first by
 id, one by a hash of value and owner), so a passage of very many documents costs a multiple of its
-owners, not their square, and the owners meet in one component.  A passage that stands twice in a
-text is reported at both places if another document has it too.  Of exact copies the one with the
-least id is searched; the whole text is their common passage.
-
-What this can lose: where a value has more than two owners, two of them that are alike by 0.8 but not like
-either of the two, in both bands.
+owners, not their square, and the owners meet in one component.  Owners of a value that aren't in one component
+then are compared with one another by the words around their places, see ``links_of_the_rest``: directly where they are few, else by the
+rarest shingles there, in rounds of more and more centres.  No pair that shares a band value is left out;
+the worst case, very many owners that share rare shingles too but aren't alike, is quadratic.  These words are compared
+by 64-bit hashes.
+A passage that stands twice in a text is reported at both places if another document has it too.  Of exact
+copies the one with the least id is searched; the whole text is their common passage.
 
 Input cases: null and empty texts, and texts under 50 words, have no passages.  Repeats
 inside one document alone don't count.  Null ids take no part.  Repeated rows count as copies.
@@ -127,7 +128,7 @@ def entries(texts: DataFrame, bands: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, value bigint, place int")
 
 
-#: Owners of a band value that all its owners are compared with.
+#: Owners of a band value that all its owners are compared with at first.
 CENTRES = 2
 #: Words that growth may cross between equal words of two texts, and equal words that must follow.
 GAP, AGAIN = 12, 3
@@ -248,27 +249,167 @@ def cut_around(batches, reach: int = 2 * PARAGRAPH):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cuts, pa.binary()), pa.array(firsts, pa.int32())], names=["a", "b", "spots", "cut", "first"])
 
 
-def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
-    """doc_id, start_word, end_word, n_words, cluster_id, copy_of, kept for each passage that repeats across documents.
+#: Shingles of a paragraph, and how many stand before and behind one that it may hold.
+WIDTH, AROUND = PARAGRAPH - SHINGLE + 1, PARAGRAPH - SHINGLE
+#: Words before and behind a shingle that are kept with it to compare owners that resemble no centre.
+REACH = PARAGRAPH + GAP
+#: Owners of a key that are all compared with one another; with more of them, the centres of the first round, and by how much they grow.
+CROWD, FIRST_CENTRES, CENTRES_GROW = 32, 4, 16
+#: Words around places that are in one batch at most.
+BATCH_WORDS = 1_000_000
+LINK = "a bigint, b bigint, p bigint, e bigint, q bigint, f bigint"
+NEAR = "value bigint, root bigint, node bigint, place int, ahead int, words array<bigint>"
 
-    Of each cluster the passage of the least doc_id is kept.
-    """
-    bands = bands or tune_bands()
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy_key"))
-    firsts = scratch(rows.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "firsts")
-    # A text's own id is its node; of copies the one with the least id stands for all, and the others are not searched.
-    texts = docs.withColumnRenamed("doc_id", "node")
-    found = scratch(entries(texts, bands).join(firsts.select("node"), "node", "left_semi"), "bands")
-    spot = F.struct("node", "place")
-    # Centres are chosen in another order for each value, so that a text that is no match for one value's owners doesn't stand for all its neighbours.
-    salted = [F.min_by(spot, F.xxhash64(F.lit(r), "value", "node", "place")).alias(f"c{r}") for r in range(CENTRES - 1)]
-    owners = found.where("value is not null").groupBy("value").agg(F.min(spot).alias("c"), *salted, F.max("node").alias("last")).where("c.node <> last")
-    centres = owners.select("value", F.explode(F.array_distinct(F.array("c", *[f"c{r}" for r in range(CENTRES - 1)]))).alias("c"))
-    met = found.join(centres, "value").where("node <> c.node or place <> c.place")
-    swap = (F.col("node") > F.col("c.node")) | (F.col("node") == F.col("c.node")) & (F.col("place") > F.col("c.place"))
-    pairs = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.struct(F.when(swap, F.col("c.place")).otherwise(F.col("place")).alias("i"), F.when(swap, F.col("place")).otherwise(F.col("c.place")).alias("j")).alias("spot"))
-    pairs = scratch(pairs.groupBy("a", "b").agg(F.collect_set("spot").alias("spots")), "pairs")  # linear in the places of the two texts
+
+def link_batch(links: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*links)) if links else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["a", "b", "p", "e", "q", "f"])
+
+
+def neighbourhoods(batches):
+    """value, root, node, place, ahead, words: 64-bit hashes of the words around a place, of which ``ahead`` stand before it."""
+    hashed = Hasher()
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    names = ["value", "root", "node", "place", "ahead", "words"]
+    for batch in batches:
+        got, held = [], 0
+        for node, at, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            words = hashed(words_of(text.as_py())).view(np.int64)
+            for e in at.as_py():
+                low, place = max(0, e["place"] - REACH), e["place"]
+                if place + SHINGLE > len(words):  # another text of a repeated id
+                    continue
+                around = words[low : place + SHINGLE + REACH]
+                got.append((e["value"], e["root"], node, place, place - low, around))
+                held += len(around)
+                if held > BATCH_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(zip(*got), kinds)], names=names)
+                    got, held = [], 0
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(zip(*got), kinds)], names=names)
+
+
+class Owner:
+    """The words around a place, and the fewest shingles that it must share with one that is alike."""
+
+    __slots__ = ("node", "place", "low", "ahead", "words", "shingles", "least")
+
+    def __init__(self, node: int, place: int, ahead: int, words: list[int]):
+        self.node, self.place, self.low, self.ahead, self.words = node, place, place - ahead, ahead, words
+        each = list(zip(*(words[k:] for k in range(SHINGLE))))
+        self.shingles = set(each)
+        fewest = min(WIDTH, len(each))
+        if len(self.shingles) < len(each):
+            first, last = max(0, ahead - WIDTH + 1), min(ahead, len(each) - WIDTH)
+            fewest = min((len(set(each[k : k + WIDTH])) for k in range(first, last + 1)), default=0)
+        self.least = SIMILARITY * fewest
+
+    def links(self, other: Owner) -> list[tuple[int, int, int, int, int, int]]:
+        """Stretches of both that are alike, the lesser place first."""
+        x, y = (self, other) if (self.node, self.place) < (other.node, other.place) else (other, self)
+        if len(x.shingles & y.shingles) < min(x.least, y.least):
+            return []
+        found = common_stretches(x.words, y.words, [(x.ahead, y.ahead)])
+        out = [(x.node, y.node, p + x.low, e + x.low, q + y.low, f + y.low) for p, e, q, f in found]
+        return [v for v in out if v[0] != v[1] or v[3] <= v[4]]  # two places of one text are apart
+
+
+def links_within(batches):
+    """Links between all owners of each value; what is joined already isn't compared again."""
+    for batch in batches:
+        got = []
+        for owners in batch.column(0):
+            here = sorted(owners.as_py(), key=lambda o: (o["node"], o["place"]))
+            root = [o["root"] for o in here]
+            each = [Owner(o["node"], o["place"], o["ahead"], o["words"]) for o in here]
+            for k in range(len(here)):
+                for m in range(k + 1, len(here)):
+                    if root[k] != root[m] and (found := each[k].links(each[m])):
+                        got += found
+                        root = [root[k] if r == root[m] else r for r in root]
+        yield link_batch(got)
+
+
+def links_of_pairs(batches):
+    """Links of pairs x, y, with the components ``s, t`` that they join."""
+    for batch in batches:
+        got = []
+        for x, y in zip(*batch.columns):
+            x, y = x.as_py(), y.as_py()
+            one, two = (Owner(o["node"], o["place"], o["ahead"], o["words"]) for o in (x, y))
+            got += [(*v, x["root"], y["root"]) for v in one.links(two)]
+        links = link_batch([v[:6] for v in got])
+        for k, name in ((6, "s"), (7, "t")):
+            links = links.append_column(name, pa.array([v[k] for v in got], pa.int64()))
+        yield links
+
+
+def shingles_around(batches):
+    """value, node, place, ahead, size, k, shingle: each shingle of the paragraphs that hold a place, 32 bits of its hash."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    names = ["value", "node", "place", "ahead", "size", "k", "shingle"]
+    for batch in batches:
+        got = [[] for _ in names]
+        for value, node, place, ahead, words in zip(*(column.to_pylist() for column in batch.columns)):
+            found = mix(shingle_hashes(np.array(words, np.int64).view(np.uint64)), SEEDS[-1]).astype(np.uint32).view(np.int32)
+            low = max(0, ahead - AROUND)
+            found = found[low : ahead + AROUND + 1]
+            n = len(found)
+            for column, one in zip(got, (value, node, place, ahead - low, n)):
+                column.append(np.full(n, one, np.int64))
+            got[5].append(np.arange(n))
+            got[6].append(found)
+        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in got]
+        yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, kinds)], names=names)
+
+
+def windows_around(around: np.ndarray, ahead: int) -> np.ndarray:
+    """The paragraphs, as rows of shingles, that hold the shingle at ``ahead``."""
+    first, last = max(0, ahead - WIDTH + 1), min(ahead, len(around) - WIDTH)
+    return np.lib.stride_tricks.sliding_window_view(around, WIDTH)[first : last + 1] if last >= first else np.zeros((0, WIDTH), around.dtype)
+
+
+def rarest(batches):
+    """value, node, place, shingle: of each paragraph around a place the rarest shingles, so many that paragraphs which are alike share one."""
+    for batch in batches:
+        got = []
+        for value, node, place, ahead, size, shared in zip(*(column.to_pylist() for column in batch.columns)):
+            counts, hashes = np.ones(size, np.int64), np.arange(size, dtype=np.int64) + (1 << 40)  # shingles of this place alone come first
+            at = [s["k"] for s in shared]
+            counts[at], hashes[at] = [s["owners"] for s in shared], [s["shingle"] for s in shared]
+            order = np.lexsort((hashes, counts))
+            rank = np.empty(size, np.int64)
+            rank[order] = np.arange(size)
+            chosen: set[int] = set()
+            for row in windows_around(rank, ahead):
+                different = list(dict.fromkeys(hashes[order[np.sort(row)]].tolist()))
+                chosen.update(different[: len(different) - int(np.ceil(SIMILARITY * len(different) - 1e-9)) + 1])
+            got += [(value, node, place, h) for h in chosen if h < 1 << 40]
+        cols = list(zip(*got)) if got else [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(cols, kinds)], names=["value", "node", "place", "shingle"])
+
+
+def clusters(links: DataFrame) -> DataFrame:
+    """node, start_word, end_word, span, root: passages, which are the stretches of links put together where they overlap, and their components."""
+    ends = links.select(F.col("a").alias("node"), F.col("p").alias("start"), F.col("e").alias("end"))
+    ends = ends.unionByName(links.select(F.col("b").alias("node"), F.col("q").alias("start"), F.col("f").alias("end"))).distinct()
+    ordered = W.partitionBy("node").orderBy("start", "end")
+    new = F.coalesce(F.max("end").over(ordered.rowsBetween(W.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
+    islands = ends.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+    spans = islands.groupBy("node", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"))
+    spans = scratch(spans.withColumn("span", F.xxhash64("node", "start_word")), "spans")
+    of = islands.join(spans, ["node", "island"]).select("node", "start", "end", "span")
+    one = of.select(F.col("node").alias("a"), F.col("start").alias("p"), F.col("end").alias("e"), F.col("span").alias("s"))
+    two = of.select(F.col("node").alias("b"), F.col("start").alias("q"), F.col("end").alias("f"), F.col("span").alias("t"))
+    edges = links.join(one, ["a", "p", "e"]).join(two, ["b", "q", "f"]).select(F.col("s").alias("a"), F.col("t").alias("b"))
+    return spans.join(components(edges).withColumnRenamed("node", "span"), "span")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links a, b, p, e, q, f of the pairs ``a, i, b, j`` of nodes and places, ordered: the stretches [p, e) and [q, f) around them that are alike."""
+    # Linear in the places of the two texts.
+    pairs = scratch(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("spots")), "pairs")
     # Of the first text only the words around the spots travel to the second one.
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "spots", "text_a")
     around = with_a.mapInArrow(cut_around, "a bigint, b bigint, spots array<struct<i: int, j: int>>, cut binary, first int")
@@ -288,18 +429,137 @@ def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
                 for p, e, q, f in common_stretches(cut.as_py().split(), near, [(i, j - low) for i, j in places]):
                     if a != b or e + first <= q + low:  # two places of one text are apart
                         got.append((a, b, p + first, e + first, q + low, f + low))
-            cols = list(zip(*got)) if got else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["a", "b", "p", "e", "q", "f"])
+            yield link_batch(got)
 
-    links = scratch(both.mapInArrow(verify, "a bigint, b bigint, p bigint, e bigint, q bigint, f bigint"), "links")
-    ends = links.select(F.col("a").alias("node"), F.col("p").alias("start"), F.col("e").alias("end")).unionByName(links.select(F.col("b").alias("node"), F.col("q").alias("start"), F.col("f").alias("end"))).distinct()
-    before = W.partitionBy("node").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
-    islands = ends.withColumn("new", F.coalesce(F.max("end").over(before) <= F.col("start"), F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(W.partitionBy("node").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))
-    spans = islands.groupBy("node", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"))
-    spans = scratch(spans.withColumn("span", F.xxhash64("node", "start_word")), "spans")
-    of = islands.join(spans, ["node", "island"]).select("node", "start", "end", "span")
-    edges = links.join(of.select(F.col("node").alias("a"), F.col("start").alias("p"), F.col("end").alias("e"), F.col("span").alias("s")), ["a", "p", "e"]).join(of.select(F.col("node").alias("b"), F.col("start").alias("q"), F.col("end").alias("f"), F.col("span").alias("t")), ["b", "q", "f"]).select(F.col("s").alias("a"), F.col("t").alias("b"))
-    grouped = spans.join(components(edges).withColumnRenamed("node", "span"), "span")
+    return scratch(both.mapInArrow(verify, LINK), "links")
+
+
+def located(entries: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The entries ``value, node, place`` with ``root``: the component of the passage that holds the place, or a number of their own."""
+    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("end", "held")]
+    at = entries.select("node", F.col("place").alias("pos"), *nothing, "value")
+    starts = grouped.select("node", F.col("start_word").alias("pos"), F.col("end_word").alias("end"), F.col("root").alias("held"), F.lit(None).cast("bigint").alias("value"))
+    before = W.partitionBy("node").orderBy("pos", F.col("value").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    last = at.unionByName(starts).withColumn("last", F.last(F.when(F.col("value").isNull(), F.struct("end", "held")), True).over(before))
+    inside = F.when(F.col("pos") < F.col("last.end"), F.col("last.held"))
+    return last.where("value is not null").select("value", "node", F.col("pos").cast("int").alias("place"), F.coalesce(inside, F.xxhash64("node", "pos")).alias("root"))
+
+
+def undecided(entries: DataFrame, key: str) -> DataFrame:
+    """Entries of those keys whose owners aren't all joined yet, with the number ``n`` of these owners."""
+    keys = entries.groupBy(key).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select(key, "n")
+    return entries.join(keys, key)
+
+
+def rare_keys(near: DataFrame) -> DataFrame:
+    """key, value, node, place, root, n: owners of crowded values keyed anew by the rarest shingles around them; n owners that aren't all joined."""
+    each = near.select("value", "node", "place", "ahead", "words").mapInArrow(
+        shingles_around, "value bigint, node bigint, place int, ahead int, size int, k int, shingle int"
+    )
+    each = scratch(each, "around")
+    counts = each.groupBy("value", "shingle").agg(F.count("*").alias("owners")).where("owners > 1")
+    shared = each.join(counts, ["value", "shingle"]).groupBy("value", "node", "place", "ahead", "size").agg(F.collect_list(F.struct("k", "shingle", "owners")).alias("shared"))
+    chosen = shared.mapInArrow(rarest, "value bigint, node bigint, place int, shingle bigint")
+    keys = chosen.join(near.select("value", "node", "place", "root"), ["value", "node", "place"])
+    keys = scratch(keys.select(F.xxhash64("value", "shingle").alias("key"), "value", "node", "place", "root"), "keys")
+    return undecided(keys, "key")
+
+
+def crowded_links(near: DataFrame) -> DataFrame:
+    """Links between owners of crowded values, which are keyed anew by the rarest shingles around them, in rounds.
+
+    Each round makes some more owners of a key centres (all of them in the last one), and each
+    centre meets those that come after it and aren't in its component.
+    """
+    order = F.pmod(F.xxhash64("key", "node", "place"), F.lit(1 << 40)) / float(1 << 40)
+    active = scratch(rare_keys(near).withColumn("at", order), "active")
+    links, before, width = active.sparkSession.createDataFrame([], LINK), 0, FIRST_CENTRES
+    spot = ["value", "node", "place"]
+    while not active.isEmpty():
+        last = F.when(F.col("n") <= CROWD, 1.0).otherwise(width / F.col("n"))
+        new = active.where((F.col("at") >= before / F.col("n")) & (F.col("at") < last))
+        centres = new.select("key", *[F.col(c).alias(f"c_{c}") for c in ("node", "place", "root", "at")])
+        x, y = F.struct("node", "place"), F.struct(F.col("c_node").alias("node"), F.col("c_place").alias("place"))
+        later = (F.col("at") > F.col("c_at")) | (F.col("at") == F.col("c_at")) & (x > y)
+        two = centres.join(active, "key").where(later & (F.col("root") != F.col("c_root"))).select("value", F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
+        for side in ("x", "y"):
+            owner = near.select("value", F.struct("node", "place").alias(side), F.struct("node", "place", "root", "ahead", "words").alias(f"{side}_owner"))
+            two = two.join(owner, ["value", side])
+        found = scratch(two.select("x_owner", "y_owner").mapInArrow(links_of_pairs, LINK + ", s bigint, t bigint"), "links")
+        links = links.unionByName(found.drop("s", "t"))
+        active = active.where((F.col("n") > CROWD) & (F.col("n") > width))
+        if active.isEmpty():
+            break
+        # Components of the components that this round has joined; n keeps its value, as the order of centres depends on it.
+        merged = components(found.select(F.col("s").alias("a"), F.col("t").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("new"))
+        active = active.join(merged, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+        near = near.join(merged, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+        open_keys = undecided(active.drop("n"), "key").select("key").distinct()
+        active = scratch(active.join(open_keys, "key", "left_semi"), "active")
+        before, width = width, width * CENTRES_GROW
+    return links
+
+
+def links_of_the_rest(shared: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between owners ``value, node, place`` of a value of which neither is a centre.
+
+    Values whose owners are all in one component are done.  The others' owners are compared by the words around
+    their places.  Of owners with the same words around one stands for all.  Up to ``CROWD``
+    of them are compared directly, more of them as ``crowded_links`` says.
+    """
+    rest = scratch(undecided(located(shared, clusters(links)), "value").drop("n"), "rest")
+    at = rest.groupBy("node").agg(F.collect_set(F.struct("value", "root", "place")).alias("at"))
+    near = scratch(at.join(texts, "node").select("node", "at", "text").mapInArrow(neighbourhoods, NEAR), "near")
+    same = ["value", "ahead", "h1", "h2"]
+    each = near.select("value", "root", "node", "place", "ahead", F.size("words").alias("size"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
+    first = each.groupBy(*same).agg(F.min(F.struct("node", "place")).alias("first"), F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("copies"))
+    of = each.join(first.where("copies > 1 and x <> y"), same).where("struct(node, place) <> first")
+    low, low_first = F.col("place") - F.col("ahead"), F.col("first.place") - F.col("ahead")
+    ends = [low_first, low_first + F.col("size"), low, low + F.col("size")]
+    equal = of.where((F.col("size") >= PARAGRAPH) & ((F.col("node") != F.col("first.node")) | (ends[1] <= low)))
+    equal = equal.select(F.col("first.node").alias("a"), F.col("node").alias("b"), *[v.cast("bigint").alias(c) for v, c in zip(ends, ("p", "e", "q", "f"))])
+    chosen = first.select("value", "first.node", "first.place")
+    keys = near.select("value", "node", "place", "root").join(chosen, ["value", "node", "place"], "left_semi")
+    left = scratch(undecided(keys, "value").select("value", "node", "place", "n"), "left")
+    near = near.join(left, ["value", "node", "place"])
+    owner = F.struct("node", "place", "root", "ahead", "words")
+    few = near.where(F.col("n") <= CROWD).groupBy("value").agg(F.collect_list(owner).alias("owners"))
+    out = equal.unionByName(few.select("owners").mapInArrow(links_within, LINK))
+    crowded = scratch(near.where(F.col("n") > CROWD).drop("n"), "crowded")
+    if not crowded.isEmpty():
+        out = out.unionByName(crowded_links(crowded))
+    return scratch(out, "links")
+
+
+def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
+    """doc_id, start_word, end_word, n_words, cluster_id, copy_of, kept for each passage that repeats across documents.
+
+    Of each cluster the passage of the least doc_id is kept.
+    """
+    bands = bands or tune_bands()
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy_key"))
+    firsts = scratch(rows.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "firsts")
+    # A text's own id is its node; of copies the one with the least id stands for all, and the others are not searched.
+    texts = docs.withColumnRenamed("doc_id", "node")
+    found = scratch(entries(texts, bands).join(firsts.select("node"), "node", "left_semi"), "bands")
+    spot = F.struct("node", "place")
+    # Centres are chosen in another order for each value, so that a text that is no match for one value's owners doesn't stand for all its neighbours.
+    salted = [F.min_by(spot, F.xxhash64(F.lit(r), "value", "node", "place")).alias(f"c{r}") for r in range(CENTRES - 1)]
+    last = F.max("node").alias("last")
+    owners = found.where("value is not null").groupBy("value").agg(F.count("*").alias("n"), F.min(spot).alias("c"), *salted, last).where("c.node <> last")
+    shared = scratch(found.join(owners, "value"), "shared")
+    met = shared.withColumn("c", F.explode(F.array_distinct(F.array("c", *[f"c{r}" for r in range(CENTRES - 1)])))).where("node <> c.node or place <> c.place")
+    swap = (F.col("node") > F.col("c.node")) | (F.col("node") == F.col("c.node")) & (F.col("place") > F.col("c.place"))
+    pairs = met.select(
+        F.least("node", "c.node").alias("a"),
+        F.when(swap, F.col("c.place")).otherwise(F.col("place")).alias("i"),
+        F.greatest("node", "c.node").alias("b"),
+        F.when(swap, F.col("place")).otherwise(F.col("c.place")).alias("j"),
+    )
+    links = verified(pairs, texts)
+    links = links.unionByName(links_of_the_rest(shared.where("n > 2").select("value", "node", "place"), links, texts))
+    grouped = clusters(links)
     # Clusters within one document are its own repeats.
     first = grouped.groupBy("root").agg(F.min(F.struct("node", "start_word")).alias("first"), F.max("node").alias("last")).where("first.node <> last").drop("last")
     clustered = grouped.join(first, "root").select(F.col("node").alias("doc_id"), "start_word", "end_word", F.col("first.node").alias("cluster_id"), F.lit(None).cast("long").alias("copy_of"), (F.struct("node", "start_word") == F.col("first")).alias("kept"))

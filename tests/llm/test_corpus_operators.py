@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -496,6 +497,75 @@ def test_passage_that_stands_twice_in_a_text(spark):
     assert sorted((x.doc_id, x.start_word, x.end_word, x.cluster_id) for x in out) == [(1, 30, 90, 1), (2, 0, 60, 1), (2, 130, 190, 1)]
 
 
+@pytest.mark.parametrize("n_pairs, n_alone", [(8, 4), (30, 30)])
+def test_passages_of_owners_that_resemble_no_centre(spark, n_pairs, n_alone):
+    """A line that very many texts hold; pairs of them have twelve words on both sides of it in common too."""
+    rng = random.Random(n_pairs)
+    line = [f"line{k}" for k in range(26)]
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    rows, wanted = [], {}
+    for k in range(n_pairs):
+        passage = fresh(12) + line + fresh(12)
+        for j in range(2):
+            rows.append((2 * k + j, " ".join(fresh(40) + passage + fresh(40))))
+            wanted[2 * k + j] = 2 * k
+    rows += [(1000 + k, " ".join(fresh(60) + line + fresh(60))) for k in range(n_alone)]
+    out = {}
+    for x in paragraphs.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        out.setdefault(x.doc_id, set()).add(x.cluster_id)
+    assert out == {k: {v} for k, v in wanted.items()}
+
+
+def test_variants_in_a_crowd_against_all_pairs(spark):
+    """Many variants of one text that are alike only in part: the clusters are those of all pairs that share a band value."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(90):
+        words = [w if rng.random() > 0.04 else f"x{rng.randrange(10**9)}" for w in base]
+        rows.append((k, " ".join([*words, f"end{k}"])))
+    texts = [paragraphs.words_of(t) for _, t in rows]
+    values = [[set(zip(v.tolist(), p.tolist())) for v, p in paragraphs.band_values(paragraphs.Hasher()(w), 2)] for w in texts]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            spots = [(i, j) for x, y in zip(values[a], values[b]) for v, i in x for w, j in y if v == w]
+            if root[a] != root[b] and spots and paragraphs.common_stretches(texts[a], texts[b], spots):
+                root = [root[a] if r == root[b] else r for r in root]
+    groups = {}
+    for k, r in enumerate(root):
+        groups.setdefault(r, set()).add(k)
+    found = {}
+    for x in paragraphs.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        found.setdefault(x.cluster_id, set()).add(x.doc_id)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_rarest_shingles_of_paragraphs_meet():
+    """Paragraphs alike by 0.8 share one of their rarest shingles, whatever the counts are."""
+    rng = random.Random(5)
+    for _ in range(200):
+        words = [rng.randrange(10**9) for _ in range(50)]
+        other = list(words)
+        other[rng.choice([0, 1, 2, 47, 48, 49])] = 7
+        x, y = ([hash(tuple(w[k : k + 5])) % 2**31 for k in range(46)] for w in (words, other))
+        owners = {h: rng.choice([2, 3, 50, 900]) for h in set(x) & set(y)}
+        batch = []
+        for node, around in enumerate((x, y)):
+            shared = [{"k": k, "shingle": h, "owners": owners[h]} for k, h in enumerate(around) if h in owners]
+            batch.append((1, node, 20, 20, 46, shared))
+        names = ["value", "node", "place", "ahead", "size", "shared"]
+        found = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*batch)], names=names)
+        keys = {}
+        for out in paragraphs.rarest([found]):
+            for row in out.to_pylist():
+                keys.setdefault(row["node"], set()).add(row["shingle"])
+        assert keys[0] & keys[1]
+
+
 def test_band_tuning():
     assert paragraphs.tune_bands(0.8, 0.95) == 2 and paragraphs.tune_bands(0.8, 0.99) == 3
 
