@@ -258,7 +258,7 @@ CROWD, FIRST_CENTRES, CENTRES_GROW = 32, 4, 16
 #: Words around places that are in one batch at most.
 BATCH_WORDS = 1_000_000
 LINK = "a bigint, b bigint, p bigint, e bigint, q bigint, f bigint"
-NEAR = "value bigint, root bigint, node bigint, place int, ahead int, words array<bigint>"
+NEAR = "value bigint, root bigint, node bigint, place int, ahead int, words array<bigint>, before int, least int, around array<int>"
 
 
 def link_batch(links: list[tuple]) -> pa.RecordBatch:
@@ -266,67 +266,84 @@ def link_batch(links: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["a", "b", "p", "e", "q", "f"])
 
 
+def fewest_shingles(around: np.ndarray, before: int) -> int:
+    """The least number of different shingles in a paragraph that holds the shingle at ``before``."""
+    if len(np.unique(around)) == len(around):
+        return min(WIDTH, len(around))
+    rows = np.sort(windows_around(around, before), axis=1)
+    return int((1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)).min(initial=WIDTH))
+
+
 def neighbourhoods(batches):
-    """value, root, node, place, ahead, words: 64-bit hashes of the words around a place, of which ``ahead`` stand before it."""
+    """Rows of ``NEAR``: 64-bit hashes of the words around a place, of which ``ahead`` stand before it.
+
+    ``around`` are 32 bits of the hash of each shingle of the paragraphs that hold the place, ``before`` of them in front of it; two
+    owners that are alike have ``least`` or more in common (less one, for shingles that share these bits).
+    """
     hashed = Hasher()
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-    names = ["value", "root", "node", "place", "ahead", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+    names = ["value", "root", "node", "place", "ahead", "words", "before", "least", "around"]
+
+    def rows(got):
+        return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(zip(*got), kinds)], names=names)
+
     for batch in batches:
         got, held = [], 0
         for node, at, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            words = hashed(words_of(text.as_py())).view(np.int64)
+            words = hashed(words_of(text.as_py()))
+            shingles = mix(shingle_hashes(words), SEEDS[-1]).astype(np.uint32).view(np.int32)
+            words = words.view(np.int64)
             for e in at.as_py():
-                low, place = max(0, e["place"] - REACH), e["place"]
-                if place + SHINGLE > len(words):  # another text of a repeated id
+                place = e["place"]
+                if place >= len(shingles):  # another text of a repeated id
                     continue
-                around = words[low : place + SHINGLE + REACH]
-                got.append((e["value"], e["root"], node, place, place - low, around))
-                held += len(around)
+                low, first = max(0, place - REACH), max(0, place - AROUND)
+                around = shingles[first : place + AROUND + 1]
+                least = int(np.ceil(SIMILARITY * fewest_shingles(around, place - first) - 1e-9)) - 1
+                got.append((e["value"], e["root"], node, place, place - low, words[low : place + SHINGLE + REACH], place - first, least, around))
+                held += 2 * REACH
                 if held > BATCH_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(zip(*got), kinds)], names=names)
+                    yield rows(got)
                     got, held = [], 0
         if got:
-            yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(zip(*got), kinds)], names=names)
+            yield rows(got)
 
 
 class Owner:
-    """The words around a place, and the fewest shingles that it must share with one that is alike."""
+    """The words around a place, from the fields of ``NEAR``."""
 
-    __slots__ = ("node", "place", "low", "ahead", "words", "shingles", "least")
+    __slots__ = ("node", "place", "low", "ahead", "words")
 
-    def __init__(self, node: int, place: int, ahead: int, words: list[int]):
-        self.node, self.place, self.low, self.ahead, self.words = node, place, place - ahead, ahead, words
-        each = list(zip(*(words[k:] for k in range(SHINGLE))))
-        self.shingles = set(each)
-        fewest = min(WIDTH, len(each))
-        if len(self.shingles) < len(each):
-            first, last = max(0, ahead - WIDTH + 1), min(ahead, len(each) - WIDTH)
-            fewest = min((len(set(each[k : k + WIDTH])) for k in range(first, last + 1)), default=0)
-        self.least = SIMILARITY * fewest
+    def __init__(self, o: dict):
+        self.node, self.place, self.low, self.ahead, self.words = o["node"], o["place"], o["place"] - o["ahead"], o["ahead"], o["words"]
 
     def links(self, other: Owner) -> list[tuple[int, int, int, int, int, int]]:
         """Stretches of both that are alike, the lesser place first."""
         x, y = (self, other) if (self.node, self.place) < (other.node, other.place) else (other, self)
-        if len(x.shingles & y.shingles) < min(x.least, y.least):
-            return []
         found = common_stretches(x.words, y.words, [(x.ahead, y.ahead)])
         out = [(x.node, y.node, p + x.low, e + x.low, q + y.low, f + y.low) for p, e, q, f in found]
         return [v for v in out if v[0] != v[1] or v[3] <= v[4]]  # two places of one text are apart
 
 
 def links_within(batches):
-    """Links between all owners of each value; what is joined already isn't compared again."""
+    """Links between all owners of each value that have enough shingles in common; what is joined already isn't compared again."""
     for batch in batches:
         got = []
         for owners in batch.column(0):
-            here = sorted(owners.as_py(), key=lambda o: (o["node"], o["place"]))
-            root = [o["root"] for o in here]
-            each = [Owner(o["node"], o["place"], o["ahead"], o["words"]) for o in here]
-            for k in range(len(here)):
-                for m in range(k + 1, len(here)):
-                    if root[k] != root[m] and (found := each[k].links(each[m])):
-                        got += found
-                        root = [root[k] if r == root[m] else r for r in root]
+            values = owners.values
+            n, least, root = len(values), values.field("least").to_pylist(), values.field("root").to_pylist()
+            around = [set(v) for v in values.field("around").to_pylist()]
+            pairs = [
+                (k, m)
+                for k in range(n)
+                for m in range(k + 1, n)
+                if root[k] != root[m] and len(around[k] & around[m]) >= min(least[k], least[m])
+            ]
+            each = {k: Owner(values[k].as_py()) for k in sorted({k for pair in pairs for k in pair})}
+            for k, m in sorted(pairs, key=lambda pair: [(each[v].node, each[v].place) for v in pair]):
+                if root[k] != root[m] and (found := each[k].links(each[m])):
+                    got += found
+                    root = [root[k] if r == root[m] else r for r in root]
         yield link_batch(got)
 
 
@@ -336,33 +353,13 @@ def links_of_pairs(batches):
         got = []
         for x, y in zip(*batch.columns):
             x, y = x.as_py(), y.as_py()
-            one, two = (Owner(o["node"], o["place"], o["ahead"], o["words"]) for o in (x, y))
-            got += [(*v, x["root"], y["root"]) for v in one.links(two)]
+            got += [(*v, x["root"], y["root"]) for v in Owner(x).links(Owner(y))]
         links = link_batch([v[:6] for v in got])
         for k, name in ((6, "s"), (7, "t")):
             links = links.append_column(name, pa.array([v[k] for v in got], pa.int64()))
         yield links
 
 
-def shingles_around(batches):
-    """value, node, place, ahead, size, k, shingle: each shingle of the paragraphs that hold a place, 32 bits of its hash."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-    names = ["value", "node", "place", "ahead", "size", "k", "shingle"]
-    for batch in batches:
-        got = [[] for _ in names]
-        for value, node, place, ahead, words in zip(*(column.to_pylist() for column in batch.columns)):
-            found = mix(shingle_hashes(np.array(words, np.int64).view(np.uint64)), SEEDS[-1]).astype(np.uint32).view(np.int32)
-            low = max(0, ahead - AROUND)
-            found = found[low : ahead + AROUND + 1]
-            n = len(found)
-            for column, one in zip(got, (value, node, place, ahead - low, n)):
-                column.append(np.full(n, one, np.int64))
-            got[5].append(np.arange(n))
-            got[6].append(found)
-        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in got]
-        yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, kinds)], names=names)
-
-
 def windows_around(around: np.ndarray, ahead: int) -> np.ndarray:
     """The paragraphs, as rows of shingles, that hold the shingle at ``ahead``."""
     first, last = max(0, ahead - WIDTH + 1), min(ahead, len(around) - WIDTH)
@@ -380,8 +377,12 @@ def rarest(batches):
             order = np.lexsort((hashes, counts))
             rank = np.empty(size, np.int64)
             rank[order] = np.arange(size)
-            chosen: set[int] = set()
-            for row in windows_around(rank, ahead):
+            windows, chosen = windows_around(rank, ahead), set()
+            if len(np.unique(hashes)) == size:  # all shingles of a paragraph differ
+                most = WIDTH - int(np.ceil(SIMILARITY * WIDTH - 1e-9)) + 1
+                chosen = set(hashes[order[np.unique(np.partition(windows, most - 1, axis=1)[:, :most])]].tolist())
+                windows = windows[:0]
+            for row in windows:
                 different = list(dict.fromkeys(hashes[order[np.sort(row)]].tolist()))
                 chosen.update(different[: len(different) - int(np.ceil(SIMILARITY * len(different) - 1e-9)) + 1])
             got += [(value, node, place, h) for h in chosen if h < 1 << 40]
@@ -453,12 +454,9 @@ def undecided(entries: DataFrame, key: str) -> DataFrame:
 
 def rare_keys(near: DataFrame) -> DataFrame:
     """key, value, node, place, root, n: owners of crowded values keyed anew by the rarest shingles around them; n owners that aren't all joined."""
-    each = near.select("value", "node", "place", "ahead", "words").mapInArrow(
-        shingles_around, "value bigint, node bigint, place int, ahead int, size int, k int, shingle int"
-    )
-    each = scratch(each, "around")
+    each = near.select("value", "node", "place", "before", F.size("around").alias("size"), F.posexplode("around").alias("k", "shingle"))
     counts = each.groupBy("value", "shingle").agg(F.count("*").alias("owners")).where("owners > 1")
-    shared = each.join(counts, ["value", "shingle"]).groupBy("value", "node", "place", "ahead", "size").agg(F.collect_list(F.struct("k", "shingle", "owners")).alias("shared"))
+    shared = each.join(counts, ["value", "shingle"]).groupBy("value", "node", "place", "before", "size").agg(F.collect_list(F.struct("k", "shingle", "owners")).alias("shared"))
     chosen = shared.mapInArrow(rarest, "value bigint, node bigint, place int, shingle bigint")
     keys = chosen.join(near.select("value", "node", "place", "root"), ["value", "node", "place"])
     keys = scratch(keys.select(F.xxhash64("value", "shingle").alias("key"), "value", "node", "place", "root"), "keys")
@@ -482,9 +480,13 @@ def crowded_links(near: DataFrame) -> DataFrame:
         x, y = F.struct("node", "place"), F.struct(F.col("c_node").alias("node"), F.col("c_place").alias("place"))
         later = (F.col("at") > F.col("c_at")) | (F.col("at") == F.col("c_at")) & (x > y)
         two = centres.join(active, "key").where(later & (F.col("root") != F.col("c_root"))).select("value", F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
+        # Shingles first, then the words of those pairs that have enough of them in common.
+        for side in ("x", "y"):
+            two = two.join(near.select("value", F.struct("node", "place").alias(side), F.struct("least", "around").alias(f"{side}_near")), ["value", side])
+        enough = F.size(F.array_intersect("x_near.around", "y_near.around")) >= F.least("x_near.least", "y_near.least")
+        two = two.where(enough).select("value", "x", "y")
         for side in ("x", "y"):
-            owner = near.select("value", F.struct("node", "place").alias(side), F.struct("node", "place", "root", "ahead", "words").alias(f"{side}_owner"))
-            two = two.join(owner, ["value", side])
+            two = two.join(near.select("value", F.struct("node", "place").alias(side), F.struct("node", "place", "root", "ahead", "words").alias(f"{side}_owner")), ["value", side])
         found = scratch(two.select("x_owner", "y_owner").mapInArrow(links_of_pairs, LINK + ", s bigint, t bigint"), "links")
         links = links.unionByName(found.drop("s", "t"))
         active = active.where((F.col("n") > CROWD) & (F.col("n") > width))
@@ -522,7 +524,7 @@ def links_of_the_rest(shared: DataFrame, links: DataFrame, texts: DataFrame) ->
     keys = near.select("value", "node", "place", "root").join(chosen, ["value", "node", "place"], "left_semi")
     left = scratch(undecided(keys, "value").select("value", "node", "place", "n"), "left")
     near = near.join(left, ["value", "node", "place"])
-    owner = F.struct("node", "place", "root", "ahead", "words")
+    owner = F.struct("node", "place", "root", "ahead", "words", "least", "around")
     few = near.where(F.col("n") <= CROWD).groupBy("value").agg(F.collect_list(owner).alias("owners"))
     out = equal.unionByName(few.select("owners").mapInArrow(links_within, LINK))
     crowded = scratch(near.where(F.col("n") > CROWD).drop("n"), "crowded")
