@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, paragraphs, pii, quality_model, quality_rules, shards, simhash, url_filter
+from . import bpe, centroids, chat, corpus_sql, decontaminate, langid, merkle, paragraphs, pii, quality_model, quality_rules, shards, simhash, url_filter
 from .common import table
 
 #: Folder of the public tokenizers' files; None takes the installed package's.
@@ -59,5 +59,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_pii, op4_url_filter, op5_quality_rules, op6_simhash, op7_paragraphs, op8_sharding, op9_quality_model, op10_bpe)}
-ORACLES: dict[str, str] = {}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_decontamination, op3_pii, op4_url_filter, op5_quality_rules, op6_simhash, op7_paragraphs, op8_sharding, op9_quality_model, op10_bpe,
+        op11_chat_format, op12_merkle, op13_centroids,
+    )
+}
+ORACLES: dict[str, str] = {"op11_chat_format": corpus_sql.chat(), "op12_merkle": corpus_sql.merkle(), "op13_centroids": corpus_sql.centroids()}
