@@ -288,3 +288,96 @@ def test_text_rules(spark):
     assert one(T.ends_sentence(lit("好。"))) and one(T.ends_sentence(lit("مرحبا؟"))) and not one(T.ends_sentence(lit("")))
     assert one(T.is_punctuation(lit("—"))) and not one(T.is_punctuation(lit("é")))
     assert one(T.yaml_escape(lit('a"b\\'))) == 'a\\"b\\\\'
+
+
+# Long tracks: anchors
+
+
+def plain_cost(x, y):
+    """Edit distance in which a mark meets no word."""
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x):
+        new = [i + 1]
+        for j, b in enumerate(y):
+            pair = row[j] + (0 if a == b else 3 if A.MARK in (a, b) else 1)
+            new.append(min(pair, row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def track_of(words, lengths, doc=1):
+    rows, at, k = [], 0, 0
+    while at < len(words):
+        n = lengths[k % len(lengths)]
+        rows.append((doc, k, at * 100, (at + n) * 100, " ".join(words[at : at + n])))
+        at, k = at + n, k + 1
+    return rows
+
+
+SEGS = "doc_id bigint, seg_idx int, start_ms bigint, end_ms bigint, text string"
+
+
+def steps_by_document(spark, sides, stretch):
+    tracks = A._placed(spark.createDataFrame(sides[0], SEGS), 0).unionByName(A._placed(spark.createDataFrame(sides[1], SEGS), 1))
+    out = {}
+    for r in sorted(A.long_steps(tracks, stretch=stretch).collect(), key=lambda r: (r.doc_id, r.part)):
+        out.setdefault(r.doc_id, []).append(np.frombuffer(r.steps, np.int8))
+    return out
+
+
+def test_anchored_steps_cost_as_little_as_the_plain_method(spark):
+    rng = np.random.default_rng(11)
+    ref, hyp, plain = [], [], {}
+    for doc in range(8):
+        words = [f"w{x}" for x in rng.integers(0, 60 if doc % 2 else 400, 260)]
+        other = [w if rng.random() > 0.15 else f"x{rng.integers(0, 9)}" for w in words if rng.random() > 0.08]
+        a, b = track_of(words, [7, 4, 9], doc), track_of(other, [5, 8], doc)
+        ref, hyp = ref + a, hyp + b
+        flat = lambda rows: [w for r in rows for w in (*r[4].split(), A.MARK)]
+        plain[doc] = flat(a), flat(b)
+    got = steps_by_document(spark, (ref, hyp), 40)
+    assert set(got) == set(plain)
+    assert sum(len(parts) for parts in got.values()) > 30
+    for doc, parts in got.items():
+        x, y = plain[doc]
+        i = j = cost = 0
+        for s in np.concatenate(parts):
+            if s == A.PAIR:
+                assert (x[i] == A.MARK) == (y[j] == A.MARK)
+                cost += x[i] != y[j]
+            else:
+                cost += 1
+            i, j = i + (s != A.INSERTED), j + (s != A.DELETED)
+        assert (i, j) == (len(x), len(y)) and cost == plain_cost(x, y)
+
+
+def test_documents_without_anchors_or_without_a_second_track_are_whole_parts(spark):
+    same = track_of(["ja"] * 90, [9])
+    alone = track_of([f"w{k}" for k in range(90)], [9], 2)
+    got = steps_by_document(spark, (same + alone, track_of(["ja"] * 80, [8])), 40)
+    assert {d: len(p) for d, p in got.items()} == {1: 1, 2: 1}
+    assert (got[2][0] == A.DELETED).all() and len(got[2][0]) == 100
+    assert not steps_by_document(spark, (same, same), 1000)
+
+
+def test_groups_of_cut_documents_equal_those_of_whole_ones(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 900)]
+    other = [w for w in words if rng.random() > 0.05]
+    a, b = spark.createDataFrame(track_of(words, [8]), SEGS), spark.createDataFrame(track_of(other, [6, 11]), SEGS)
+    errors = F.size(F.flatten(F.collect_list(F.filter("ops", lambda o: o["op"] != "="))))
+    show = lambda stretch: A.grouped_ops(a, b, stretch=stretch).agg(errors.alias("n"), F.sum(F.size("ops")) > 0).collect()
+    assert show(60) == show(10**6)
+    assert A.grouped_ops(a, a, stretch=60).agg(F.sum(F.size(F.filter("ops", lambda o: o["op"] != "=")))).first()[0] == 0
+
+
+def test_rising_chain_is_longest():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 40):
+        for _ in range(20):
+            y = rng.permutation(n)
+            got = A.rising_chain(np.arange(n), y)
+            best = [1] * n
+            for i in range(n):
+                best[i] += max((best[j] for j in range(i) if y[j] < y[i]), default=0)
+            assert len(got) == max(best, default=0) and (np.diff(y[got]) > 0).all() and (np.diff(got) > 0).all()
