@@ -138,7 +138,7 @@ def manifest(rows: DataFrame, group: str = "source", order: str = "doc_id", leaf
         deep = deep + F.when(F.col("n") > F.lit(FANOUT**d), 1).otherwise(0)
     sizes = pieces.groupBy(deep.alias("depth")).agg(F.max("n").alias("n")).collect()  # a row for each depth
     if not sizes:
-        return Manifest(None, rows.select("*", F.lit(None).cast("string").alias("subroot"), F.expr(f"{NO_PATH}").alias("path")))
+        return Manifest(None, rows.limit(0).select("*", F.lit(None).cast("string").alias("subroot"), F.expr(f"{NO_PATH}").alias("path")))
     nodes = lined.withColumnRenamed("part", "p").join(pieces, (F.col("p") == F.col("part")) & F.col(group).eqNullSafe(F.col("g"))).drop("p", "part", "g")
     nodes = nodes.select(*rows.columns, "tree", (F.col("rank") - F.col("tree")).alias("pos"), "n", F.col(leaf).alias("hash"))
     depths = {r["depth"] for r in sizes}
