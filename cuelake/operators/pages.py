@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from cuelake.functions import clock
+from cuelake.operators import page_grammar
 
 # Elements whose text isn't shown, and those that end a line when they begin, or when they end.
 HIDDEN = {"script", "style", "nav", "header", "footer", "noscript"}
@@ -51,17 +52,8 @@ def html_lines(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return pages.select(F.col(key).alias("doc_id"), F.posexplode(split(html)).alias("line_no", "line"))
 
 
-TIMED = r"^(.+?)\s+[(\[](\d{1,2}:\d{2}:\d{2})[)\]]:?\s*(.*)"
-NAMED = r"^([A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,3}):\s+(.+)"
-STARTS = r"^Starting point is (\d{1,2}:\d{2}:\d{2})\s*$"
-HEAD = r"^#{2,3}\s*\[?(\d{1,2}:\d{2}(?::\d{2})?)\]?\s*(.*)$"
-BOLD = r"^\*\*(.+?):?\*\*:?\s*(.*)$"
-# Lines that belong to a page and not to its transcript.
-NOISE = r"^(\d+\s*Likes?\s*(∙|·)?\s*\d*\s*Restacks?|Discussion about this|Comments?\s*Restacks?|Ready for more\?|Share$|Reply$|Like$|Subscribe$|©\s*\d{4}|Privacy\s*∙\s*Terms|Start your Substack|Get the app$|Show Topics$|See all$|Sign in$|Click on any sentence in the transcript)"
-
-
 def noise(line: Column) -> Column:
-    return F.trim(line).rlike(NOISE)
+    return F.trim(line).rlike(page_grammar.NOISE)
 
 
 def _runs(lines: DataFrame, new: Column, *firsts: Column) -> DataFrame:
@@ -72,50 +64,6 @@ def _runs(lines: DataFrame, new: Column, *firsts: Column) -> DataFrame:
     return rows.groupBy("doc_id", "run").agg(F.min("line_no").alias("line_no"), *firsts, texts.alias("text"))
 
 
-def timed_turns(lines: DataFrame) -> DataFrame:
-    """``Speaker (HH:MM:SS) text`` and ``Speaker [HH:MM:SS]: text``; following lines belong to the turn."""
-    hit = F.col("line").rlike(TIMED)
-    said = F.when(hit, F.regexp_extract("line", TIMED, 3)).otherwise(F.trim("line"))
-    rows = lines.where(~noise(F.col("line"))).withColumn("said", said).withColumn("speaker", F.when(hit, F.regexp_extract("line", TIMED, 1))).withColumn("hms", F.when(hit, F.regexp_extract("line", TIMED, 2)))
-    out = _runs(rows, hit, F.min_by("speaker", "line_no").alias("speaker"), F.min_by("hms", "line_no").alias("hms"))
-    return out.select("doc_id", "line_no", "speaker", (clock.seconds_of(F.col("hms")) * 1000).alias("start_ms"), "text")
-
-
-def named_turns(lines: DataFrame) -> DataFrame:
-    """``Name: text`` lines."""
-    hit = lines.where(F.col("line").rlike(NAMED))
-    return hit.select("doc_id", "line_no", F.regexp_extract("line", NAMED, 1).alias("speaker"), F.lit(None).cast("long").alias("start_ms"), F.regexp_extract("line", NAMED, 2).alias("text"))
-
-
-def started_turns(lines: DataFrame) -> DataFrame:
-    """Stretches under ``Starting point is HH:MM:SS``."""
-    hit = F.col("line").rlike(STARTS)
-    rows = lines.withColumn("said", F.when(hit, "").otherwise(F.trim("line"))).withColumn("hms", F.when(hit, F.regexp_extract("line", STARTS, 1)))
-    out = _runs(rows, hit, F.min_by("hms", "line_no").alias("hms"))
-    return out.select("doc_id", "line_no", F.lit(None).cast("string").alias("speaker"), (clock.seconds_of(F.col("hms")) * 1000).alias("start_ms"), "text")
-
-
-def headed_turns(lines: DataFrame) -> DataFrame:
-    """Bold speakers under headings with a time; a turn has the time of the heading before it."""
-    head, bold = F.col("line").rlike(HEAD), F.col("line").rlike(BOLD)
-    w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = lines.withColumn("hms", F.last(F.when(head, F.regexp_extract("line", HEAD, 1)), True).over(w)).where(~head)
-    rows = rows.withColumn("speaker", F.when(bold, F.regexp_extract("line", BOLD, 1))).withColumn("said", F.when(bold, F.regexp_extract("line", BOLD, 2)).otherwise(F.trim("line")))
-    out = _runs(rows, bold, F.min_by("speaker", "line_no").alias("speaker"), F.min_by("hms", "line_no").alias("hms"))
-    return out.select("doc_id", "line_no", "speaker", (clock.seconds_of(F.col("hms")) * 1000).alias("start_ms"), "text")
-
-
-def recurring_turns(lines: DataFrame) -> DataFrame:
-    """Stretches under standalone names that recur three times or more, two names at least."""
-    name = r"^[A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,3}$"
-    some = lines.where(F.trim("line").rlike(name)).groupBy("doc_id", F.trim("line").alias("name")).agg(F.count("*").alias("n")).where("n >= 3")
-    names = some.withColumn("kinds", F.count("*").over(W.partitionBy("doc_id"))).where("kinds >= 2").select("doc_id", "name")
-    joined = lines.withColumn("name_", F.trim("line")).join(names.withColumnRenamed("name", "name_").withColumn("known", F.lit(True)), ["doc_id", "name_"], "left")
-    rows = joined.withColumn("speaker", F.when(F.col("known"), F.col("name_"))).withColumn("said", F.when(F.col("known"), "").otherwise(F.col("name_")))
-    out = _runs(rows, F.col("speaker").isNotNull(), F.min_by("speaker", "line_no").alias("speaker"))
-    return out.where("text <> ''").select("doc_id", "line_no", "speaker", F.lit(None).cast("long").alias("start_ms"), "text")
-
-
 def text_blocks(lines: DataFrame) -> DataFrame:
     """doc_id, block_no, line_no, block: lines between blank ones, joined by spaces."""
     w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
@@ -191,21 +139,9 @@ def front_matter(title: Column, duration: Column, date: Column, channel: Column,
     return F.concat(F.lit("---\n"), fields, F.lit("\n---\n\n"))
 
 
-#: Strategies in order: name, parser, turns needed, speakers needed.
-STRATEGIES = (("timed", timed_turns, 1, 0), ("blocks", block_turns, 3, 0), ("headed", headed_turns, 5, 0), ("named", named_turns, 10, 2), ("recurring", recurring_turns, 10, 0), ("started", started_turns, 3, 0))
-
-
-def transcripts(lines: DataFrame, least_chars: int = 200) -> DataFrame:
-    """doc_id, strategy, line_no, speaker, start_ms, text: turns by the first strategy that finds enough; else the whole text if it is long."""
-    out, n = None, W.partitionBy("doc_id")
-    for rank, (name, parse, turns, speakers) in enumerate(STRATEGIES):
-        rows = parse(lines).withColumn("n", F.count("*").over(n)).withColumn("s", F.size(F.collect_set("speaker").over(n)))
-        rows = rows.where((F.col("n") >= turns) & (F.col("s") >= speakers)).drop("n", "s").withColumn("strategy", F.lit(name)).withColumn("rank", F.lit(rank))
-        out = rows if out is None else out.unionByName(rows)
-    whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text")).where(F.length("text") > least_chars)
-    whole = whole.select("doc_id", F.lit(0).alias("line_no"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("long").alias("start_ms"), "text", F.lit("whole").alias("strategy"), F.lit(99).alias("rank"))
-    ranked = out.unionByName(whole).withColumn("best", F.min("rank").over(n))
-    return ranked.where("rank = best").select("doc_id", "strategy", "line_no", "speaker", "start_ms", "text")
+def transcripts(lines: DataFrame) -> DataFrame:
+    """doc_id, strategy, line_no, speaker, start_ms, text: the turns of each page, by the first strategy that finds enough; else the whole text if it is long."""
+    return page_grammar.parse(lines).where("kind = 'turn'").select("doc_id", "strategy", "line_no", "speaker", "start_ms", "text")
 
 
 def session_markdown(sessions: DataFrame) -> DataFrame:

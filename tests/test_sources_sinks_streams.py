@@ -78,7 +78,7 @@ def lines(spark, *texts):
 
 
 def test_transcript_strategies(spark):
-    timed = "Intro\nAnn (00:00:05) Hello\nmore words\nBo [00:01:00]: Hi\nSubscribe"
+    timed = "Intro\nAnn (00:00:05) Hello\nmore words here\nBo [00:01:00]: Hi\nSubscribe"
     headed = "\n".join(["## 0:10 One"] + [f"**A{k}:** said {k}" for k in range(5)])
     named = "\n".join(f"{'Ann' if k % 2 else 'Bo Li'}: line {k}" for k in range(10))
     recurring = "\n".join(f"{'Ann' if k % 2 else 'Bo'}\nsome words number {k} here" for k in range(10))
@@ -87,7 +87,7 @@ def test_transcript_strategies(spark):
     kinds = {r.doc_id: (r.strategy, r.n) for r in got.groupBy("doc_id", "strategy").agg(F.count("*").alias("n")).collect()}
     assert kinds == {0: ("timed", 2), 1: ("headed", 5), 2: ("named", 10), 3: ("recurring", 10), 4: ("started", 3), 5: ("whole", 1)}
     first = got.where("doc_id = 0").orderBy("line_no").collect()
-    assert [(r.speaker, r.start_ms, r.text) for r in first] == [("Ann", 5000, "Hello more words"), ("Bo", 60000, "Hi")]
+    assert [(r.speaker, r.start_ms, r.text) for r in first] == [("Ann", 5000, "Hello more words here"), ("Bo", 60000, "Hi")]
 
 
 def test_html_lines():
