@@ -276,10 +276,16 @@ def html_lines(spark, d):
     return pages.html_lines(table(spark, d, "pages"))
 
 
-@query()
+@query(
+    """SELECT doc_id, 'timed' AS strategy, count(*) AS n_turns, count(DISTINCT speaker) AS n_speakers FROM seg WHERE doc_id % 3 = 0 GROUP BY doc_id
+ UNION ALL SELECT doc_id, 'whole', 1, 0 FROM (SELECT doc_id, string_agg(CASE WHEN doc_id % 3 = 1 THEN upper(speaker[1]) || lower(speaker[2:]) || ': ' || trim(text) ELSE text END, chr(10)) AS t
+ FROM seg WHERE doc_id % 3 > 0 GROUP BY doc_id HAVING count(*) < 10) WHERE length(t) > 200
+ UNION ALL SELECT doc_id, 'named', count(*), count(DISTINCT speaker) FROM seg WHERE doc_id % 3 = 1 GROUP BY doc_id HAVING count(*) >= 10""",
+    SEG,
+)
 def transcript_strategy(spark, d):
     s = segments(spark, d)
-    md = writers.markdown(s.where("doc_id % 3 = 0")).select("doc_id", F.posexplode(F.split(F.regexp_replace("value", r"\*\*(.+?):\*\* (.*) \[([0-9:]+)\]", "$1 ($3) $2"), "\n")).alias("line_no", "line"))
+    md = writers.markdown(s.where("doc_id % 3 = 0")).select("doc_id", F.posexplode(F.split(F.regexp_replace("value", r"(?s)\*\*([^*]+?):\*\* (.*?) \[([0-9:]+)\]", "$1 ($3) $2"), "\n")).alias("line_no", "line"))
     plain = writers.joined(s.where("doc_id % 3 = 1"), F.concat(F.initcap("speaker"), F.lit(": "), F.trim("text"))).select("doc_id", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     rest = writers.joined(s.where("doc_id % 3 = 2"), F.col("text")).select("doc_id", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return pages.transcripts(md.unionByName(plain).unionByName(rest)).groupBy("doc_id", "strategy").agg(F.count("*").alias("n_turns"), F.count_distinct("speaker").alias("n_speakers"))
