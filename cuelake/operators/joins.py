@@ -9,20 +9,58 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cuelake.functions import text as T
 
 
-def frame_scores(segs: DataFrame, frames: DataFrame, frame_ms: int = 20, offset_ms: int = 0) -> DataFrame:
-    """doc_id, seg_idx, n_frames, loss_sum: the sum of max_prob - aligned_prob over the frames of each segment.
+#: Frames of a block: running sums never reach further.
+BLOCK_FRAMES = 4096
+
+
+def frame_sums(frames: DataFrame, block: int = BLOCK_FRAMES) -> DataFrame:
+    """doc_id, frame_idx, below: the loss of a document's frames up to each one.
+
+    Sums run within blocks of frames, and over the blocks' totals; no task sees all frames of a document.
+    """
+    loss = F.col("max_prob") - F.col("aligned_prob")
+    rows = frames.select("doc_id", "frame_idx", F.floor(F.col("frame_idx") / block).alias("block"), loss.alias("loss"))
+    within = W.partitionBy("doc_id", "block").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0)
+    totals = rows.groupBy("doc_id", "block").agg(F.sum("loss").alias("total"))
+    before = F.coalesce(F.sum("total").over(W.partitionBy("doc_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.withColumn("inner", F.sum("loss").over(within)).join(totals.select("doc_id", "block", before.alias("before")), ["doc_id", "block"])
+    return sums.select("doc_id", "frame_idx", (F.col("before") + F.col("inner")).alias("below"))
+
 
-    A range join would pair every frame with every segment that holds it.  Instead a running sum is taken
-    over the frames once, and each segment looks up its two ends by key.
+def interval_scores(spans: DataFrame, frames: DataFrame, *keys: str, frame_ms: int = 20, offset_ms: int = 0) -> DataFrame:
+    """doc_id, ``keys``, n_frames, loss_sum: the sum of max_prob - aligned_prob over the frames of each interval (start_ms, end_ms).
+
+    An interval has one frame at least, and none beyond the last one.  A range join would pair every frame with every
+    interval that holds it; here an interval looks up the running sums at its two ends by key.
     """
-    w = W.partitionBy("doc_id").orderBy("frame_idx")
-    sums = frames.withColumn("below", F.sum(F.col("max_prob") - F.col("aligned_prob")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     n = frames.groupBy("doc_id").agg(F.max("frame_idx").alias("last"))
-    at = segs.join(n, "doc_id").withColumn("lo", F.least(F.greatest(F.floor((F.col("start_ms") - offset_ms) / frame_ms), F.lit(0)), F.col("last")))
+    at = spans.join(n, "doc_id").withColumn("lo", F.least(F.greatest(F.floor((F.col("start_ms") - offset_ms) / frame_ms), F.lit(0)), F.col("last")))
     at = at.withColumn("hi", F.greatest(F.least(F.floor((F.col("end_ms") - offset_ms) / frame_ms), F.col("last") + 1), F.col("lo") + 1))
-    ends = at.select("doc_id", "seg_idx", "lo", "hi", F.explode(F.array(F.struct(F.lit(1).alias("sign"), (F.col("hi") - 1).alias("frame_idx")), F.struct(F.lit(-1).alias("sign"), (F.col("lo") - 1).alias("frame_idx")))).alias("e"))
-    looked = ends.select("doc_id", "seg_idx", "lo", "hi", "e.sign", "e.frame_idx").join(sums.select("doc_id", "frame_idx", "below"), ["doc_id", "frame_idx"], "left")
-    return looked.groupBy("doc_id", "seg_idx").agg((F.first("hi") - F.first("lo")).alias("n_frames"), F.sum(F.col("sign") * F.coalesce("below", F.lit(0))).alias("loss_sum"))
+    ends = F.array(*[F.struct(F.lit(sign).alias("sign"), (F.col(c) - 1).alias("frame_idx")) for sign, c in ((1, "hi"), (-1, "lo"))])
+    ends = at.select("doc_id", *keys, "lo", "hi", F.explode(ends).alias("e")).select("doc_id", *keys, "lo", "hi", "e.sign", "e.frame_idx")
+    looked = ends.join(frame_sums(frames), ["doc_id", "frame_idx"], "left")
+    return looked.groupBy("doc_id", *keys).agg((F.first("hi") - F.first("lo")).alias("n_frames"), F.sum(F.col("sign") * F.coalesce("below", F.lit(0))).alias("loss_sum"))
+
+
+def frame_scores(segs: DataFrame, frames: DataFrame, frame_ms: int = 20, offset_ms: int = 0) -> DataFrame:
+    """doc_id, seg_idx, n_frames, loss_sum of each segment; see ``interval_scores``."""
+    return interval_scores(segs, frames, "seg_idx", frame_ms=frame_ms, offset_ms=offset_ms)
+
+
+def nested_scores(segs: DataFrame, frames: DataFrame, frame_ms: int = 20, offset_ms: int = 0) -> DataFrame:
+    """doc_id, seg_idx, word_idx (null for the segment itself), n_frames, loss_sum of segments and their words, looked up together.
+
+    ``segs``: doc_id, seg_idx, start_ms, end_ms, words (array of structs with start_ms and end_ms, or null).
+    """
+    own = F.array(F.struct(F.lit(None).cast("int").alias("word_idx"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms")))
+    inner = F.transform("words", lambda w, i: F.struct(i.alias("word_idx"), w["start_ms"].cast("long").alias("start_ms"), w["end_ms"].cast("long").alias("end_ms")))
+    both = segs.select("doc_id", "seg_idx", F.explode(F.concat(own, F.when(F.col("words").isNull(), F.slice(own, 1, 0)).otherwise(inner))).alias("x"))
+    return interval_scores(both.select("doc_id", "seg_idx", "x.*"), frames, "seg_idx", "word_idx", frame_ms=frame_ms, offset_ms=offset_ms)
+
+
+def mean_score(scale: int = 1000) -> Column:
+    """1 minus the mean loss, to four places, of probabilities in parts of ``scale``."""
+    return F.round(1 - F.col("loss_sum") / F.col("n_frames") / scale, 4)
 
 
 def zip_speakers(segs: DataFrame, labels: DataFrame) -> DataFrame:

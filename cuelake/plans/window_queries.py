@@ -120,6 +120,27 @@ def frame_score_join(spark, d):
     return joins.frame_scores(segments(spark, d), frames(spark, d))
 
 
+WORDS = """words AS (SELECT doc_id, seg_idx, CAST(i - 1 AS INTEGER) AS word_idx, start_ms + (i - 1) * ms // n AS start_ms, start_ms + i * ms // n AS end_ms FROM (
+ SELECT *, end_ms - start_ms AS ms, len(string_split(text, ' ')) AS n FROM seg), LATERAL (SELECT unnest(range(1, n + 1)) AS i)
+ UNION ALL SELECT doc_id, seg_idx, NULL, start_ms, end_ms FROM seg)"""
+WORD_SPANS = """word_spans AS (SELECT doc_id, seg_idx, word_idx, least(start_ms // 20, last) AS lo, greatest(least(end_ms // 20, last + 1), least(start_ms // 20, last) + 1) AS hi
+ FROM words JOIN (SELECT doc_id, max(frame_idx) AS last FROM frames GROUP BY doc_id) USING (doc_id))"""
+BELOW = """below AS (SELECT doc_id, frame_idx, sum(max_prob - aligned_prob) OVER (PARTITION BY doc_id ORDER BY frame_idx) AS s FROM frames)"""
+
+
+@query(
+    """SELECT w.doc_id, w.seg_idx, w.word_idx, hi - lo AS n_frames, CAST(b.s - coalesce(a.s, 0) AS BIGINT) AS loss_sum FROM word_spans w
+ JOIN below b ON b.doc_id = w.doc_id AND b.frame_idx = hi - 1 LEFT JOIN below a ON a.doc_id = w.doc_id AND a.frame_idx = lo - 1""",
+    SEG, FRAMES, WORDS, WORD_SPANS, BELOW,
+)
+def word_score_join(spark, d):
+    """Frame scores of segments and of their words, whose times part a segment's evenly."""
+    s = segments(spark, d).withColumn("w", F.split("text", " "))
+    at = lambda i: F.col("start_ms") + F.floor(i * (F.col("end_ms") - F.col("start_ms")) / F.size("w"))
+    s = s.withColumn("words", F.transform("w", lambda w, i: F.struct(at(i).alias("start_ms"), at(i + 1).alias("end_ms"))))
+    return joins.nested_scores(s, frames(spark, d))
+
+
 def scored(spark, d):
     s = joins.frame_scores(segments(spark, d), frames(spark, d))
     return s.select("doc_id", "seg_idx", (1000 - F.expr("loss_sum div n_frames")).alias("score"))

@@ -194,3 +194,23 @@ def test_standard_layout_breaks_lines(spark):
     rows = spark.createDataFrame([(1, 0, 0, 100, "a text of several words that is to be broken somewhere"), (1, 1, 1500, 1600, "x")], "doc_id bigint, seg_idx int, start_ms bigint, end_ms bigint, text string")
     got = gates.standard(rows, line_chars=20).orderBy("seg_idx").collect()
     assert [(r.end_ms, r.text) for r in got] == [(1500, "a text of several\nwords that is to be\nbroken somewhere"), (2200, "x")]
+
+
+def test_scores_of_nested_words_equal_plain_sums(spark):
+    import random
+
+    r = random.Random(1)
+    frames = [(d, k, r.randint(0, 90), r.randint(0, 9)) for d in (1, 2) for k in range(0, 9000)]
+    segs = [(d, i, s := r.randint(-500, 190_000), s + r.randint(0, 9000), [(s + 10, s + 30), (s - 5000, s - 4000)] if i % 3 else None) for d in (1, 2, 3) for i in range(40)]
+    f = spark.createDataFrame(frames, "doc_id int, frame_idx int, max_prob int, aligned_prob int")
+    s = spark.createDataFrame(segs, "doc_id int, seg_idx int, start_ms long, end_ms long, words array<struct<start_ms: long, end_ms: long>>")
+    loss = {d: [a - b for x, _, a, b in frames if x == d] for d in (1, 2)}
+
+    def want(d, start, end):
+        lo = max(0, min(start // 20, 8999))
+        hi = max(lo + 1, min(end // 20, 9000))
+        return hi - lo, sum(loss[d][lo:hi])
+
+    wanted = {(d, i, w): want(d, *x) for d, i, a, b, words in segs if d < 3 for w, x in ((None, (a, b)), *enumerate(words or []))}
+    got = {(x.doc_id, x.seg_idx, x.word_idx): (x.n_frames, x.loss_sum) for x in joins.nested_scores(s, f).collect()}
+    assert got == wanted
