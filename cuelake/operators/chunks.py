@@ -97,12 +97,47 @@ def whole_words(segs: DataFrame) -> DataFrame:
     return segs.withColumn("words", F.when(F.coalesce(F.size("words"), F.lit(0)) <= 0, one).otherwise(F.col("words")))
 
 
+# Fixed value: what stands behind the end of a sentence.
+SENTENCE_GAP = r"(?<=[.!?。！？])\s+"
+
+
 def split_sentences(segs: DataFrame) -> DataFrame:
     """Segments cut after sentence ends; times by share of characters.  ``part`` numbers the pieces."""
-    parts = F.filter(F.split("text", r"(?<=[.!?。！？])\s+"), lambda p: p != "")
+    parts = F.filter(F.split("text", SENTENCE_GAP), lambda p: p != "")
     rows = segs.select("*", F.length("text").alias("n"), F.posexplode(parts).alias("part", "piece"))
     w = W.partitionBy("doc_id", "seg_idx").orderBy("part")
     before = F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     total = F.sum(F.length("piece")).over(W.partitionBy("doc_id", "seg_idx"))
     rows = rows.withColumn("before", before).withColumn("total", total).withColumn("span", F.col("end_ms") - F.col("start_ms"))
     return rows.select("doc_id", "seg_idx", "part", F.col("piece").alias("text"), F.expr("start_ms + span * before div total").alias("start_ms"), F.expr("start_ms + span * (before + length(piece)) div total").alias("end_ms"))
+
+
+def sliced_sentences(segs: DataFrame) -> DataFrame:
+    """``split_sentences`` of segments with word timings: doc_id, seg_idx, part, text, start_ms, end_ms, words.
+
+    ``segs``: doc_id, seg_idx, start_ms, end_ms, text, words (array of symbol, start_ms, end_ms, or null).  Words and sentences are placed by
+    the letters and digits before them and drawn together in one order, so each word belongs to one sentence: the one that holds its
+    first letter, and a word without letters to the one before.  A sentence has the times of its first and last word; one without
+    words has its share of the segment's time.
+    """
+    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    seg = W.partitionBy("doc_id", "seg_idx")
+    cut = split_sentences(segs.select("doc_id", "seg_idx", "start_ms", "end_ms", "text"))
+    cut = cut.withColumn("size", letters(F.col("text"))).withColumn("kind", F.lit(1)).withColumn("word", F.lit(None).cast(segs.schema["words"].dataType.elementType))
+    words = segs.select("doc_id", "seg_idx", F.posexplode("words").alias("part", "word"))
+    words = words.select("doc_id", "seg_idx", "part", "word", letters(F.col("word.symbol")).alias("size"), F.lit(2).alias("kind"))
+    both = cut.unionByName(words, allowMissingColumns=True)
+    # Each kind runs over its own letters.
+    at = F.coalesce(F.sum("size").over(W.partitionBy("doc_id", "seg_idx", "kind").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rank = F.when(F.col("kind") == 1, 1).when(F.col("size") == 0, 0).otherwise(2)
+    both = both.withColumn("at", at).withColumn("rank", rank)
+    order = seg.orderBy("at", "rank", "part")
+    # Words in front of the first sentence belong to it.
+    inside = F.greatest(F.sum((F.col("kind") == 1).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)) - 1, F.lit(0))
+    own = F.sort_array(F.collect_list(F.when(F.col("kind") == 2, F.struct("part", "word"))))
+    whole = lambda c: F.max(F.when(F.col("kind") == 1, F.col(c))).alias(c)
+    rows = both.withColumn("number", inside).groupBy("doc_id", "seg_idx", "number").agg(own.alias("own"), whole("text"), whole("start_ms"), whole("end_ms"))
+    rows = rows.where("text is not null").withColumn("words", F.transform("own", lambda x: x["word"]))
+    first, last = F.get("words", F.lit(0))["start_ms"], F.try_element_at("words", F.lit(-1))["end_ms"]
+    times = [F.coalesce(first, "start_ms").alias("start_ms"), F.coalesce(last, "end_ms").alias("end_ms")]
+    return rows.select("doc_id", "seg_idx", F.col("number").cast("int").alias("part"), "text", *times, F.when(F.size("words") > 0, F.col("words")).alias("words"))
