@@ -19,6 +19,9 @@ TOKEN = (
     r"|[a-zA-Z0-9À-ɏ]+(?:'[a-zA-Z]{1,2})?"
     r"|[一-鿿]|.)"
 )
+#: White space is a token of one character.
+BLANKS = [" ", "\t", "\n", "\x0b", "\f", "\r"]
+# Fixed value: names of a song's parts.
 SECTION = r"(?i)\[\s*((?:pre[-\s]?|post[-\s]?)?(?:verse|chorus|hook|bridge|outro|intro|refrain|interlude|instrumental|coda|drop|breakdown|reprise))\b[^\]]*\]"
 
 
@@ -29,7 +32,7 @@ def one_of(c: Column, values) -> Column:
 def tokens(c: Column, keep_spaces: bool = False) -> Column:
     """Bracketed notes, amounts, numbers, words with their contraction, single CJK characters, single other characters."""
     found = F.regexp_extract_all(c, F.lit("(?d)" + TOKEN), F.lit(1))
-    return found if keep_spaces else F.filter(found, lambda t: ~t.rlike(r"^\s+$"))
+    return found if keep_spaces else F.filter(found, lambda t: ~t.isin(*BLANKS))
 
 
 def is_punctuation(token: Column) -> Column:

@@ -34,6 +34,8 @@ def repeated_runs(segs: DataFrame, size: int = 8, least_words: int = 10, least_c
         F.sum(F.length("word")).over(order.rowsBetween(W.unboundedPreceding, size - 1)).alias("chars"),
         F.count("*").over(W.partitionBy("doc_id")).alias("n"),
     ).where(F.col("last").isNotNull() & (F.col("n") >= 2 * size))
+    # Few n-grams come twice in a document: only those are joined.  The windows share one partitioning.
+    grams = grams.withColumn("times", F.count("*").over(W.partitionBy("doc_id", "gram"))).where("times > 1").drop("times")
     block = F.floor(F.col("pos") / max_words)
     left = grams.select("doc_id", "gram", F.explode(F.array(block, block + 1)).alias("block"), *[F.col(c).alias(f"a_{c}") for c in ("pos", "first", "last", "chars_before", "chars")])
     right = grams.select("doc_id", "gram", block.alias("block"), *[F.col(c).alias(f"b_{c}") for c in ("pos", "first", "last")])

@@ -138,9 +138,11 @@ def test_long_tracks_fit_a_bounded_table(spark):
 
 def test_transfer_times_moves_forward():
     ref = [(1000, 3000, "hello world this is a test"), (5000, 8000, "another line of words here"), (9000, 9500, "hello world again")]
-    rows = [(0, ["hello world this is a test", "hello world this"]), (0, ["nothing like it"]), (0, ["hello world"])]
+    rows = [(0, 1, ["hello world this is a test", "hello world this"]), (0, 1, ["nothing like it"]), (0, 1, ["hello world"])]
     assert S.transfer_times(rows, ref) == [(1000, 0, True), (1000, 8000, False), (9000, 500, True)]
-    assert S.transfer_times([(5, ["x"])], []) == [(5, 0, False)]
+    assert S.transfer_times([(5, 9, ["x"])], []) == [(5, 0, False)]
+    assert S.transfer_times([(20_000, 20_700, ["no such words"])], ref) == [(20_000, 700, False)]
+    assert S.transfer_times([(20_000, 20_020, ["no such words"])], ref) == [(20_000, 100, False)]
 
 
 def plain_blocks(rows, least=10, chars=20, reach=300, ms=300_000):
