@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake.llm import centroids, chat, corpus_sql, merkle, queries
+from cuelake.llm import centroids, chat, corpus_sql, merkle, queries, url_filter
 
 DOCS = "doc_id bigint, source string, lang string, n_chars bigint, text string"
 TURNS = "conv_id bigint, turn bigint, role string, text string"
@@ -218,3 +218,29 @@ def test_layouts_use_no_python(spark, data):
 
 def test_sql_is_made_for_all_three():
     assert set(queries.ORACLES) == {"op11_chat_format", "op12_merkle", "op13_centroids"} and corpus_sql.LEVELS >= 10
+
+
+# URL filter
+
+
+def url_score(url, model):
+    found = url_filter.features(*url_filter.split_url(url))
+    return 1 / (1 + np.exp(-(model[0][found].sum() / max(1, np.sqrt(len(found))) + model[1])))
+
+
+def test_url_model_keeps_ordinary_hosts_and_catches_unwanted_ones(data):
+    import pyarrow.parquet as pq
+
+    cut = url_filter.CUT
+    held = [w for w in url_filter.ORDINARY + url_filter.KNOWN if zlib.crc32(w.encode()) % 4 == 0]
+    without = url_filter.train([u for u in url_filter.ALLOWED if not any(w in u for w in held)], url_filter.BLOCKED)
+    hosts = [f"https://{p}{w}.{e}{path}" for w in held for p in ("", "www.") for e in ("com", "org") for path in ("/", "/en/12")]
+    assert len(hosts) > 400 and np.mean([url_score(u, without) >= cut for u in hosts]) <= 0.02
+    model = url_filter.default_model()
+    assert np.mean([url_score(url_filter.made_url(i, False, "fresh"), model) >= cut for i in range(1000)]) <= 0.02
+    assert np.mean([url_score(url_filter.made_url(i, True, "fresh"), model) >= cut for i in range(1000)]) >= 0.8
+    urls = [u for u in pq.read_table(f"{data}/pages.parquet", columns=["url"])["url"].to_pylist() if u]
+    marks = ("casino", "pills", "spam", "adult", "ads-", "bets")
+    clean = [u for u in urls if not any(m in u for m in marks)]
+    assert np.mean([url_score(u, model) >= cut for u in clean]) <= 0.02
+    assert all(url_score(u, model) >= cut for u in urls if u not in clean)
