@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuelake.functions import text as T
-from cuelake.operators import alignment, chunks, gates
+from cuelake.operators import alignment, chunks, gates, sequential
 from cuelake.sources import captions, writers
 
 
@@ -34,9 +34,23 @@ def convert(segs: DataFrame, normalize: bool = False, shift_ms: int = 0, split:
     return gates.standard(out) if standardize else out
 
 
-def convert_files(spark: SparkSession, source: str, target: str, kind: str, source_kind: str | None = None, **options) -> None:
-    """Read caption files, convert them, and write them in another format below ``target``."""
-    writers.write(convert(load(spark, source, source_kind), **options), kind, target)
+def retimed(segs: DataFrame, reference: DataFrame) -> DataFrame:
+    """Segments with the times of a reference track of the same document, found by their texts; documents without one keep theirs."""
+    norm = T.match_normalize(F.col("text"))
+    moved = sequential.transfer(segs.withColumn("keys", T.match_keys(norm)), reference.withColumn("norm", norm))
+    moved = moved.select("doc_id", "seg_idx", F.col("start_ms").alias("new_ms"), "duration_ms")
+    known = reference.select("doc_id").distinct().withColumn("known", F.lit(True))
+    met = segs.join(moved, ["doc_id", "seg_idx"], "left").join(known, "doc_id", "left")
+    start = F.when(F.col("known"), F.col("new_ms")).otherwise(F.col("start_ms"))
+    end = F.when(F.col("known"), F.col("new_ms") + F.col("duration_ms")).otherwise(F.col("end_ms"))
+    return met.withColumns({"start_ms": start, "end_ms": end}).select(*segs.columns)
+
+
+def convert_files(spark: SparkSession, source: str, target: str, kind: str, source_kind: str | None = None, timing: str | None = None, **options) -> None:
+    """Read caption files, convert them, and write them in another format below ``target``; ``timing`` names files of the same names that give the times."""
+    rows = load(spark, source, source_kind)
+    rows = retimed(rows, load(spark, timing)) if timing else rows
+    writers.write(convert(rows, **options), kind, target)
 
 
 def diff(reference: DataFrame, hypothesis: DataFrame, split: bool = True) -> DataFrame:

@@ -141,9 +141,19 @@ def transcript_url(lines: Column) -> Column:
 
 
 # Words that a person's name doesn't start with, that mark organisations, and that no name contains.
-NAME_STARTERS = "the a an we he she it they this that how what why when where who which is are was were will can do does did not no and or but if so follow subscribe watch join apply listen get read see".split()
-ORGANISATIONS = "capital ventures partners news media network networks inc llc ltd corp corporation group labs studio studios show shows podcast productions foundation institute university fund holdings technologies systems".split()
-NAME_STOPS = "our your us we you they this that these those his her their its the a an".split()
+NAME_STARTERS = [
+    "the", "a", "an", "we", "he", "she", "it", "they", "this", "that", "how", "what", "why", "when", "where", "who", "which", "is", "are",
+    "was", "were", "will", "can", "do", "does", "did", "not", "no", "and", "or", "but", "if", "so", "follow", "subscribe", "watch", "join",
+    "apply", "listen", "get", "read", "see",
+]
+ORGANISATIONS = [
+    "capital", "ventures", "partners", "news", "media", "network", "networks", "inc", "llc", "ltd", "corp", "corporation", "group", "labs",
+    "studio", "studios", "show", "shows", "podcast", "productions", "foundation", "institute", "university", "fund", "holdings",
+    "technologies", "systems",
+]
+NAME_STOPS = [
+    "our", "your", "us", "we", "you", "they", "this", "that", "these", "those", "his", "her", "their", "its", "the", "a", "an",
+]
 
 
 def looks_like_person(c: Column) -> Column:
@@ -158,27 +168,45 @@ def looks_like_person(c: Column) -> Column:
 
 # Kinds of role and the phrases that go with them, in order.
 ROLE_PHRASES = {
-    "engineering": "engineering,engineer,infra,infrastructure,code,codebase,system,architecture,stack,deploy,build,review the pr,reviewing the pr,pr review,approve the pr,merge,scaling,latency,ops,uptime,reliability",
-    "product": "product,users,user-facing,customer,customers,roadmap,prioritize,feature,release,ship,go-to-market,gtm,pricing,positioning,segment,use case,user research",
-    "research": "research,experiment,paper,model training,training,rlhf,eval,scaling laws,ablation,benchmark",
-    "design": "design,designer,ux,ui,user experience,wireframe,mock,prototype",
-    "sales": "sales,deal,pipeline,enterprise,account,quota,rep,outbound",
-    "marketing": "marketing,campaign,brand,comms,pr team,press,social,growth marketing",
-    "ceo": "fundrais,board,investor,strategy,vision,hiring,company-wide,leadership team",
-    "legal": "legal,compliance,contract,policy,regulation,regulatory",
-}
+    "engineering": [
+        "engineering", "engineer", "infra", "infrastructure", "code", "codebase", "system", "architecture", "stack", "deploy", "build",
+        "review the pr", "reviewing the pr", "pr review", "approve the pr", "merge", "scaling", "latency", "ops", "uptime", "reliability",
+    ],
+    "product": [
+        "product", "users", "user-facing", "customer", "customers", "roadmap", "prioritize", "feature", "release", "ship", "go-to-market",
+        "gtm", "pricing", "positioning", "segment", "use case", "user research",
+    ],
+    "research": [
+        "research", "experiment", "paper", "model training", "training", "rlhf", "eval", "scaling laws", "ablation", "benchmark",
+    ],
+    "design": [
+        "design", "designer", "ux", "ui", "user experience", "wireframe", "mock", "prototype",
+    ],
+    "sales": [
+        "sales", "deal", "pipeline", "enterprise", "account", "quota", "rep", "outbound",
+    ],
+    "marketing": [
+        "marketing", "campaign", "brand", "comms", "pr team", "press", "social", "growth marketing",
+    ],
+    "ceo": [
+        "fundrais", "board", "investor", "strategy", "vision", "hiring", "company-wide", "leadership team",
+    ],
+    "legal": [
+        "legal", "compliance", "contract", "policy", "regulation", "regulatory",
+    ],
+}
 
 
 def mentions_role(c: Column, bucket: str) -> Column:
     low = F.lower(c)
-    return reduce(Column.__or__, [low.contains(p) for p in ROLE_PHRASES[bucket].split(",")])
+    return reduce(Column.__or__, [low.contains(p) for p in ROLE_PHRASES[bucket]])
 
 
 def role_bucket(role: Column) -> Column:
     """The kind that the role names (first in order), else the kind of the longest phrase in it."""
     low = F.lower(role)
     named = F.coalesce(*(F.when(low.contains(b), F.lit(b)) for b in ROLE_PHRASES))
-    ranked = sorted(((p, b) for b, ps in ROLE_PHRASES.items() for p in ps.split(",")), key=lambda x: -len(x[0]))
+    ranked = sorted(((p, b) for b, ps in ROLE_PHRASES.items() for p in ps), key=lambda x: -len(x[0]))
     return F.coalesce(named, *(F.when(low.contains(p), F.lit(b)) for p, b in ranked))
 
 

@@ -56,6 +56,18 @@ def noise(line: Column) -> Column:
     return F.trim(line).rlike(page_grammar.NOISE)
 
 
+def without_furniture(lines: DataFrame, order: str = "line_no") -> DataFrame:
+    """Lines of a transcript without what the page shows behind it: noise lines at the end, and noise at the end of the last line.
+
+    Noise between other lines stays: only the end is peeled.
+    """
+    from cuelake.operators import windows
+
+    kept = windows.trim_tail(lines, noise(F.col("line")), order)
+    last = F.max(order).over(W.partitionBy("doc_id"))
+    return kept.withColumn("line", F.when(F.col(order) == last, F.regexp_replace("line", page_grammar.INLINE_NOISE, "")).otherwise(F.col("line")))
+
+
 def _runs(lines: DataFrame, new: Column, *firsts: Column) -> DataFrame:
     """Lines grouped under the marked line before them; text of a group in order."""
     w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
@@ -144,9 +156,26 @@ def transcripts(lines: DataFrame) -> DataFrame:
     return page_grammar.parse(lines).where("kind = 'turn'").select("doc_id", "strategy", "line_no", "speaker", "start_ms", "text")
 
 
+def narrative_chapters(sessions: DataFrame) -> DataFrame:
+    """doc_id, contents: a table of the chapters in ``narrative map<string, struct<spans: array<struct<start: double>>>>``, by their earliest span; none without spans."""
+    each = sessions.select("doc_id", F.explode("narrative").alias("title", "part"))
+    start = F.array_min(F.transform("part.spans", lambda x: F.coalesce(x["start"], F.lit(0.0))))
+    each = each.withColumn("start", start).where("start is not null")
+    s = F.floor("start").cast("long")
+    hours, minutes = F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60))
+    short = F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, F.pmod(s, F.lit(60)))).otherwise(F.format_string("%d:%02d", minutes, F.pmod(s, F.lit(60))))
+    line = F.concat(F.lit("- "), short, F.lit(" – "), "title")
+    rows = each.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "title", line.alias("line")))).alias("x"))
+    return rows.select("doc_id", F.concat(F.lit("## Table of Contents\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("contents"))
+
+
 def session_markdown(sessions: DataFrame) -> DataFrame:
     """doc_id, markdown of sessions with ``utterances array<struct<speaker: int, start: double, text: string>>`` and ``speakers map<int, string>``."""
     u = sessions.select("doc_id", "speakers", F.posexplode("utterances").alias("pos", "u"))
     name = F.coalesce(F.try_element_at("speakers", F.col("u.speaker")), F.concat(F.lit("Speaker "), F.col("u.speaker")))
     line = F.concat(F.lit("**"), name, F.lit(":** "), F.trim("u.text"), F.lit(" ["), clock.hms(F.col("u.start")), F.lit("]"))
-    return u.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("markdown"))
+    turns = u.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("markdown"))
+    if "narrative" not in sessions.columns:
+        return turns
+    met = turns.join(narrative_chapters(sessions), "doc_id", "left")
+    return met.select("doc_id", F.concat_ws("\n\n", "contents", "markdown").alias("markdown"))
