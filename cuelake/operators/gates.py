@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cuelake.functions import text as T
+
 
 def all_have_words(segs: DataFrame, words: str = "words") -> DataFrame:
     """doc_id, ready: whether every segment has word timings (null and empty count as none)."""
@@ -16,6 +18,12 @@ def word_ratio(segs: DataFrame, words: str = "words", least: float = 0.5) -> Dat
     return segs.groupBy("doc_id").agg(ratio.alias("ratio")).withColumn("low", F.col("ratio") < least)
 
 
+def low_scores(segs: DataFrame, scores: DataFrame, below) -> DataFrame:
+    """doc_id, seg_idx, score of spoken segments that score less than ``below``; event markers aren't judged."""
+    spoken = segs.where(~T.is_event_marker(F.col("text"))).select("doc_id", "seg_idx")
+    return scores.where(F.col("score") < below).join(spoken, ["doc_id", "seg_idx"], "left_semi")
+
+
 def keep_ids(source: DataFrame, aligned: DataFrame) -> DataFrame:
     """``aligned`` with ``source_id``: the id at the same place of the source, where both have as many rows; else null."""
     n = aligned.groupBy("doc_id").agg(F.count("*").alias("n"))

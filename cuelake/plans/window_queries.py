@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from cuelake.functions import text as T
-from cuelake.operators import aggregates, joins, windows
+from cuelake.operators import aggregates, gates, joins, windows
 
 from .inputs import CHAPTERS, FRAMES, INTERVALS, LINES, MODEL_CHAPTERS, SEG, TURNS, VOTES, chapters, frames, intervals, lines, model_chapters, segments, table, turns, votes
 from .registry import query
@@ -151,9 +151,7 @@ SCORED = "scored AS (SELECT doc_id, seg_idx, 1000 - loss_sum // n_frames AS scor
 
 @query("SELECT doc_id, seg_idx, score FROM scored JOIN seg USING (doc_id, seg_idx) WHERE score < 975 AND NOT (starts_with(trim(text), '[') AND ends_with(trim(text), ']'))", SEG, FRAMES, SPANS, LOSS, SCORED)
 def low_score_segments(spark, d):
-    low = scored(spark, d).where("score < 975")
-    plain = segments(spark, d).where(~T.is_event_marker(F.col("text"))).select("doc_id", "seg_idx")
-    return low.join(plain, ["doc_id", "seg_idx"], "left_semi")
+    return gates.low_scores(segments(spark, d), scored(spark, d), 975)
 
 
 EVENT_SCORES = "es AS (SELECT user_id AS doc_id, event_id AS seg_idx, CAST(floor(value * 10) AS BIGINT) AS score FROM events)"
