@@ -125,9 +125,13 @@ def with_paths(levels: list[DataFrame], above: DataFrame, depths: set[int]) -> D
 NO_PATH = "cast(array() as array<struct<preimage:string,slot:int>>)"
 
 
-def manifest(rows: DataFrame, group: str = "source", order: str = "doc_id", leaf: str = "leaf") -> Manifest:
-    """Order the rows by group, ``order`` and leaf hash, and hash them up to one root; all columns are carried along."""
-    lined = ranked(rows, group, order, leaf)
+def manifest(rows: DataFrame, group: str = "source", order: str = "doc_id", leaf: str = "leaf", tie: str | None = None) -> Manifest:
+    """Order the rows by group, ``order`` and leaf hash, and hash them up to one root; all columns are carried along.
+
+    ``tie`` may name a column of row numbers, by which the sort can part very many rows that are equal in everything else; as such rows are
+    equal leaves, their order changes no hash.
+    """
+    lined = ranked(rows, group, order, leaf, *([tie] if tie else []))
     # The first rank of a group names its tree.  Its counts come from each partition of the sort, not from each row.
     pieces = lined.groupBy("part", group).agg(F.count("*").alias("rows"), F.min("rank").alias("least"))
     of = W.partitionBy(group)
@@ -166,8 +170,8 @@ def verify(docs: DataFrame, changed: Column | None = None, changed_text: Column
         given = told
     else:
         given = F.when(F.coalesce(changed, F.lit(False)), leaf_hash([changed_text if c == "text" else F.col(c) for c in FIELDS])).otherwise(told)
-    leaves = scratch(docs.select("doc_id", "source", told.alias("leaf"), given.alias("given")), "leaves")
-    made = manifest(leaves)
+    leaves = scratch(docs.select("doc_id", "source", told.alias("leaf"), given.alias("given"), F.monotonically_increasing_id().alias("row")), "leaves")
+    made = manifest(leaves, tie="row")
     drop_scratch(leaves)
     root = F.lit(made.root).cast("string")
     out = made.leaves.select("doc_id", "leaf", "subroot", root.alias("root"), F.sha2(proof_text(), 256).alias("proof_sha256"), folded("given").alias("folded_root"))
