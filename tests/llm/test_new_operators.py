@@ -106,7 +106,10 @@ def test_merkle_parts_rows_that_are_equal_in_everything(spark):
     same = spark.range(4000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(1).cast("bigint").alias("n_chars"), F.lit("t\n").alias("text"))
     rows = [tuple(r) for r in same.collect()]
     assert {r[1:] for r in merkle_rows(same)} <= {r[1:] for r in plain_merkle(rows)} and len(merkle_rows(same)) == 4000
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
     numbered = merkle.ranked(same.withColumn("row", F.monotonically_increasing_id()), "source", "doc_id", "row")
+    spark.conf.set(setting, "true")
     assert numbered.groupBy("part").count().agg(F.max("count")).first()[0] < 4000
     assert numbered.agg(F.count_distinct("rank"), F.max("rank")).first() == (4000, 3999)
 
