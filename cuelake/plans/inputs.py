@@ -105,3 +105,15 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VOTES = "votes AS (SELECT doc_id, round, concat('name', (doc_id * round) % 3) AS label FROM labels, (VALUES (1), (2), (3)) r(round))"
+
+
+#: Lines of the pages as SQL gets them: marks 1 for a line's end, 2 for a blank line, 3 between pieces of a line.  Hidden elements of these pages
+#: aren't nested and hold no shown text.
+PAGE_LINES = """shown AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1),
+ '(?is)<!--.*?-->|<nav\\b.*?</nav>|<footer\\b.*?(</footer>|$)|<header\\b.*?</header>|<script\\b.*?</script>|<style\\b.*?</style>', chr(3), 'g') AS s FROM pages),
+ marked AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(?i)<(p|br|li|h[1-6])\\b[^>]*>', chr(1), 'g'), '(?i)</(p|div)>', chr(1) || chr(2) || chr(1), 'g'), '(?i)</(li|h[1-6])>', chr(1), 'g'), '<[^>]*>', chr(3), 'g') AS s FROM shown),
+ items AS (SELECT page_id, list_filter(list_transform(string_split(replace(replace(s, '&quot;', '"'), '&amp;', '&'), chr(1)), lambda i: array_to_string(list_filter(list_transform(string_split(i, chr(3)),
+ lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ')), lambda i: i <> '') AS x FROM marked),
+ kept AS (SELECT page_id, list_filter(x, lambda i, k: i <> chr(2) OR (k > 1 AND x[k - 1] <> chr(2))) AS x FROM items),
+ page_lines AS (SELECT page_id AS doc_id, CAST(k - 1 AS INTEGER) AS line_no, CASE WHEN line = chr(2) THEN '' ELSE line END AS line FROM (
+ SELECT page_id, unnest(y) AS line, generate_subscripts(y, 1) AS k FROM (SELECT page_id, string_split(array_to_string(x, chr(10)), chr(10)) AS y FROM kept)))"""

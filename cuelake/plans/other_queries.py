@@ -9,7 +9,7 @@ from cuelake.operators import aggregates, alignment, chunks, duplicates, gates,
 from cuelake.sources import captions, writers
 from cuelake.streaming import windows as streams
 
-from .inputs import CHAPTERS, SEG, chapters, document_segments, hypothesis, segments, table
+from .inputs import CHAPTERS, PAGE_LINES, SEG, chapters, document_segments, hypothesis, segments, table
 from .registry import query
 
 
@@ -271,7 +271,7 @@ def speaker_colors(spark, d):
     return writers.speaker_colors(segments(spark, d)).select("doc_id", "speaker", F.col("color").cast("int").alias("color")).distinct()
 
 
-@query()
+@query("SELECT * FROM page_lines", PAGE_LINES)
 def html_lines(spark, d):
     return pages.html_lines(table(spark, d, "pages"))
 
