@@ -22,6 +22,14 @@ SEG = """seg AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS seg_idx, rol
  SELECT *, (conv_id * 7919 + turn * 104729) % 6500 AS gap_ms, 60 * CAST(length(text) AS BIGINT) AS len_ms FROM conversations)))"""
 
 
+def timed_words(words, span_start="start_ms", span_end="end_ms"):
+    """Words as structs of symbol, start_ms, end_ms, whose times part the segment's evenly; their number stands beside each, so it is counted once."""
+    n = F.size(words)
+    beside = F.arrays_zip(words.alias("w"), F.array_repeat(n, n).alias("n"))
+    at = lambda i, x: F.col(span_start) + F.floor(i * (F.col(span_end) - F.col(span_start)) / x["n"])
+    return F.transform(beside, lambda x, i: F.struct(x["w"].alias("symbol"), at(i, x).alias("start_ms"), at(i + 1, x).alias("end_ms")))
+
+
 def hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second track: the segments' words without each 7th, each 11th written as x, shifted in time."""
     s = segments(spark, sf_dir)

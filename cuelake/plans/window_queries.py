@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from cuelake.functions import text as T
 from cuelake.operators import aggregates, gates, joins, windows
 
-from .inputs import CHAPTERS, FRAMES, INTERVALS, LINES, MODEL_CHAPTERS, SEG, TURNS, VOTES, chapters, frames, intervals, lines, model_chapters, segments, table, turns, votes
+from .inputs import CHAPTERS, FRAMES, INTERVALS, LINES, MODEL_CHAPTERS, SEG, TURNS, VOTES, chapters, frames, intervals, lines, model_chapters, segments, table, timed_words, turns, votes
 from .registry import query
 
 ORD = "PARTITION BY doc_id ORDER BY start_ms, seg_idx"
@@ -135,9 +135,8 @@ BELOW = """below AS (SELECT doc_id, frame_idx, sum(max_prob - aligned_prob) OVER
 )
 def word_score_join(spark, d):
     """Frame scores of segments and of their words, whose times part a segment's evenly."""
-    s = segments(spark, d).withColumn("w", F.split("text", " "))
-    at = lambda i: F.col("start_ms") + F.floor(i * (F.col("end_ms") - F.col("start_ms")) / F.size("w"))
-    s = s.withColumn("words", F.transform("w", lambda w, i: F.struct(at(i).alias("start_ms"), at(i + 1).alias("end_ms"))))
+    s = segments(spark, d)
+    s = s.withColumn("words", timed_words(F.split("text", " ")))
     return joins.nested_scores(s, frames(spark, d))
 
 
