@@ -13,33 +13,40 @@ from cuelake.functions import text as T
 BLOCK_FRAMES = 4096
 
 
-def frame_sums(frames: DataFrame, block: int = BLOCK_FRAMES) -> DataFrame:
-    """doc_id, frame_idx, below: the loss of a document's frames up to each one.
+def frame_sums(frames: DataFrame, places: DataFrame, block: int = BLOCK_FRAMES) -> DataFrame:
+    """doc_id, frame_idx, mark of each of ``places`` with ``below``: the loss of its document's frames up to there.
 
-    Sums run within blocks of frames, and over the blocks' totals; no task sees all frames of a document.
+    Frames and places are dealt by block in one shuffle and meet in one running sum; what lies in the blocks before is a
+    window over their totals.  No task sees all frames of a document, and frames are no side of a join, which a
+    small table that many frames derive from would have broadcast.
     """
-    loss = F.col("max_prob") - F.col("aligned_prob")
-    rows = frames.select("doc_id", "frame_idx", F.floor(F.col("frame_idx") / block).alias("block"), loss.alias("loss"))
-    within = W.partitionBy("doc_id", "block").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0)
-    totals = rows.groupBy("doc_id", "block").agg(F.sum("loss").alias("total"))
+    here = F.floor(F.col("frame_idx") / block).alias("block")
+    loss = (F.col("max_prob") - F.col("aligned_prob")).cast("long").alias("loss")
+    marks = places.select("doc_id", "frame_idx", here, F.lit(0).cast("long").alias("loss"), "mark")
+    rows = frames.select("doc_id", F.col("frame_idx").cast("long").alias("frame_idx"), here, loss)
+    both = rows.withColumn("mark", F.lit(None).cast(places.schema["mark"].dataType)).unionByName(marks)
+    within = W.partitionBy("doc_id", "block").orderBy("frame_idx", F.col("mark").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    inner = both.withColumn("inner", F.sum("loss").over(within)).where(F.col("mark").isNotNull())
+    totals = both.groupBy("doc_id", "block").agg(F.sum("loss").alias("total"))
     before = F.coalesce(F.sum("total").over(W.partitionBy("doc_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = rows.withColumn("inner", F.sum("loss").over(within)).join(totals.select("doc_id", "block", before.alias("before")), ["doc_id", "block"])
-    return sums.select("doc_id", "frame_idx", (F.col("before") + F.col("inner")).alias("below"))
+    sums = inner.join(totals.select("doc_id", "block", before.alias("before")).hint("merge"), ["doc_id", "block"])
+    return sums.select("doc_id", "frame_idx", "mark", (F.col("before") + F.col("inner")).alias("below"))
 
 
 def interval_scores(spans: DataFrame, frames: DataFrame, *keys: str, frame_ms: int = 20, offset_ms: int = 0) -> DataFrame:
     """doc_id, ``keys``, n_frames, loss_sum: the sum of max_prob - aligned_prob over the frames of each interval (start_ms, end_ms).
 
     An interval has one frame at least, and none beyond the last one.  A range join would pair every frame with every
-    interval that holds it; here an interval looks up the running sums at its two ends by key.
+    interval that holds it; here an interval looks up the running sums at its two ends.
     """
-    n = frames.groupBy("doc_id").agg(F.max("frame_idx").alias("last"))
+    n = frames.groupBy("doc_id").agg(F.max("frame_idx").alias("last")).hint("merge")
     at = spans.join(n, "doc_id").withColumn("lo", F.least(F.greatest(F.floor((F.col("start_ms") - offset_ms) / frame_ms), F.lit(0)), F.col("last")))
     at = at.withColumn("hi", F.greatest(F.least(F.floor((F.col("end_ms") - offset_ms) / frame_ms), F.col("last") + 1), F.col("lo") + 1))
-    ends = F.array(*[F.struct(F.lit(sign).alias("sign"), (F.col(c) - 1).alias("frame_idx")) for sign, c in ((1, "hi"), (-1, "lo"))])
-    ends = at.select("doc_id", *keys, "lo", "hi", F.explode(ends).alias("e")).select("doc_id", *keys, "lo", "hi", "e.sign", "e.frame_idx")
-    looked = ends.join(frame_sums(frames), ["doc_id", "frame_idx"], "left")
-    return looked.groupBy("doc_id", *keys).agg((F.first("hi") - F.first("lo")).alias("n_frames"), F.sum(F.col("sign") * F.coalesce("below", F.lit(0))).alias("loss_sum"))
+    ends = F.array(*[F.struct(F.lit(sign).alias("sign"), (F.col(c) - 1).cast("long").alias("frame_idx")) for sign, c in ((1, "hi"), (-1, "lo"))])
+    ends = at.select("doc_id", *keys, (F.col("hi") - F.col("lo")).alias("n_frames"), F.explode(ends).alias("e"))
+    looked = frame_sums(frames, ends.select("doc_id", "e.frame_idx", F.struct(*keys, "n_frames", "e.sign").alias("mark")))
+    sums = looked.select("doc_id", "mark.*", "below").groupBy("doc_id", *keys)
+    return sums.agg(F.first("n_frames").alias("n_frames"), F.sum(F.col("sign") * F.col("below")).alias("loss_sum"))
 
 
 def frame_scores(segs: DataFrame, frames: DataFrame, frame_ms: int = 20, offset_ms: int = 0) -> DataFrame:

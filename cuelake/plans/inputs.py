@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from cuelake.operators.joins import BLOCK_FRAMES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,8 +42,12 @@ def hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of 20 ms under each conversation, with confidences in thousandths."""
-    ends = segments(spark, sf_dir).groupBy("doc_id").agg(F.max("end_ms").alias("end_ms"))
-    f = ends.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end_ms") / 20))).alias("frame_idx"))
+    ends = segments(spark, sf_dir).groupBy("doc_id").agg(F.floor(F.max("end_ms") / 20).alias("last"))
+    blocks = ends.select("doc_id", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / BLOCK_FRAMES))).alias("block"))
+    # Few bytes become very many rows: a fixed number of partitions, which adaptive execution doesn't draw together.
+    spread = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "block")
+    first = F.col("block") * BLOCK_FRAMES
+    f = spread.select("doc_id", F.explode(F.sequence(first, F.least(first + BLOCK_FRAMES - 1, F.col("last")))).alias("frame_idx"))
     top = F.lit(900) + (F.col("frame_idx") * 37) % 100
     return f.select("doc_id", "frame_idx", top.alias("max_prob"), (top - (F.col("frame_idx") * 53) % 60).alias("aligned_prob"))
 

@@ -38,3 +38,10 @@ def test_query_without_sql_gives_rows(spark, data, name):
 def test_frame_scores_need_no_range_join(spark, data):
     plan = catalogue.QUERIES["frame_score_join"](spark, data)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_frames_are_never_broadcast(spark, data):
+    """A small table yields very many frames, which its size in bytes doesn't tell."""
+    for name in ("frame_score_join", "word_score_join"):
+        plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, plan
