@@ -392,3 +392,20 @@ def test_equal_endings_need_no_table_and_steps_stay_least():
     assert not A.edit_steps(same, same, cells=len(same) ** 2 + 1).any()  # a table would take 160 GB
     x, y = np.array([1, 1, 0, 2, 0]), np.array([1, 0, 3, 0])
     assert A.edit_steps(x, y).tolist() == [1, 0, 0, 0, 0]
+
+
+def test_chunks_leave_a_worker_few_texts_at_a_time():
+    """Whatever a batch holds, the chunks of at most so many texts are held at once."""
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(120)), "text": [None, *["one line\nanother"] * 119]})
+    parts = list(S.chunks(Rows(), size=9, overlap=0)(iter([batch])))
+    assert [len(set(p["doc_id"].to_pylist())) for p in parts] == [50, 50, 20]
+    assert [len(p) for p in parts] == [99, 100, 40] and parts[0]["chunk"].to_pylist()[:3] == ["", "one line", "another"]
