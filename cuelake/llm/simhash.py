@@ -120,8 +120,8 @@ def link_components(docs: DataFrame, size: int = 3) -> DataFrame:
         dense = reach.join(crowded, "value", "left_semi").select("node").distinct()
         links = links.unionByName(midpoint_edges(dense))
     roots = components(links)
-    # The nodes that have links are few beside the rows; each gets the least id of its component.
-    named = least.join(roots, "node")
+    # Each node that has links gets the least id of its component.  They grow with the rows, so neither side is broadcast.
+    named = least.join(roots.hint("merge"), "node")
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = named.join(ids, "root").select("node", "component_id")
     every = least.join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))

@@ -90,3 +90,28 @@ def test_paraphrases_at_any_place(spark):
 def test_disguises_beside_base_spans(text, masked):
     base, every = pii.spans(text)
     assert set(base) <= set(every) and pii.redact(text, every) == masked
+
+
+def test_scratch_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """A file below Spark's broadcast limit may hold rows that the driver can't: joins of such tables are shuffled, and the settings come back."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.readwriter import DataFrameWriter
+    from cuelake.llm import common
+
+    some = common.scratch(spark.range(400_000).select("id", F.xxhash64("id").alias("h")), "grows")
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(setting, "10m")
+    plans, write = [], DataFrameWriter.parquet
+
+    def seen(self, path, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    try:
+        assert common.scratch(some.join(some.select("h", F.col("id").alias("other")), "h"), "joined").count() == 400_000
+        assert spark.conf.get(setting) == "10m"
+    finally:
+        spark.conf.unset(setting)
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+    assert [common.in_bytes(x) for x in ("10485760b", "10m", "1 KB", "-1", "7")] == [10 << 20, 10 << 20, 1024, -1, 7]
