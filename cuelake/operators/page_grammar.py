@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cuelake.functions import clock
 
+from .partitions import spread
+
 # Patterns of lines and blocks.
 TIMED = r"^(.+?)\s+[(\[](\d{1,2}:\d{2}:\d{2})[)\]]:?\s*(.*)"
 ENTRY = r"^(\d{1,2}:\d{2}(?::\d{2})?)\s*[–—-]\s*(.+)"
@@ -53,6 +55,8 @@ BOLD, TIME_HEADING = r"^\*\*(.+?):?\*\*:?\s*(.*)$", r"^#{2,3}\s*\[?(\d{1,2}:\d{2
 NEEDS = [("timed", 1, 0), ("article", 5, 0), ("blocks", 3, 0), ("named", 10, 2), ("recurring", 10, 2), ("started", 3, 0), ("headed", 5, 0)]
 #: A page without a strategy is one turn if it has more characters than this.
 LEAST_CHARS = 200
+#: Characters of lines in a partition, and what a line counts for beside its own: all marks of a line take some 100 times as much in the windows.
+PARTITION_CHARS, LINE_CHARS = 4 << 20, 100
 
 
 def page():
@@ -137,6 +141,10 @@ def block_marks(b: DataFrame) -> DataFrame:
     plain = time & ~numbered & (F.length("b1") > 20) & ~F.col("b1").rlike(r"^\d{1,2}:\d{2}")
     kind = F.when(F.col("b2").isNull(), None).when(named, "named").when(numbered, "numbered").when(plain, "plain")
     b = b.withColumn("b_kind", kind).withColumn("b_end", F.col("place") + F.when(F.col("b_kind") == "plain", 2).otherwise(3))
+    # What a candidate takes from the blocks behind it is put down here: the windows below carry no text of other blocks.
+    b = b.withColumn("b_own", F.when(F.col("b_kind") == "named", F.col("block")).when(F.col("b_kind") == "numbered", F.col("b1")))
+    b = b.withColumn("b_hms", F.when(F.col("b_kind") == "named", F.col("b1")).when(F.col("b_kind").isNotNull(), F.col("block")))
+    b = b.withColumn("b_said", F.when(F.col("b_kind") == "plain", F.col("b1")).when(F.col("b_kind").isNotNull(), F.col("b2"))).drop("b1", "b2")
     end = F.when(F.col("b_kind").isNotNull(), F.col("b_end"))
     # Only candidates that reach into one another have to be judged in turn.
     alone = F.col("b_kind").isNotNull() & F.coalesce(F.max(end).over(before()) <= F.col("place"), F.lit(True))
@@ -146,10 +154,7 @@ def block_marks(b: DataFrame) -> DataFrame:
     take = lambda s, x: F.when(x["place"] >= s["free"], F.struct(x["b_end"].cast("bigint").alias("free"), F.concat(s["taken"], F.array(x["place"].cast("bigint"))).alias("taken"))).otherwise(s)
     b = b.withColumn("taken", F.aggregate(rivals, none, take)["taken"])
     b = b.withColumn("b_turn", F.coalesce(F.col("b_kind").isNotNull() & F.array_contains("taken", F.col("place").cast("bigint")), F.lit(False))).drop("taken")
-    speaker = F.when(F.col("b_kind") == "named", F.col("block")).when(F.col("b_kind") == "numbered", F.col("b1"))
-    b = b.withColumn("b_speaker", F.coalesce(last_of(F.when(F.col("b_turn"), speaker)), F.lit("Unknown")))
-    b = b.withColumn("b_hms", F.when(F.col("b_kind") == "named", F.col("b1")).otherwise(F.col("block")))
-    return b.withColumn("b_said", F.when(F.col("b_kind") == "plain", F.col("b1")).otherwise(F.col("b2")))
+    return b.withColumn("b_speaker", F.coalesce(last_of(F.when(F.col("b_turn"), F.col("b_own"))), F.lit("Unknown"))).drop("b_own")
 
 
 def timed_modes(rows: DataFrame) -> DataFrame:
@@ -177,7 +182,8 @@ def timed_modes(rows: DataFrame) -> DataFrame:
     late = F.when(F.col("hit"), "turn").when(F.col("t_after").isNotNull(), F.when((F.col("t_after") == "chapter") & (F.col("event") == "chapter") & heading, "chapter"))
     late = late.when(F.col("event") == "chapter", "chapter").when(F.col("event").isNull() & said, "more")
     title = F.when(heading, group(HEADING, 1)).when(F.col("t_entry"), F.trim(group(ENTRY, 2, "s"))).otherwise(F.col("s"))
-    return rows.withColumn("t_mode", F.when(F.col("t_run") == 0, early).otherwise(late)).withColumn("t_title", title).drop("titles")
+    rows = rows.withColumn("t_mode", F.when(F.col("t_run") == 0, early).otherwise(late)).drop("titles")
+    return rows.withColumn("t_title", F.when(F.col("t_mode").isin("chapter", "contents"), title))
 
 
 def recurring_marks(rows: DataFrame) -> DataFrame:
@@ -201,9 +207,13 @@ def parse(lines: DataFrame) -> DataFrame:
 
     ``lines``: doc_id, line_no, line.  ``kind`` is preamble, contents, chapter or turn.  ``start_ms`` is null where the page tells no time.
     """
+    lines = spread(lines, "doc_id", F.coalesce(F.length("line"), F.lit(0)) + LINE_CHARS, PARTITION_CHARS)
     b = block_marks(article_marks(blocks_of(lines)))
-    shown = ["a_turn", "a_speaker", "a_ms", "b_turn", "b_speaker", "b_hms", "b_said", "block"]
-    rows = b.select("doc_id", F.posexplode("lines").alias("k", "x"), *shown).select("doc_id", "x.line_no", "x.line", F.trim("x.line").alias("s"), (F.col("k") == 0).alias("top"), *shown)
+    marks = {"a_turn": "a_turn", "a_speaker": "a_turn", "a_ms": "a_turn", "block": "a_turn", "b_turn": "b_turn", "b_speaker": "b_turn", "b_hms": "b_turn", "b_said": "b_turn"}
+    rows = b.select("doc_id", F.posexplode("lines").alias("k", "x"), *marks)
+    # A block's marks and text stand at its first line, and there only if it is a turn: else each line would carry the whole block.
+    shown = [F.when((F.col("k") == 0) & F.col(flag), F.col(c)).alias(c) for c, flag in marks.items()]
+    rows = rows.select("doc_id", "x.line_no", "x.line", F.trim("x.line").alias("s"), *shown)
     rows = recurring_marks(timed_modes(rows))
     rows = rows.withColumn("named", F.col("line").rlike(NAMED)).withColumn("starts", F.col("line").rlike(STARTS)).withColumn("bold", F.col("line").rlike(BOLD))
     rows = rows.withColumn("s_run", running(F.col("starts"))).withColumn("h_run", running(F.col("bold")))
@@ -211,8 +221,8 @@ def parse(lines: DataFrame) -> DataFrame:
     kinds = lambda value: F.size(F.collect_set(value).over(page()))
     found = {
         "timed": (count(F.col("hit") | F.coalesce((F.col("t_mode") == "chapter") & F.col("t_titled"), F.lit(False))), F.lit(0)),
-        "article": (count(F.col("a_turn") & F.col("top")), F.lit(0)),
-        "blocks": (count(F.col("b_turn") & F.col("top")), F.lit(0)),
+        "article": (count(F.col("a_turn")), F.lit(0)),
+        "blocks": (count(F.col("b_turn")), F.lit(0)),
         "named": (count(F.col("named")), kinds(F.when(F.col("named"), group(NAMED, 1)))),
         "recurring": (count(F.col("r_kind").isNotNull()), F.col("r_names")),
         "started": (count(F.col("starts")), F.lit(0)),
@@ -231,8 +241,8 @@ def parse(lines: DataFrame) -> DataFrame:
     as_turn = lambda flag: F.when(flag, "turn")
     forms = {
         "timed": (F.when(F.col("t_mode") == "more", "turn").otherwise(F.col("t_mode")), F.when(F.col("t_mode").isin("turn", "more"), F.col("t_run")), F.when(F.col("hit"), group(TIMED, 1)), seconds(t_time), t_said),
-        "article": (as_turn(F.col("a_turn") & F.col("top")), none, F.col("a_speaker"), F.col("a_ms"), text),
-        "blocks": (as_turn(F.col("b_turn") & F.col("top")), none, F.col("b_speaker"), seconds(F.col("b_hms")), F.regexp_replace("b_said", r"\s*\n\s*", " ")),
+        "article": (as_turn(F.col("a_turn")), none, F.col("a_speaker"), F.col("a_ms"), text),
+        "blocks": (as_turn(F.col("b_turn")), none, F.col("b_speaker"), seconds(F.col("b_hms")), F.regexp_replace("b_said", r"\s*\n\s*", " ")),
         "named": (as_turn(F.col("named")), none, group(NAMED, 1), none, F.trim(group(NAMED, 2))),
         "recurring": (F.col("r_kind"), none, F.when(F.col("r_kind") == "turn", F.col("r_speaker")), F.coalesce(seconds(F.col("r_hms")), F.lit(0)), r_said),
         "started": (as_turn(F.col("s_run") > 0), F.col("s_run"), none, F.when(F.col("starts"), seconds(group(STARTS, 1))), F.when(F.col("starts"), F.trim(group(STARTS, 2))).otherwise(F.col("s"))),
