@@ -78,3 +78,17 @@ def test_turns_by_partition_equal_the_grammar(spark):
     got = spark.sql("SELECT * FROM timed_turns(TABLE(lines_of_test) PARTITION BY doc_id ORDER BY line_no)")
     want = page_grammar.parse(df).where("kind = 'turn' and strategy = 'timed'").select(*got.columns)
     assert got.count() == want.count() > 100 and got.exceptAll(want).count() == 0
+
+
+def test_nested_documents_are_gathered_flat_and_by_their_events(spark, tmp_path, monkeypatch):
+    """Partitions follow the events, and no shuffle carries the nested objects."""
+    from pyspark.sql import functions as F
+    from cuelake.plans import structure_queries as Q
+
+    e = spark.range(60).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.lit("click").alias("event_type"), F.concat(F.lit('{"k": '), "id", F.lit("}")).alias("props"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(Q, "PARTITION_EVENTS", 6, raising=False)
+    docs = Q.nested_events(spark, str(tmp_path))
+    assert docs.rdd.getNumPartitions() == 10
+    got = {r.user_id: r.value for r in docs.collect()}
+    assert len(got) == 7 and got[3].startswith('{"events":[{"event_id":3,"props":{"k":3},"list":[{"k":"click","deep":[{"k":3}]}]},{"event_id":10,')
