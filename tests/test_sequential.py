@@ -214,6 +214,21 @@ def test_duplicate_blocks_against_every_two_places(spark):
     assert {d: sorted(v) for d, v in got.items()} == {d: p for d, t in docs.items() if (p := plain_blocks(t))}
 
 
+def test_duplicate_blocks_of_one_line_over_and_over(spark):
+    """Each word comes again at every distance: neither words nor their pairs become rows, and results stay those of comparing every two places."""
+    docs = {d: [(i * 1000, i * 1000 + 900, "over and over again") for i in range(90)] + [(200_000 * d, 200_000 * d + 900, "over and over again")] for d in (1, 2, 3)}
+    docs[4] = [(0, 1, "only a few words")]
+    found = D.dup_blocks(frame(spark, docs))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan, plan
+    got = {}
+    for x in found.collect():
+        got.setdefault(x.doc_id, []).append((x.first_lo, x.first_hi, x.second_lo, x.second_hi, x.matched_words))
+    assert {d: sorted(v) for d, v in got.items()} == {d: p for d, t in docs.items() if (p := plain_blocks(sorted(t)))}
+    untimed = frame(spark, docs).selectExpr("doc_id", "seg_idx", "if(seg_idx < 200, null, start_ms) start_ms", "end_ms", "text")
+    assert D.dup_blocks(untimed).count() == 0  # copies whose times aren't known aren't near each other
+
+
 def test_chunk_text():
     text = "\n".join(f"line {i:03d}" for i in range(100))
     parts = S.chunk_text(text, 100, 30, 50)
