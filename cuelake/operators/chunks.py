@@ -124,9 +124,11 @@ def sliced_sentences(segs: DataFrame) -> DataFrame:
     seg = W.partitionBy("doc_id", "seg_idx")
     cut = split_sentences(segs.select("doc_id", "seg_idx", "start_ms", "end_ms", "text"))
     cut = cut.withColumn("size", letters(F.col("text"))).withColumn("kind", F.lit(1)).withColumn("word", F.lit(None).cast(segs.schema["words"].dataType.elementType))
-    words = segs.select("doc_id", "seg_idx", F.posexplode("words").alias("part", "word"))
+    # An outer explode, as Spark would make the words of an inner one twice, to filter by their number.
+    words = segs.select("doc_id", "seg_idx", F.posexplode_outer("words").alias("part", "word")).where("part is not null")
     words = words.select("doc_id", "seg_idx", "part", "word", letters(F.col("word.symbol")).alias("size"), F.lit(2).alias("kind"))
-    both = cut.unionByName(words, allowMissingColumns=True)
+    # All windows and the grouping share this partitioning: words are shuffled once.
+    both = cut.unionByName(words, allowMissingColumns=True).repartition("doc_id", "seg_idx")
     # Each kind runs over its own letters.
     at = F.coalesce(F.sum("size").over(W.partitionBy("doc_id", "seg_idx", "kind").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rank = F.when(F.col("kind") == 1, 1).when(F.col("size") == 0, 0).otherwise(2)

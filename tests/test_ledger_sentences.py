@@ -104,6 +104,14 @@ def test_each_word_belongs_to_one_sentence(spark):
     }
 
 
+def test_words_of_sentences_are_shuffled_and_made_once(spark):
+    segs = spark.createDataFrame([(1, 0, 0, 1000, "One. Two", None)], WORDS)
+    made = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("symbol"), F.col("start_ms"), F.col("end_ms")))
+    plan = chunks.sliced_sentences(segs.withColumn("words", made))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # the sentences for their times, and both together
+    assert not re.search(r"Filter .*size\(transform", plan), plan
+
+
 def test_words_of_random_texts_are_all_kept_in_order(spark):
     import random
 
