@@ -51,6 +51,7 @@ class WordBPE:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.digits = {i: str(i) for i in self.names}
         self.made: list[int] = []
         self.pair: list[tuple[int, int]] = []
         for a, b in model["merges"]:
@@ -159,17 +160,19 @@ class WordBPE:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks (text between white space) that aren't known yet."""
-        if len(self.ids) + len(chunks - self.ids.keys()) > CACHE_WORDS:
-            self.ids.clear()
-            self.text.clear()
-        fresh = list(chunks - self.ids.keys())
-        parts = [self.words_of(c) for c in fresh]
+        fresh = [c for c in chunks if c not in self.ids]
+        if len(self.ids) + len(fresh) > CACHE_WORDS:  # what these chunks need stays, so frequent words aren't encoded anew
+            used = [c for c in chunks if c in self.ids]
+            self.ids, self.text = ({c: of[c] for c in used} for of in (self.ids, self.text))
+        # Letters of ASCII alone are one word.
+        parts = [(c,) if c.isascii() and c.isalpha() else self.words_of(c) for c in fresh]
         known = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
         tokens = self.encode_words(list(known))
+        digits, names = self.digits, self.names
         for c, p in zip(fresh, parts):
-            ids = [t for w in p for t in tokens[known[w]]]
-            self.ids[c] = " ".join(map(str, ids))
-            self.text[c] = self.decode(ids)
+            ids = tokens[known[p[0]]] if len(p) == 1 else [t for w in p for t in tokens[known[w]]]
+            self.ids[c] = " ".join([digits[t] for t in ids])
+            self.text[c] = " ".join([names[t] for t in ids])
 
     def chunks(self, text: str) -> list[str]:
         """The stretches between white space: no word reaches over it."""
@@ -193,7 +196,7 @@ class WordBPE:
                 out.append(marks[i])
         return out
 
-    def encode_texts(self, texts: list[str | None], group_chars: int = 1_000_000):
+    def encode_texts(self, texts: list[str | None], group_chars: int = 3_000_000):
         """(ids joined by a space, decoded text) of each text; groups of texts share one index sweep."""
         group: list[list[list[str] | int]] = []
         size = 0
@@ -218,8 +221,8 @@ class WordBPE:
             b: list[str] = []
             for part in parts:
                 if isinstance(part, list):
-                    a.extend([ids[w] for w in part])
-                    b.extend([text[w] for w in part])
+                    a.extend(map(ids.__getitem__, part))
+                    b.extend(map(text.__getitem__, part))
                 else:
                     a.append(str(part))
                     b.append(self.names[part])

@@ -610,3 +610,18 @@ def test_shards_awkward_rows(spark, docs, empty):
     assert len(by) == 16  # rows without an id and rows of one id are parted too
     same = [(1, "x")] * 50
     check_shards(shards.assign(spark.createDataFrame(same, "doc_id bigint, text string")).collect(), same)
+
+
+def test_words_of_bpe_that_are_in_use_stay_when_the_cache_is_full(monkeypatch):
+    """Junk words fill the cache: frequent words aren't encoded anew then, and results don't depend on it."""
+    from cuelake.llm import bpe
+    from cuelake.llm.queries import tokenizer_path
+
+    texts = [" ".join(["often", "seen", "words"] + [f"junk{k}x{i}'s" for i in range(8)]) for k in range(6)]
+    wanted = list(bpe.WordBPE(tokenizer_path("word_bpe_49k.json")).encode_texts(texts))
+    coder, seen = bpe.WordBPE(tokenizer_path("word_bpe_49k.json")), []
+    encode = coder.encode_words
+    monkeypatch.setattr(coder, "encode_words", lambda words: seen.extend(words) or encode(words))
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+    assert list(coder.encode_texts(texts, group_chars=1)) == wanted
+    assert seen.count("often") == 1 and len(coder.ids) <= 20
