@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -66,6 +67,35 @@ class Hasher:
         return np.fromiter([known[w] for w in words], np.uint64, len(words))
 
 
+#: Bytes of texts whose words are split and hashed together at most; a longer text is alone.
+TEXT_BYTES = 4_000_000
+
+
+def slices(texts: pa.Array):
+    """(first, end) of rows whose texts have ``TEXT_BYTES`` together at most."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right")))
+        yield first, end
+        first = end
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts one behind the other, as ``words_of`` and ``Hasher`` give them, and where each text begins (and the last ends)."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = parts.flatten().dictionary_encode()
+    _, ends, data = coded.dictionary.cast(pa.binary()).buffers()
+    ends, data = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
+    known = np.fromiter([xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:])], np.uint64, len(coded.dictionary))
+    empty = pc.binary_length(coded.dictionary).to_numpy() == 0  # white space at the ends of a text
+    codes = coded.indices.to_numpy()
+    real = ~empty[codes]
+    at = np.concatenate(([0], np.cumsum(real)))
+    return known[codes[real]], at[np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy())))]
+
+
 def mix(h: np.ndarray, seed: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(seed)
     return h ^ (h >> np.uint64(29))
@@ -108,24 +138,58 @@ def band_values(words: np.ndarray, bands: int, paragraph: int = PARAGRAPH, size:
     return out
 
 
+def values_of_texts(words: np.ndarray, first: np.ndarray, bands: int, paragraph: int = PARAGRAPH, size: int = SHINGLE):
+    """(text, value, place) of ``band_values`` for texts whose words stand one behind the other, sorted by text."""
+    lens, n = np.diff(first), len(words)
+    texts, values, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    if n >= paragraph:
+        doc = np.repeat(np.arange(len(lens)), lens)
+        left = np.repeat(first[1:], lens) - np.arange(n)  # words of the text from here on
+        shingles = shingle_hashes(words, size)
+        width = paragraph - size + 1
+        # The same value in two texts has two keys.
+        apart = doc.astype(np.uint64) * np.uint64(SEEDS[0])
+        inner, whole = left[: len(shingles)] >= size, left[: n - paragraph + 1] >= paragraph
+        for k in range(bands):
+            h = mix(shingles, SEEDS[k])
+            pad = (-len(h)) % width
+            full = np.concatenate((h, np.full(pad, np.iinfo(np.uint64).max, np.uint64))).reshape(-1, width)
+            right = np.minimum.accumulate(full, axis=1).reshape(-1)
+            back = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+            least = (np.minimum(back[: len(h) - width + 1], right[width - 1 : len(h)]) + apart[: n - paragraph + 1])[whole]
+            least = least[np.r_[True, least[1:] != least[:-1]]] if len(least) else least
+            keys = h + apart[: len(h)]
+            # A table of 22 bits of the keys leaves few places to look up.
+            met = np.zeros(1 << 22, bool)
+            met[least & np.uint64((1 << 22) - 1)] = True
+            chosen = np.flatnonzero(met[keys & np.uint64((1 << 22) - 1)] & inner)
+            chosen = chosen[np.isin(keys[chosen], least)]
+            chosen = run_ends(keys[chosen], chosen, paragraph)
+            texts.append(doc[chosen])
+            values.append(h[chosen].view(np.int64) ^ np.int64(k))
+            places.append((chosen - first[doc[chosen]]).astype(np.int32))
+    text, value, place = map(np.concatenate, (texts, values, places))
+    order = np.argsort(text, kind="stable")
+    return text[order], value[order], place[order]
+
+
+def lists(values: np.ndarray, lens: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(values))
+
+
 def entries(texts: DataFrame, bands: int) -> DataFrame:
-    """node, value, place of every band value of the texts; the row without a value has the number of words as place."""
+    """node, n_words, and the values and places of all band values, a row for each text."""
 
     def run(batches):
-        hashed = Hasher()
         for batch in batches:
-            nodes, values, places = [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(text.as_py())
-                for value, place in [(np.zeros(1, np.int64), np.array([len(words)], np.int32)), *band_values(hashed(words), bands)]:
-                    nodes.append(np.full(len(value), node, np.int64))
-                    values.append(value)
-                    places.append(place)
-            if nodes:
-                node, value, place = map(np.concatenate, (nodes, values, places))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(value, mask=value == 0), pa.array(place)], names=["node", "value", "place"])
+            for a, b in slices(batch.column(1)):
+                words, first = hashed_words(batch.column(1).slice(a, b - a))
+                text, value, place = values_of_texts(words, first, bands)
+                lens = np.bincount(text, minlength=b - a)
+                cols = [batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int32()), lists(value, lens), lists(place, lens)]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "n_words", "values", "places"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, value bigint, place int")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, n_words int, values array<bigint>, places array<int>")
 
 
 #: Owners of a band value that all its owners are compared with at first.
@@ -253,6 +317,8 @@ def cut_around(batches, reach: int = 2 * PARAGRAPH):
 WIDTH, AROUND = PARAGRAPH - SHINGLE + 1, PARAGRAPH - SHINGLE
 #: Words before and behind a shingle that are kept with it to compare owners that resemble no centre.
 REACH = PARAGRAPH + GAP
+#: Owners of a value that are all compared with one another in one task, by products of their shingles.
+TOGETHER = 512
 #: Owners of a key that are all compared with one another; with more of them, the centres of the first round, and by how much they grow.
 CROWD, FIRST_CENTRES, CENTRES_GROW = 32, 4, 16
 #: Words around places that are in one batch at most.
@@ -274,39 +340,46 @@ def fewest_shingles(around: np.ndarray, before: int) -> int:
     return int((1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)).min(initial=WIDTH))
 
 
+def stretches(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.ListArray:
+    """The stretches [start, end) of an array as lists."""
+    lens = end - start
+    return lists(flat[np.repeat(start - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())], lens)
+
+
 def neighbourhoods(batches):
     """Rows of ``NEAR``: 64-bit hashes of the words around a place, of which ``ahead`` stand before it.
 
     ``around`` are 32 bits of the hash of each shingle of the paragraphs that hold the place, ``before`` of them in front of it; two
     owners that are alike have ``least`` or more in common (less one, for shingles that share these bits).
     """
-    hashed = Hasher()
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-    names = ["value", "root", "node", "place", "ahead", "words", "before", "least", "around"]
-
-    def rows(got):
-        return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(zip(*got), kinds)], names=names)
-
     for batch in batches:
-        got, held = [], 0
-        for node, at, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            words = hashed(words_of(text.as_py()))
+        for a, b in slices(batch.column(2)):
+            words, first = hashed_words(batch.column(2).slice(a, b - a))
             shingles = mix(shingle_hashes(words), SEEDS[-1]).astype(np.uint32).view(np.int32)
-            words = words.view(np.int64)
-            for e in at.as_py():
-                place = e["place"]
-                if place >= len(shingles):  # another text of a repeated id
-                    continue
-                low, first = max(0, place - REACH), max(0, place - AROUND)
-                around = shingles[first : place + AROUND + 1]
-                least = int(np.ceil(SIMILARITY * fewest_shingles(around, place - first) - 1e-9)) - 1
-                got.append((e["value"], e["root"], node, place, place - low, words[low : place + SHINGLE + REACH], place - first, least, around))
-                held += 2 * REACH
-                if held > BATCH_WORDS:
-                    yield rows(got)
-                    got, held = [], 0
-        if got:
-            yield rows(got)
+            at = batch.column(1).slice(a, b - a)
+            doc = np.repeat(np.arange(b - a), pc.list_value_length(at).to_numpy())
+            value, root, place = (pc.struct_field(at.flatten(), k).to_numpy() for k in ("value", "root", "place"))
+            some = np.flatnonzero(place <= first[doc + 1] - first[doc] - SHINGLE)  # else it's of another text of a repeated id
+            # Texts in which a shingle stands twice.
+            inside = np.repeat(np.arange(b - a), np.maximum(0, np.diff(first) - SHINGLE + 1))
+            each = np.arange(len(inside)) + (first[:-1] - np.concatenate(([0], np.cumsum(np.bincount(inside, minlength=b - a))[:-1])))[inside]
+            keys = np.sort(inside.astype(np.uint64) << np.uint64(32) | shingles[each].view(np.uint32)) if len(each) else np.empty(0, np.uint64)
+            repeats = np.zeros(b - a, bool)
+            repeats[(keys[1:][keys[1:] == keys[:-1]] >> np.uint64(32)).astype(np.int64)] = True
+            for c in range(0, len(some), BATCH_WORDS // (2 * REACH)):
+                part = some[c : c + BATCH_WORDS // (2 * REACH)]
+                d, p = doc[part], place[part]
+                g, begin, end = first[d] + p, first[d], first[d + 1]
+                low, high = np.maximum(begin, g - REACH), np.minimum(end, g + SHINGLE + REACH)
+                from_, to = np.maximum(begin, g - AROUND), np.minimum(end - SHINGLE + 1, g + AROUND + 1)
+                fewest = np.minimum(WIDTH, to - from_)
+                for k in np.flatnonzero(repeats[d]).tolist():
+                    fewest[k] = fewest_shingles(shingles[from_[k] : to[k]], int(g[k] - from_[k]))
+                least = np.ceil(SIMILARITY * fewest - 1e-9).astype(np.int32) - 1
+                node = batch.column(0).slice(a, b - a).take(pa.array(d))
+                cols = [pa.array(value[part]), pa.array(root[part]), node, pa.array(p, pa.int32()), pa.array(g - low, pa.int32()), stretches(words.view(np.int64), low, high)]
+                cols += [pa.array(g - from_, pa.int32()), pa.array(least), stretches(shingles, from_, to)]
+                yield pa.RecordBatch.from_arrays(cols, names=["value", "root", "node", "place", "ahead", "words", "before", "least", "around"])
 
 
 class Owner:
@@ -325,25 +398,131 @@ class Owner:
         return [v for v in out if v[0] != v[1] or v[3] <= v[4]]  # two places of one text are apart
 
 
+def groups(batches):
+    """Tables of the rows of one value each; rows come sorted by value."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.r_[True, value[1:] != value[:-1], True]).tolist()
+        if held and held[-1].column(0)[0].as_py() != value[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for a, b in zip(edges[:-2], edges[1:-1]):
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)]).combine_chunks()
+            held = []
+        held.append(batch.slice(edges[-2], edges[-1] - edges[-2]))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def numbered(values: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of each owner's values, which are the values of two owners or more, and one after them for all others; which owner has which column; whether all of an owner's values differ."""
+    n, own = len(lens), np.repeat(np.arange(len(lens)), lens)
+    known, ids = np.unique(values, return_inverse=True)
+    pairs = np.sort(own * len(known) + ids)
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+    owners = np.bincount(pairs % max(1, len(known)), minlength=len(known))
+    differ = np.bincount(pairs // max(1, len(known)), minlength=n) == lens
+    shared = owners > 1
+    width = int(shared.sum())
+    column = np.where(shared, np.cumsum(shared) - 1, width)
+    columns = np.full((n, int(lens.max(initial=0))), width)
+    columns[own, np.arange(len(own)) - np.repeat(np.cumsum(lens) - lens, lens)] = column[ids]
+    return columns, marked(columns, width), differ
+
+
+def marked(columns: np.ndarray, width: int) -> np.ndarray:
+    has = np.zeros((len(columns), width + 1), np.float32)
+    has[np.arange(len(columns))[:, None], columns] = 1
+    has[:, width] = 0
+    return has
+
+
+#: What a shingle that is in common adds to a stretch's score, and one that isn't, in thousandths.
+COMMON, ALONE = round(500 * (1 - SIMILARITY)), -round(1000 * SIMILARITY)
+
+
+def best_scores(common: np.ndarray, paragraph: int = WIDTH) -> np.ndarray:
+    """For each row the best score of a stretch of a paragraph or more, of shingles that all differ; ``common`` are those that the other owner has.
+
+    Stretches of s and t different shingles with c in common are alike if c / (s + t - c) reaches the similarity S, that is if
+    (1 + S) c >= S (s + t).  Then the scores, (1 + S) / 2 c - S s and the same with t, add up to 0 or more, so pairs with less are left out without loss.
+    """
+    if common.shape[1] < paragraph:
+        return np.full(len(common), -(1 << 30))
+    run = np.zeros((len(common), common.shape[1] + 1), np.int32)
+    np.cumsum(np.where(common, COMMON, ALONE), axis=1, out=run[:, 1:])
+    return (run[:, paragraph:] - np.minimum.accumulate(run, axis=1)[:, : run.shape[1] - paragraph]).max(axis=1)
+
+
+def best_scores_with_repeats(common: np.ndarray, before: np.ndarray, paragraph: int = WIDTH) -> np.ndarray:
+    """As ``best_scores``, of shingles that repeat, which count once in a stretch; ``before`` is the place of the same shingle before each, or -1."""
+    out = np.full(len(common), -(1 << 30))
+    if common.shape[1] < paragraph:
+        return out
+    at, start = np.arange(common.shape[1]), np.arange(common.shape[1] - paragraph + 1)[:, None]
+    once = (at >= start) & (before < start)
+    for c in range(0, len(common), 64):
+        weight = np.where(common[c : c + 64], COMMON, ALONE).astype(np.int32)
+        run = np.cumsum(once * weight[:, None, :], axis=2, dtype=np.int32)
+        out[c : c + 64] = np.where(at >= start + paragraph - 1, run, -(1 << 30)).max(axis=(1, 2))
+    return out
+
+
+def place_before(shingles: np.ndarray) -> np.ndarray:
+    order = np.argsort(shingles, kind="stable")
+    same = np.r_[False, shingles[order][1:] == shingles[order][:-1]]
+    out = np.full(len(shingles), -1)
+    out[order[same]] = order[np.flatnonzero(same) - 1]
+    return out
+
+
+def likely_pairs(owners: pa.Table) -> list[tuple[int, int]]:
+    """Pairs of owners of different components that have enough shingles in common, in the order of the owners."""
+    root, least, ahead = (owners[c].to_numpy() for c in ("root", "least", "ahead"))
+    words = owners["words"].chunk(0)
+    lens = pc.list_value_length(words).to_numpy()
+    flat = shingle_hashes(np.concatenate((words.flatten().to_numpy().view(np.uint64), np.zeros(SHINGLE - 1, np.uint64))))
+    flat = flat[np.arange(lens.sum()) + SHINGLE <= np.repeat(np.cumsum(lens), lens)]
+    lens = np.maximum(0, lens - SHINGLE + 1)
+    columns, has, differ = numbered(flat, lens)
+    # Those of the paragraphs that hold the place.
+    around = marked(np.where(np.abs(np.arange(columns.shape[1]) - ahead[:, None]) <= AROUND, columns, has.shape[1] - 1), has.shape[1] - 1)
+    enough = (around @ around.T >= np.minimum(least[:, None], least)) & (root[:, None] != root)
+    k, m = np.nonzero(np.triu(enough, 1))
+    if not len(k):
+        return []
+    has, ends, scores = has > 0, np.cumsum(lens), np.zeros(len(k), np.int64)
+    for x, y in ((k, m), (m, k)):
+        open_ = scores >= -COMMON * columns.shape[1]  # what the other side can still bring
+        for c in range(0, len(k), 8192):
+            part = c + np.flatnonzero(open_[c : c + 8192] & differ[x[c : c + 8192]])
+            scores[part] += best_scores(has[y[part][:, None], columns[x[part]]])
+        for o in np.unique(x[open_ & ~differ[x]]).tolist():
+            part = np.flatnonzero(open_ & (x == o))
+            before = place_before(flat[ends[o] - lens[o] : ends[o]])
+            scores[part] += best_scores_with_repeats(has[y[part][:, None], columns[o, : lens[o]]], before)
+    good = scores >= 0
+    return list(zip(k[good].tolist(), m[good].tolist()))
+
+
 def links_within(batches):
     """Links between all owners of each value that have enough shingles in common; what is joined already isn't compared again."""
-    for batch in batches:
-        got = []
-        for owners in batch.column(0):
-            values = owners.values
-            n, least, root = len(values), values.field("least").to_pylist(), values.field("root").to_pylist()
-            around = [set(v) for v in values.field("around").to_pylist()]
-            pairs = [
-                (k, m)
-                for k in range(n)
-                for m in range(k + 1, n)
-                if root[k] != root[m] and len(around[k] & around[m]) >= min(least[k], least[m])
-            ]
-            each = {k: Owner(values[k].as_py()) for k in sorted({k for pair in pairs for k in pair})}
-            for k, m in sorted(pairs, key=lambda pair: [(each[v].node, each[v].place) for v in pair]):
-                if root[k] != root[m] and (found := each[k].links(each[m])):
-                    got += found
-                    root = [root[k] if r == root[m] else r for r in root]
+    for owners in groups(batches):
+        owners = owners.take(pa.array(np.lexsort((owners["place"].to_numpy(), owners["node"].to_numpy()))))
+        pairs = likely_pairs(owners.combine_chunks())
+        if not pairs:
+            continue
+        got, root, each = [], owners["root"].to_pylist(), {}
+        chosen = sorted({k for pair in pairs for k in pair})
+        for k, row in zip(chosen, owners.select(["node", "place", "ahead", "words"]).take(chosen).to_pylist()):
+            each[k] = Owner(row)
+        for k, m in pairs:
+            if root[k] != root[m] and (found := each[k].links(each[m])):
+                got += found
+                root = [root[k] if r == root[m] else r for r in root]
         yield link_batch(got)
 
 
@@ -352,6 +531,9 @@ def links_of_pairs(batches):
     for batch in batches:
         got = []
         for x, y in zip(*batch.columns):
+            shingles = [shingle_hashes(v["words"].values.to_numpy().view(np.uint64)) for v in (x, y)]
+            if sum(best_scores_with_repeats(np.isin(u, v)[None], place_before(u))[0] for u, v in (shingles, shingles[::-1])) < 0:
+                continue
             x, y = x.as_py(), y.as_py()
             got += [(*v, x["root"], y["root"]) for v in Owner(x).links(Owner(y))]
         links = link_batch([v[:6] for v in got])
@@ -506,7 +688,7 @@ def links_of_the_rest(shared: DataFrame, links: DataFrame, texts: DataFrame) ->
     """Links between owners ``value, node, place`` of a value of which neither is a centre.
 
     Values whose owners are all in one component are done.  The others' owners are compared by the words around
-    their places.  Of owners with the same words around one stands for all.  Up to ``CROWD``
+    their places.  Of owners with the same words around one stands for all.  Up to ``TOGETHER``
     of them are compared directly, more of them as ``crowded_links`` says.
     """
     rest = scratch(undecided(located(shared, clusters(links)), "value").drop("n"), "rest")
@@ -524,10 +706,10 @@ def links_of_the_rest(shared: DataFrame, links: DataFrame, texts: DataFrame) ->
     keys = near.select("value", "node", "place", "root").join(chosen, ["value", "node", "place"], "left_semi")
     left = scratch(undecided(keys, "value").select("value", "node", "place", "n"), "left")
     near = near.join(left, ["value", "node", "place"])
-    owner = F.struct("node", "place", "root", "ahead", "words", "least", "around")
-    few = near.where(F.col("n") <= CROWD).groupBy("value").agg(F.collect_list(owner).alias("owners"))
-    out = equal.unionByName(few.select("owners").mapInArrow(links_within, LINK))
-    crowded = scratch(near.where(F.col("n") > CROWD).drop("n"), "crowded")
+    few = near.where(F.col("n") <= TOGETHER).select("value", "node", "place", "root", "ahead", "words", "least")
+    few = few.repartition("value").sortWithinPartitions("value")
+    out = equal.unionByName(few.mapInArrow(links_within, LINK))
+    crowded = scratch(near.where(F.col("n") > TOGETHER).drop("n"), "crowded")
     if not crowded.isEmpty():
         out = out.unionByName(crowded_links(crowded))
     return scratch(out, "links")
@@ -546,11 +728,13 @@ def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
     texts = docs.withColumnRenamed("doc_id", "node")
     found = scratch(entries(texts, bands).join(firsts.select("node"), "node", "left_semi"), "bands")
     spot = F.struct("node", "place")
+    each = found.select("node", F.inline(F.arrays_zip("values", "places"))).toDF("node", "value", "place")
+    # One shuffle and one sort: first the values of two texts or more, then what is needed of these alone.
+    of = W.partitionBy("value")
+    some = each.withColumn("least", F.min("node").over(of)).withColumn("last", F.max("node").over(of)).where("least <> last")
     # Centres are chosen in another order for each value, so that a text that is no match for one value's owners doesn't stand for all its neighbours.
-    salted = [F.min_by(spot, F.xxhash64(F.lit(r), "value", "node", "place")).alias(f"c{r}") for r in range(CENTRES - 1)]
-    last = F.max("node").alias("last")
-    owners = found.where("value is not null").groupBy("value").agg(F.count("*").alias("n"), F.min(spot).alias("c"), *salted, last).where("c.node <> last")
-    shared = scratch(found.join(owners, "value"), "shared")
+    salted = {f"c{r}": F.min_by(spot, F.xxhash64(F.lit(r), "value", "node", "place")).over(of) for r in range(CENTRES - 1)}
+    shared = scratch(some.select("value", "node", "place", F.count("*").over(of).alias("n"), F.min(spot).over(of).alias("c"), *[v.alias(k) for k, v in salted.items()]), "shared")
     met = shared.withColumn("c", F.explode(F.array_distinct(F.array("c", *[f"c{r}" for r in range(CENTRES - 1)])))).where("node <> c.node or place <> c.place")
     swap = (F.col("node") > F.col("c.node")) | (F.col("node") == F.col("c.node")) & (F.col("place") > F.col("c.place"))
     pairs = met.select(
@@ -565,7 +749,7 @@ def passages(docs: DataFrame, bands: int | None = None) -> DataFrame:
     # Clusters within one document are its own repeats.
     first = grouped.groupBy("root").agg(F.min(F.struct("node", "start_word")).alias("first"), F.max("node").alias("last")).where("first.node <> last").drop("last")
     clustered = grouped.join(first, "root").select(F.col("node").alias("doc_id"), "start_word", "end_word", F.col("first.node").alias("cluster_id"), F.lit(None).cast("long").alias("copy_of"), (F.struct("node", "start_word") == F.col("first")).alias("kept"))
-    lengths = found.where("value is null").where(F.col("place") >= PARAGRAPH).select("node", F.col("place").cast("long").alias("end_word")).distinct()
+    lengths = found.where(F.col("n_words") >= PARAGRAPH).select("node", F.col("n_words").cast("long").alias("end_word")).distinct()
     copied = rows.join(firsts.where("copies > 1"), "copy_key").join(lengths, "node")
     whole = copied.select("doc_id", F.lit(0).cast("long").alias("start_word"), "end_word", F.col("node").alias("cluster_id"), F.when(F.col("doc_id") != F.col("node"), F.col("node")).alias("copy_of"), (F.col("doc_id") == F.col("node")).alias("kept"))
     both = clustered.unionByName(whole)

@@ -544,6 +544,61 @@ def test_variants_in_a_crowd_against_all_pairs(spark):
     assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def test_words_and_band_values_of_batches():
+    """Texts hashed together give what each of them gives alone."""
+    texts = [None, "", " ", "\t a  B\x0bc\x0c ", "É a " * 60, "in " * 300, *[prose(k, 20 + 13 * k) + "\n " + prose(k % 3, 60) for k in range(30)]]
+    words, first = paragraphs.hashed_words(pa.array(texts, pa.string()))
+    alone = [paragraphs.Hasher()(paragraphs.words_of(t)) for t in texts]
+    assert [words[a:b].tolist() for a, b in zip(first, first[1:])] == [w.tolist() for w in alone]
+    got = list(zip(*(x.tolist() for x in paragraphs.values_of_texts(words, first, 2))))
+    assert got == [(k, v, p) for k, w in enumerate(alone) for x, y in paragraphs.band_values(w, 2) for v, p in zip(x.tolist(), y.tolist())]
+    assert list(paragraphs.slices(pa.array(["a" * 3_000_000, "b" * 2_000_000, None, "c"]))) == [(0, 1), (1, 4)]
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_owners_that_cannot_be_alike_are_not_compared(monkeypatch, repeats):
+    """Variants of one text: the links of all pairs, with stretches grown for few of those that aren't alike."""
+    rng = random.Random(3)
+    base = [rng.randrange(10**9) for _ in range(129)]
+    if repeats:
+        base = [base[k % 40 if k < 90 else k] for k in range(129)]
+    rows = []
+    for node in range(60):
+        words = [w if k in range(62, 67) or rng.random() > 0.05 else rng.randrange(10**9) for k, w in enumerate(base)]
+        around = paragraphs.shingle_hashes(np.array(words, np.uint64)).astype(np.uint32).view(np.int32)[62 - 45 : 62 + 46]
+        least = int(np.ceil(0.8 * paragraphs.fewest_shingles(around, 45) - 1e-9)) - 1
+        rows.append({"value": 7, "node": node, "place": 100, "root": node, "ahead": 62, "words": words, "least": least, "around": set(around.tolist())})
+    links, grown, stretches = {}, [0], paragraphs.common_stretches
+    for x in rows:
+        for y in rows:
+            if x["node"] < y["node"] and len(x["around"] & y["around"]) >= min(x["least"], y["least"]) and (found := paragraphs.Owner(x).links(paragraphs.Owner(y))):
+                links[x["node"], y["node"]] = found
+    monkeypatch.setattr(paragraphs, "common_stretches", lambda *a: grown.__setitem__(0, grown[0] + 1) or stretches(*a))
+    kinds = {"value": pa.int64(), "node": pa.int64(), "place": pa.int32(), "root": pa.int64(), "ahead": pa.int32(), "words": pa.list_(pa.int64()), "least": pa.int32()}
+    owners = pa.table({c: pa.array([r[c] for r in rows], k) for c, k in kinds.items()})
+    pairs = paragraphs.likely_pairs(owners)
+    assert links and set(links) <= set(pairs) and len(pairs) < 60 * 59 / 2 * (0.6 if repeats else 0.5)
+    batches = owners.to_batches(max_chunksize=7)  # a group is spread over batches
+    joined = [(a, b) for out in paragraphs.links_within(batches) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+    assert set(joined) <= set(links) and grown[0] <= len(pairs)
+    assert plain_components(range(60), lambda a, b: (a, b) in joined or (b, a) in joined) == plain_components(range(60), lambda a, b: (a, b) in links or (b, a) in links)
+
+
+def test_crowds_that_are_compared_by_rare_shingles(spark, monkeypatch):
+    """The same clusters, whether the owners of a value are compared in one task or in rounds."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(60)]
+    rows = [(k, " ".join([*[w if rng.random() > 0.04 else f"x{rng.randrange(10**9)}" for w in base], f"end{k}"])) for k in range(90)]
+    out = []
+    for most in (512, 32):
+        monkeypatch.setattr(paragraphs, "TOGETHER", most)
+        found = defaultdict(set)
+        for x in paragraphs.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+            found[x.cluster_id].add(x.doc_id)
+        out.append(sorted(map(sorted, found.values())))
+    assert out[0] == out[1]
+
+
 def test_rarest_shingles_of_paragraphs_meet():
     """Paragraphs alike by 0.8 share one of their rarest shingles, whatever the counts are."""
     rng = random.Random(5)
