@@ -172,6 +172,17 @@ def test_lcs_against_the_table_method():
         assert decontaminate.lcs(bits, len(a), b).bit_count() == t[-1][-1]
 
 
+def test_numbers_of_texts():
+    """Splitting at white space and stripping gives the numbers of the words that the pattern finds."""
+    texts = [None, "", " -- _ ", "A-b, (the) _x_ c'est\u00a0la\u2003vie\x1c... don't__ \u00c9T\u00c9! 3.5% a_b", "\u00ablet \u201cthe\u201d\u2026 \u0130x \u00b2\u00bb", prose(4, 300), "(the) -- THE the."]
+    vocabulary = {w: k for k, w in enumerate(["the", "a-b", "x", "la", "\u00e9t\u00e9", "3.5", "a_b", *prose(4, 40).lower().split()])}
+    for text in texts:
+        words = decontaminate.words_of(text)
+        assert [w for w in decontaminate.stripped(text) if w] == words
+        assert set(decontaminate.stripped(text, once=True)) - {""} == set(words)
+        assert decontaminate.numbers_of(text, vocabulary).tolist() == [vocabulary.get(w, -1) for w in words]
+
+
 def test_decontamination_empty_tables(spark, docs, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.leaks(docs, none).count() == 0
