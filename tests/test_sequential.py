@@ -239,6 +239,17 @@ def test_chunk_text():
     assert S.chunk_text("x" * 500, 100) == ["x" * 500] and S.chunk_text(None) == [""]
 
 
+def test_chunks_hold_all_lines_of_a_long_text(spark):
+    """A text of some forty chunks: put together without what they repeat they are the text again."""
+    lines = [f"line {i:05d}" for i in range(5000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id bigint, text string")
+    parts = [x.chunk.split("\n") for x in S.chunks(docs, size=2000, overlap=400).orderBy("chunk_idx").collect()]
+    whole = parts[0][:]
+    for part in parts[1:]:
+        whole += part[part.index(whole[-1]) + 1 :]
+    assert len(parts) > 30 and whole == lines
+
+
 def group(start, status, rows=(), source=()):
     return {"start": start, "end": start + 10, "status": status, "rows": list(rows), "source": list(source)}
 
