@@ -399,6 +399,16 @@ def test_groups_of_cut_documents_equal_those_of_whole_ones(spark):
     assert A.grouped_ops(a, a, stretch=60).agg(F.sum(F.size(F.filter("ops", lambda o: o["op"] != "=")))).first()[0] == 0
 
 
+def test_tokens_of_long_tracks_are_never_rows(spark):
+    """Segments travel once, as they are: rows of tokens took many times the room of the texts."""
+    words = [f"w{k}" for k in range(3000)]
+    a, b = spark.createDataFrame(track_of(words, [9]), SEGS), spark.createDataFrame(track_of(words[::2], [7]), SEGS)
+    got = A.grouped_ops(a, b, stretch=100)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and "ReusedExchange" in plan, plan
+
+
 def test_rising_chain_is_longest():
     rng = np.random.default_rng(4)
     for n in (0, 1, 2, 7, 40):
