@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from cuelake.llm import decontaminate, pii, simhash
 from test_corpus_operators import plain_components, prose
@@ -54,6 +55,33 @@ def test_items_that_many_documents_leak(spark):
         assert got == {(i, 0) for i in range(n) if i % every in (0, 3)}
 
 
+def test_the_space_is_fitted_on_all_documents(spark):
+    """3,000 documents and the benchmark: the space equals that of all their passages, from dense products."""
+    r, n, rank = random.Random(5), 14, 6  # no more words than directions are tried: nothing is left to chance
+    vocabulary = {f"w{k}": k for k in range(n)}
+    some = lambda size: " ".join(f"w{min(int(r.expovariate(0.3)), n + 9)}" for _ in range(size))
+    texts, items = [some(r.randint(0, 90)) for _ in range(3000)], [decontaminate.Item(k, " ".join(r.choices(list(vocabulary), k=20))) for k in range(5)]
+    for item in items:
+        item.index(vocabulary, np.ones(n, np.int64))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    numbers = decontaminate.numbered(docs, vocabulary, ["doc_id"])
+    assert (decontaminate.document_frequencies(numbers, n) == [sum(w in set(t.split()) for t in texts) for w in vocabulary]).all()
+    weights, share = 1 + np.arange(n) / n, 0.5
+
+    def square(words):
+        total = np.zeros((n, n))
+        for t in words:
+            for at in range(0, max(1, len(t)), 16):
+                row = np.bincount([vocabulary[w] for w in t[at : at + 32] if w in vocabulary], minlength=n).astype(float)
+                total += np.outer(row, row)
+        return total
+
+    whole = square([i.words for i in items]) + share * square([t.split() for t in texts])
+    best = np.linalg.eigh(weights[:, None] * whole * weights)[1][:, -rank:]
+    got = decontaminate.latent_space(numbers, items, weights, share, rank) / weights[:, None]
+    assert np.abs(got @ got.T - best @ best.T).max() < 1e-3
+
+
 def test_paraphrases_at_any_place(spark):
     """Items of which 62 % of the words are kept, put into texts that use the same words."""
     r, items, rows = random.Random(8), [], []
