@@ -526,14 +526,37 @@ def links_within(batches):
         yield link_batch(got)
 
 
+def scores_of_pairs(sides: list[pa.ListArray]) -> np.ndarray:
+    """For each pair of owners' words the best scores of both, see ``best_scores``, added up."""
+    keys, lens = [], []
+    for words in sides:
+        n = pc.list_value_length(words).to_numpy()
+        flat = shingle_hashes(np.concatenate((words.flatten().to_numpy().view(np.uint64), np.zeros(SHINGLE - 1, np.uint64))))
+        real = np.arange(n.sum()) + SHINGLE <= np.repeat(np.cumsum(n), n)
+        # The same shingle in two pairs has two keys.
+        keys.append((flat + np.repeat(np.arange(len(n)), n).astype(np.uint64) * np.uint64(SEEDS[0]))[real])
+        lens.append(np.maximum(0, n - SHINGLE + 1))
+    total = np.zeros(len(lens[0]), np.int64)
+    for u, v, m in ((keys[0], keys[1], lens[0]), (keys[1], keys[0], lens[1])):
+        ends, own, common = np.cumsum(m), np.repeat(np.arange(len(m)), m), np.isin(u, v)
+        # What follows a row's last shingle counts as alone, so a stretch that holds it is never the best one.
+        table = np.zeros((len(m), max(WIDTH, int(m.max(initial=0)))), bool)
+        table[own, np.arange(len(u)) - (ends - m)[own]] = common
+        scores = best_scores(table).astype(np.int64)
+        order = np.argsort(u, kind="stable")
+        for k in np.unique(own[order[1:][u[order][1:] == u[order][:-1]]]).tolist():
+            part = slice(ends[k] - m[k], ends[k])
+            scores[k] = best_scores_with_repeats(common[part][None], place_before(u[part]))[0]
+        total += np.where(m < WIDTH, -(1 << 30), scores)
+    return total
+
+
 def links_of_pairs(batches):
     """Links of pairs x, y, with the components ``s, t`` that they join."""
     for batch in batches:
         got = []
-        for x, y in zip(*batch.columns):
-            shingles = [shingle_hashes(v["words"].values.to_numpy().view(np.uint64)) for v in (x, y)]
-            if sum(best_scores_with_repeats(np.isin(u, v)[None], place_before(u))[0] for u, v in (shingles, shingles[::-1])) < 0:
-                continue
+        likely = np.flatnonzero(scores_of_pairs([pc.struct_field(side, "words") for side in batch.columns]) >= 0).tolist()
+        for x, y in ([side[k] for side in batch.columns] for k in likely):
             x, y = x.as_py(), y.as_py()
             got += [(*v, x["root"], y["root"]) for v in Owner(x).links(Owner(y))]
         links = link_batch([v[:6] for v in got])

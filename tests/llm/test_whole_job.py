@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from cuelake.llm import decontaminate, pii, simhash
+from cuelake.llm import decontaminate, paragraphs, pii, simhash
 from test_corpus_operators import plain_components, prose
 
 
@@ -143,3 +144,21 @@ def test_scratch_tables_that_grow_are_not_broadcast(spark, monkeypatch):
         spark.conf.unset(setting)
     assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
     assert [common.in_bytes(x) for x in ("10485760b", "10m", "1 KB", "-1", "7")] == [10 << 20, 10 << 20, 1024, -1, 7]
+
+
+def test_scores_of_many_pairs_equal_those_of_each():
+    """Owners with and without shingles that repeat, and shorter ones than a paragraph."""
+    r = np.random.default_rng(3)
+    sides = [[], []]
+    for k in range(120):
+        x = r.integers(1, 30 if k % 5 == 0 else 10**9, r.integers(5, 130))
+        y = np.concatenate((x[: len(x) * (k % 4) // 3], r.integers(1, 10**9, r.integers(5, 60))))
+        for side, words in zip(sides, (x, y)):
+            side.append(np.concatenate((words, words[:9])) if k % 7 == 0 else words)
+    want = []
+    for pair in zip(*sides):
+        u, v = (paragraphs.shingle_hashes(w.astype(np.uint64)) for w in pair)
+        want.append(sum(int(paragraphs.best_scores_with_repeats(np.isin(a, b)[None], paragraphs.place_before(a))[0]) for a, b in ((u, v), (v, u))))
+    got = paragraphs.scores_of_pairs([pa.array(side, pa.list_(pa.int64())) for side in sides])
+    assert got.tolist() == want and min(want) < -(1 << 30) < max(want) and max(want) > 0
+    assert len(paragraphs.scores_of_pairs([pa.array([], pa.list_(pa.int64()))] * 2)) == 0
